@@ -86,9 +86,13 @@ def chord_half_angle(d: Column) -> Column:
 
 
 def angle(a: Vec3, b: Vec3, c: Vec3) -> Column:
-    """Spherical angle at b; NULL for a degenerate corner."""
+    """Spherical angle at b; NULL for a degenerate corner.
+
+    A cosine that rounding pushed past 1 counts as 1, so a flat angle is 0 and not NaN.
+    """
     ab, cb = cross(a, b), cross(c, b)
-    return F.acos(F.try_divide(dot(ab, cb), length(ab) * length(cb)))
+    cosine = F.try_divide(dot(ab, cb), length(ab) * length(cb))
+    return F.acos(F.when(cosine > 1, F.lit(1.0)).when(cosine < -1, F.lit(-1.0)).otherwise(cosine))
 
 
 def triangle_angles(a: Vec3, b: Vec3, c: Vec3) -> list[Column]:

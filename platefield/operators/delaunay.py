@@ -17,16 +17,14 @@ the points below them. No pair of points is ever formed by a join.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.triangulate import GHOST, triangulate
+from ..functions.triangulate import triangulate
 from ..session import cut_lineage
-from .ranking import with_position, running_total
+from .ranking import running_total, with_position
 
 TILE_POINTS = 2048
 STEP = 2  # quadtree levels per round: a parent tile has 4 x 4 children
@@ -202,19 +200,20 @@ def delaunay(nodes: DataFrame, tile_points: int = TILE_POINTS) -> DataFrame:
     start at the smallest id.
     """
     points = _points(nodes)
-    stats = points.groupBy("plate_id").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.min("u").alias("x0"), F.max("u").alias("x1"),
-        F.min("v").alias("y0"), F.max("v").alias("y1"),
-    )
-    most = stats.agg(F.max("n")).first()[0] or 0
+    # One number decides the number of rounds; copies only make it too large.
+    most = nodes.groupBy("plate_id").count().agg(F.max("count")).first()[0] or 0
     here = [F.lit(0).cast("bigint").alias(k) for k in ("cx", "cy")]
     triangle = ["plate_id", "a", "b", "c"]
     if most <= tile_points:
         whole = _as_input(points.select("plate_id", "a", "u", "v", *here))
         return _tiles(whole, 0).where(F.col("kind") == FINAL).select(*triangle)
 
-    stats = cut_lineage(stats)
+    points = cut_lineage(points)
+    stats = cut_lineage(points.groupBy("plate_id").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.min("u").alias("x0"), F.max("u").alias("x1"),
+        F.min("v").alias("y0"), F.max("v").alias("y1"),
+    ))
     side = F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"))
     frames = stats.where(F.col("n") > tile_points).select(
         "plate_id", "x0", "y0", F.when(side > 0, side).otherwise(F.lit(1.0)).alias("side")
@@ -246,8 +245,6 @@ def number_triangles(triangles: DataFrame) -> DataFrame:
     Triangles are counted per first corner, which the geometry bounds, and the
     counts are summed over the corner ids.
     """
-    from pyspark.sql import Window
-
     per_corner = triangles.groupBy("plate_id", "a").agg(F.count(F.lit(1)).alias("n"))
     starts = running_total(per_corner, ["plate_id"], "a", "n", 40).select("plate_id", "a", "before")
     w = Window.partitionBy("plate_id", "a").orderBy("b", "c")
@@ -259,8 +256,11 @@ def number_triangles(triangles: DataFrame) -> DataFrame:
 
 
 def delaunay_mesh(nodes: DataFrame, tile_points: int = TILE_POINTS) -> DataFrame:
-    """``triangle(plate_id, tri_id, a, b, c)``."""
-    return number_triangles(delaunay(nodes, tile_points))
+    """``triangle(plate_id, tri_id, a, b, c)``.
+
+    The triangles are written before they are numbered, as the numbering reads them twice.
+    """
+    return number_triangles(cut_lineage(delaunay(nodes, tile_points)))
 
 
 def hull_nodes(triangles: DataFrame) -> DataFrame:
@@ -288,7 +288,8 @@ def stitch_seam(nodes: DataFrame, triangles: DataFrame) -> DataFrame:
     own = nodes.select("plate_id", "node_id", F.lit(None).cast("bigint").alias("mirror_id"), "u", "v")
     first_free = nodes.groupBy("plate_id").agg((F.max("node_id") + 1).alias("base"))
     right = nodes.where("u > 0.5").join(hull_nodes(triangles), ["plate_id", "node_id"], "left_semi")
-    mirrors = with_position(right, ["plate_id"], "node_id").join(first_free, "plate_id")
+    # Numbering reads its input twice, and behind this short table is the triangulation.
+    mirrors = with_position(cut_lineage(right), ["plate_id"], "node_id").join(first_free, "plate_id")
     return own.unionByName(
         mirrors.select(
             "plate_id",
@@ -300,34 +301,40 @@ def stitch_seam(nodes: DataFrame, triangles: DataFrame) -> DataFrame:
     )
 
 
-def drop_mirror_triangles(
-    triangles: DataFrame, nodes: DataFrame, zero_mirror_falsy: bool = False
-) -> DataFrame:
-    """Drop triangles whose three corners are all mirrors.
+def attach_mirrors(triangles: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Add ``a_mirror, b_mirror, c_mirror``: the original of each corner that is a mirror.
 
-    ``zero_mirror_falsy`` treats a mirror of node 0 as no mirror.
+    Mirrors are hull nodes, a short table next to the triangles.
     """
     mirrors = nodes.where("mirror_id is not null")
-    if zero_mirror_falsy:
-        mirrors = mirrors.where("mirror_id <> 0")
-    mirrors = mirrors.select("plate_id", F.col("node_id").alias("corner"))
-    kept = triangles
-    # A triangle of mirrors has a mirror as its smallest corner, so most rows
-    # never match; the three tests are left joins on the short mirror table.
     for k in ("a", "b", "c"):
-        kept = kept.join(
-            mirrors.select("plate_id", F.col("corner").alias(k), F.lit(1).alias(f"_{k}")),
+        triangles = triangles.join(
+            mirrors.select("plate_id", F.col("node_id").alias(k), F.col("mirror_id").alias(f"{k}_mirror")),
             ["plate_id", k],
             "left",
         )
-    every = F.col("_a").isNotNull() & F.col("_b").isNotNull() & F.col("_c").isNotNull()
-    return kept.where(~every).select(*triangles.columns)
+    return triangles
+
+
+def drop_mirror_triangles(triangles: DataFrame, zero_mirror_falsy: bool = False) -> DataFrame:
+    """Drop triangles whose three corners are all mirrors; takes the columns of :func:`attach_mirrors`.
+
+    ``zero_mirror_falsy`` treats a mirror of node 0 as no mirror.
+    """
+    seen = lambda k: F.col(f"{k}_mirror").isNotNull() & (
+        (F.col(f"{k}_mirror") != 0) if zero_mirror_falsy else F.lit(True)
+    )
+    return triangles.where(~(seen("a") & seen("b") & seen("c")))
 
 
 def globe_mesh(
-    nodes: DataFrame, tile_points: int = TILE_POINTS, zero_mirror_falsy: bool = False
+    nodes: DataFrame, tile_points: int = TILE_POINTS, zero_mirror_falsy: bool = False, numbered: bool = True
 ) -> tuple[DataFrame, DataFrame]:
-    """The seam-stitched mesh: (nodes with mirrors, triangles)."""
-    stitched = stitch_seam(nodes, delaunay(nodes, tile_points))
-    triangles = delaunay_mesh(stitched, tile_points)
-    return stitched, drop_mirror_triangles(triangles, stitched, zero_mirror_falsy)
+    """The seam-stitched mesh: (nodes with mirrors, triangles with the mirrors of their corners).
+
+    The stitched nodes are written once, as later plans read them several times.
+    ``numbered=False`` leaves out ``tri_id`` for plans that do not need it.
+    """
+    stitched = cut_lineage(stitch_seam(nodes, delaunay(nodes, tile_points)))
+    triangles = delaunay_mesh(stitched, tile_points) if numbered else delaunay(stitched, tile_points)
+    return stitched, drop_mirror_triangles(attach_mirrors(triangles, stitched), zero_mirror_falsy)

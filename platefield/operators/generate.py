@@ -91,39 +91,42 @@ def gen_cube_quads(df: DataFrame, resolution: str) -> DataFrame:
     )
 
 
-def cube_to_sphere(x: Column, y: Column, resolution: Column, size: float) -> S.Vec3:
-    """Lattice corner of a face, mapped from the cube to the unit sphere."""
-    half = size / 2.0
-    step = F.lit(float(size)) / resolution
-    flat_u, flat_v = x * step - half, y * step - half
-    axis = {
-        name: flat_u * F.col(f"face_axes.{name}u")
-        + flat_v * F.col(f"face_axes.{name}v")
-        + F.col(f"face_axes.{name}w") * half
-        for name in "xyz"
-    }
-    cx, cy, cz = axis["x"], axis["y"], axis["z"]
-    x2, y2, z2 = cx * cx, cy * cy, cz * cz
-    bend = lambda c, p, q: c * F.sqrt(F.lit(1.0) - p / 2.0 - q / 2.0 + (p * q) / 3.0)
-    return S.normalise((bend(cx, y2, z2), bend(cy, x2, z2), bend(cz, x2, y2)))
+CORNER_STEPS = [(0, 0), (1, 0), (0, 1), (1, 1)]
 
 
-CORNER_STEPS = [(0, 0), (1, 0), (0, 1), (1, 1)]
+def cube_to_sphere(quads: DataFrame, resolution: str, size: float = 1.0) -> DataFrame:
+    """Adds ``p<k>x, p<k>y, p<k>z``: the four corners of each quad, mapped to the unit sphere.
+
+    One projection per step keeps every expression small and computed once.
+    """
+    half = size / 2.0
+    axes = [(k, c) for k in range(4) for c in "xyz"]
+    line = F.lit(float(size)) / F.col(resolution)
+    out = quads.withColumns(
+        {f"_{q}{d}": (F.col(f"q{q}") + float(d)) * line - half for q in "xy" for d in (0, 1)}
+    )
+    flat, squares, bent, unit = {}, {}, {}, {}
+    for k, c in axes:
+        dx, dy = CORNER_STEPS[k]
+        weight = lambda w: F.col(f"face_axes.{c}{w}")
+        flat[f"_f{k}{c}"] = F.col(f"_x{dx}") * weight("u") + F.col(f"_y{dy}") * weight("v") + weight("w") * half
+        squares[f"_s{k}{c}"] = F.col(f"_f{k}{c}") * F.col(f"_f{k}{c}")
+        p, q = (F.col(f"_s{k}{o}") for o in "xyz" if o != c)
+        bent[f"_b{k}{c}"] = F.col(f"_f{k}{c}") * F.sqrt(F.lit(1.0) - p / 2.0 - q / 2.0 + (p * q) / 3.0)
+        unit[f"p{k}{c}"] = F.try_divide(F.col(f"_b{k}{c}"), F.col(f"_l{k}"))
+    lengths = {f"_l{k}": S.length(S.vec(f"_b{k}")) for k in range(4)}
+    for step in (flat, squares, bent, lengths, unit):
+        out = out.withColumns(step)
+    return out.select(*quads.columns, *unit)
 
 
 def quad_corner_points(quads: DataFrame, resolution: str, size: float = 1.0) -> DataFrame:
-    """Adds ``p<k>x, p<k>y, p<k>z, u<k>, v<k>`` for the four corners k of each quad."""
-    res = F.col(resolution).cast("double")
-    points = {}
-    for k, (dx, dy) in enumerate(CORNER_STEPS):
-        p = cube_to_sphere(F.col("qx") + float(dx), F.col("qy") + float(dy), res, size)
-        points.update({f"p{k}{c}": e for c, e in zip("xyz", p)})
-    out = quads.withColumns(points)
+    """Adds the corner points and their ``u<k>, v<k>``."""
     uvs = {}
     for k in range(4):
         u, v = S.xyz_to_uv(S.vec(f"p{k}"))
         uvs.update({f"u{k}": u, f"v{k}": v})
-    return out.withColumns(uvs)
+    return cube_to_sphere(quads, resolution, size).withColumns(uvs)
 
 
 def fix_seam_uvs(quads: DataFrame) -> DataFrame:

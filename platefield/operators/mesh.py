@@ -110,30 +110,21 @@ def triangle_ages(triangles: DataFrame, nodes: DataFrame) -> DataFrame:
     )
 
 
-def mesh_neighbors(
-    triangles: DataFrame, nodes: DataFrame, zero_mirror_falsy: bool = False
-) -> DataFrame:
+def mesh_neighbors(triangles: DataFrame, zero_mirror_falsy: bool = False) -> DataFrame:
     """``(plate_id, src, dst)``: the other nodes of every triangle around a node.
 
     A triangle counts for a node when the node or a mirror of it is a corner, and
-    a mirror is reported as its original. ``zero_mirror_falsy`` reports a mirror
-    of node 0 under its own id.
+    a mirror is reported as its original. ``triangles`` carries the mirrors of its
+    corners. ``zero_mirror_falsy`` reports a mirror of node 0 under its own id.
     """
-    mirrors = nodes.where("mirror_id is not null").select("plate_id", "node_id", "mirror_id")
-    corners = triangles
-    for k in CORNERS:
-        corners = corners.join(
-            mirrors.select("plate_id", F.col("node_id").alias(k), F.col("mirror_id").alias(f"{k}_m")),
-            ["plate_id", k],
-            "left",
-        )
+    mirror = lambda k: F.col(f"{k}_mirror")
     shown = lambda k: F.coalesce(
-        F.nullif(F.col(f"{k}_m"), F.lit(0)) if zero_mirror_falsy else F.col(f"{k}_m"), F.col(k)
+        F.nullif(mirror(k), F.lit(0).cast("bigint")) if zero_mirror_falsy else mirror(k), F.col(k)
     )
     reported = F.array(*[shown(k) for k in CORNERS])
-    counted = F.array(*[c for k in CORNERS for c in (F.col(k), F.col(f"{k}_m"))])
+    counted = F.array_distinct(F.array(*[c for k in CORNERS for c in (F.col(k), mirror(k))]))
     return (
-        corners.select("plate_id", F.explode(F.array_distinct(counted)).alias("src"), reported.alias("r"))
+        triangles.select("plate_id", F.explode(counted).alias("src"), reported.alias("r"))
         .where("src is not null")
         .select("plate_id", "src", F.explode("r").alias("dst"))
         .where("src <> dst")

@@ -53,7 +53,8 @@ def with_position(
     """Add the 0-based position of each row in its group, ordered by ``seq``.
 
     Shuffles the rows once, by group and chunk; the join with the chunk offsets
-    reuses that partitioning.
+    reuses that partitioning. The counts read ``df`` a second time (only ``keys``
+    and ``seq``), so write an expensive input out first.
     """
     rows = df.withColumn("_chunk", chunk_of(F.col(seq), seq_bits))
     w = Window.partitionBy(*keys, "_chunk").orderBy(seq)

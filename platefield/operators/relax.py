@@ -38,10 +38,9 @@ def relax_directions(
         F.count(F.lit(1)).cast("double").alias("degree"),
         *[F.sum((F.col(f"p{c}") - F.col(f"n{c}")) * weight).alias(f"push_{c}") for c in AXES],
     )
-    base = pushed.withColumnRenamed("src", "node_id")
-    state = base
-    for c in AXES:
-        state = state.withColumn(f"d{c}", F.col(f"push_{c}") / F.col("degree") if rounds else F.lit(0.0))
+    state = pushed.withColumnRenamed("src", "node_id").withColumns(
+        {f"d{c}": F.col(f"push_{c}") / F.col("degree") if rounds else F.lit(0.0) for c in AXES}
+    )
     for number in range(2, rounds + 1):
         told = (
             neighbors.join(

@@ -11,21 +11,20 @@ from ..sources.plates import export_polygon_path
 from .registry import query, r, rounded, rs
 
 
-def globe(t):
-    """(nodes with mirrors, triangles). Written once, since every plan reads both more than once."""
-    nodes = cut_lineage(t.nodes)
-    stitched = cut_lineage(D.stitch_seam(nodes, D.delaunay(nodes)))
-    return stitched, cut_lineage(D.drop_mirror_triangles(D.delaunay_mesh(stitched), stitched))
+def globe(t, numbered=True):
+    """(nodes with mirrors, triangles)."""
+    return D.globe_mesh(t.nodes, numbered=numbered)
 
 
 def relaxed(t):
-    """(aged nodes, directions) after three rounds."""
-    stitched, triangles = globe(t)
-    own = stitched.where("mirror_id is null").drop("mirror_id")
-    neighbors = M.mesh_neighbors(triangles, stitched).join(
-        own.select("plate_id", F.col("node_id").alias("src")), ["plate_id", "src"], "left_semi"
+    """(aged nodes, directions) after three rounds; nodes and neighbours are read in every round."""
+    stitched, triangles = globe(t, numbered=False)
+    neighbors = M.mesh_neighbors(triangles).join(
+        stitched.where("mirror_id is null").select("plate_id", F.col("node_id").alias("src")),
+        ["plate_id", "src"],
+        "left_semi",
     )
-    nodes = cut_lineage(t.with_age(own))
+    nodes = cut_lineage(t.with_age(stitched.where("mirror_id is null").drop("mirror_id")))
     return nodes, X.relax_directions(cut_lineage(neighbors), nodes)
 
 
@@ -41,20 +40,17 @@ def _(t):
 
 @query("stitch_seam", f"SELECT plate_id, node_id, mirror_id, {rs('u', 'v')} FROM f_stitched")
 def _(t):
-    nodes = cut_lineage(t.nodes)
-    return rounded(D.stitch_seam(nodes, D.delaunay(nodes)), "u", "v")
+    return rounded(D.stitch_seam(t.nodes, D.delaunay(t.nodes)), "u", "v")
 
 
 @query("globe_mesh", "SELECT plate_id, tri_id, a, b, c FROM f_globe")
 def _(t):
-    return globe(t)[1]
+    return globe(t)[1].select("plate_id", "tri_id", "a", "b", "c")
 
 
 @query("drop_mirror_triangles", "SELECT plate_id, count(*) AS n_triangles FROM f_globe GROUP BY plate_id")
 def _(t):
-    stitched = globe(t)[0]
-    kept = D.drop_mirror_triangles(D.delaunay_mesh(stitched), stitched)
-    return kept.groupBy("plate_id").agg(F.count(F.lit(1)).alias("n_triangles"))
+    return globe(t, numbered=False)[1].groupBy("plate_id").agg(F.count(F.lit(1)).alias("n_triangles"))
 
 
 _PLACES = [f"{k}_{c}" for k in "abc" for c in "uv"]
@@ -67,26 +63,26 @@ def _(t):
     return rounded(M.join_triangle_nodes(triangles, stitched), *_PLACES)
 
 
-@query("tri_angles", f"SELECT plate_id, tri_id, {rs('angle_a', 'angle_b', 'angle_c')} FROM f_angles")
+@query("tri_angles", f"SELECT plate_id, tri_id, {", ".join(r(f"angle_{k}", f"angle_{k}", 4) for k in "abc")} FROM f_angles")
 def _(t):
     stitched, triangles = globe(t)
     out = M.triangle_measures(triangles, stitched).select("plate_id", "tri_id", "angle_a", "angle_b", "angle_c")
-    return rounded(out, "angle_a", "angle_b", "angle_c")
+    return rounded(out, "angle_a", "angle_b", "angle_c", digits=4)
 
 
-@query("tri_area", f"SELECT plate_id, tri_id, {r('angle_a + angle_b + angle_c - pi()', 'area')} FROM f_angles")
+@query("tri_area", f"SELECT plate_id, tri_id, {r('angle_a + angle_b + angle_c - pi()', 'area', 4)} FROM f_angles")
 def _(t):
     stitched, triangles = globe(t)
-    return rounded(M.triangle_measures(triangles, stitched).select("plate_id", "tri_id", "area"), "area")
+    return rounded(M.triangle_measures(triangles, stitched).select("plate_id", "tri_id", "area"), "area", digits=4)
 
 
 @query("tri_target_size", f"""
-  SELECT plate_id, tri_id, {r('angle_a + angle_b + angle_c - pi()', 'area')},
-         {r('(angle_a + angle_b + angle_c - pi()) * 0.2e0', 'target_size')} FROM f_angles""")
+  SELECT plate_id, tri_id, {r('angle_a + angle_b + angle_c - pi()', 'area', 4)},
+         {r('(angle_a + angle_b + angle_c - pi()) * 0.2e0', 'target_size', 4)} FROM f_angles""")
 def _(t):
     stitched, triangles = globe(t)
     out = M.triangle_measures(triangles, stitched, 0.2).select("plate_id", "tri_id", "area", "target_size")
-    return rounded(out, "area", "target_size")
+    return rounded(out, "area", "target_size", digits=4)
 
 
 @query("tri_center", f"""
@@ -120,8 +116,7 @@ def _(t):
 
 @query("mesh_neighbors", "SELECT plate_id, src, dst FROM f_nbr")
 def _(t):
-    stitched, triangles = globe(t)
-    return M.mesh_neighbors(triangles, stitched)
+    return M.mesh_neighbors(globe(t, numbered=False)[1])
 
 
 _HALF = """
@@ -135,8 +130,7 @@ _HALF = """
   JOIN f_nodes e ON e.plate_id = h.plate_id AND e.node_id = h.q
   WHERE h.edge_id > coalesce(h.twin, -1)""")
 def _(t):
-    nodes = cut_lineage(t.nodes)
-    return rounded(M.mesh_edges(D.delaunay_mesh(nodes), nodes), "start_u", "start_v", "end_u", "end_v")
+    return rounded(M.mesh_edges(D.delaunay_mesh(t.nodes), t.nodes), "start_u", "start_v", "end_u", "end_v")
 
 
 @query("mesh_half_edges", "SELECT plate_id, edge_id, tri_id, next_id, prev_id, p, q FROM f_tri_he")
@@ -162,10 +156,9 @@ def _(t):
     WHERE s.onward IS NOT NULL AND s.onward <> w.start_edge)
   SELECT plate_id, start_edge, node_id, step, edge_id FROM walk""")
 def _(t):
-    nodes = cut_lineage(t.nodes)
-    triangles = cut_lineage(D.delaunay_mesh(nodes))
+    triangles = cut_lineage(D.delaunay_mesh(t.nodes))
     starts = M.half_edges(triangles).groupBy("plate_id", "q").agg(F.min("edge_id").alias("start_edge"))
-    return M.mesh_edges_around_point(triangles, nodes, starts.select("plate_id", "start_edge"))
+    return M.mesh_edges_around_point(triangles, t.nodes, starts.select("plate_id", "start_edge"))
 
 
 @query("mesh_index_buffer", """

@@ -406,7 +406,7 @@ def _(t):
 @query("cube_to_sphere", f"""
   SELECT mesh_id, vertex_id // 4 AS quad_id, {', '.join(r(f'p{k}{c}', f'p{k}{c}') for k in range(4) for c in 'xyz')} FROM {_QUADS}""")
 def _(t):
-    quads = G.quad_corner_points(G.gen_cube_quads(_globes(t), "res"), "res")
+    quads = G.cube_to_sphere(G.gen_cube_quads(_globes(t), "res"), "res")
     names = [f"p{k}{c}" for k in range(4) for c in "xyz"]
     return rounded(quads.select("mesh_id", F.expr("vertex_id div 4").alias("quad_id"), *names), *names)
 
@@ -432,7 +432,7 @@ _QUAD_ANGLES = [angle("p1", "p0", "p2"), angle("p0", "p1", "p3"), angle("p0", "p
 @query("quad_angles", f"""
   SELECT mesh_id, vertex_id // 4 AS quad_id, {', '.join(r(e, f'angle_{n}') for e, n in zip(_QUAD_ANGLES, 'abcd'))} FROM {_QUADS}""")
 def _(t):
-    quads = G.quad_corner_points(G.gen_cube_quads(_globes(t), "res"), "res")
+    quads = G.cube_to_sphere(G.gen_cube_quads(_globes(t), "res"), "res")
     names = [f"angle_{n}" for n in "abcd"]
     angles = S.quad_angles(*[S.vec(f"p{k}") for k in range(4)])
     out = quads.select("mesh_id", F.expr("vertex_id div 4").alias("quad_id"), *[a.alias(n) for a, n in zip(angles, names)])
@@ -446,7 +446,7 @@ def _area(a, b, c):
 @query("quad_area", f"""
   SELECT mesh_id, vertex_id // 4 AS quad_id, {r(_area('p0', 'p2', 'p1') + ' + ' + _area('p1', 'p2', 'p3'), 'area')} FROM {_QUADS}""")
 def _(t):
-    quads = G.quad_corner_points(G.gen_cube_quads(_globes(t), "res"), "res")
+    quads = G.cube_to_sphere(G.gen_cube_quads(_globes(t), "res"), "res")
     area = S.quad_area(*[S.vec(f"p{k}") for k in range(4)])
     return rounded(quads.select("mesh_id", F.expr("vertex_id div 4").alias("quad_id"), area.alias("area")), "area")
 

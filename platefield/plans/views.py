@@ -117,7 +117,8 @@ def angle(a: str, b: str, c: str) -> str:
 
     m, n = cross(a, b), cross(c, b)
     dot = lambda p, q: "(" + " + ".join(f"{i} * {j}" for i, j in zip(p, q)) + ")"
-    return f"acos({dot(m, n)} / nullif(sqrt({dot(m, m)}) * sqrt({dot(n, n)}), 0))"
+    cosine = f"({dot(m, n)} / nullif(sqrt({dot(m, m)}) * sqrt({dot(n, n)}), 0))"
+    return f"acos(CASE WHEN {cosine} > 1 THEN 1e0 WHEN {cosine} < -1 THEN -1e0 ELSE {cosine} END)"
 
 
 view("f_angles", f"""

@@ -51,15 +51,13 @@ def box_intersects(left: DataFrame, right: DataFrame) -> DataFrame:
 
 
 def _one_way(fine: DataFrame, coarse: DataFrame, fine_id: str, coarse_id: str, equal: bool) -> DataFrame:
-    # The grids in use: one row of at most 81 numbers.
-    grids = coarse.agg(F.collect_set("level").alias("grids"))
-    wanted = F.filter("grids", lambda g: (g >= F.col("level")) if equal else (g > F.col("level")))
-    probes = (
-        fine.withColumn("_one", F.lit(1))
-        .join(F.broadcast(grids.withColumn("_one", F.lit(1))), "_one")
-        .withColumn("grid", F.explode(wanted))
-        .drop("_one", "grids", "level")
+    # The grids in use are at most 81 numbers, whatever the size of the tables.
+    grids = sorted(row.level for row in coarse.select("level").distinct().collect())
+    wanted = F.filter(
+        F.array(*[F.lit(g) for g in grids]).cast("array<int>"),
+        lambda g: (g >= F.col("level")) if equal else (g > F.col("level")),
     )
+    probes = fine.withColumn("grid", F.explode(wanted)).drop("level")
     probes = _cells(probes, "grid", "f").select(
         fine_id, "grid", "cx", "cy", "f_mx", "f_my",
         *[F.col(c).alias(f"f_{c}") for c in ("x0", "y0", "x1", "y1")],

@@ -132,7 +132,7 @@ def ordered_fold(
     while True:
         last = left <= CHUNK_BITS
         by = list(keys) if last else [*keys, level.alias("_c")]
-        items = F.array_sort(F.collect_list(F.struct("_s", "_v")), lambda a, b: F.when(a["_s"] < b["_s"], -1).otherwise(1))
+        items = F.array_sort(F.collect_list(F.struct("_s", "_v")))
         folded = F.aggregate(
             F.slice(F.col("_items"), 2, F.greatest(F.size("_items") - 1, F.lit(0))),
             F.get(F.col("_items"), F.lit(0))["_v"],

@@ -6,6 +6,7 @@ from ..operators import delaunay as D
 from ..operators import mesh as M
 from ..operators import relax as X
 from ..session import cut_lineage
+from ..sources.bindings import PLATE_POINTS
 from ..sources.bindings import RASTER_HEIGHT as H
 from ..sources.plates import export_polygon_path
 from .registry import query, r, rounded, rs
@@ -33,6 +34,14 @@ def _(t):
     return D.delaunay_mesh(t.nodes)
 
 
+@query("delaunay_one_plate", "SELECT plate_id, tri_id, a, b, c FROM f_one_tri")
+def _(t):
+    """All points in one mesh, cut into small tiles: the way a plate with most of the rows is solved."""
+    node = F.col("plate_id") * PLATE_POINTS + F.col("node_id")
+    one = t.nodes.select(F.lit(0).cast("bigint").alias("plate_id"), node.alias("node_id"), "u", "v")
+    return D.delaunay_mesh(one, tile_points=128)
+
+
 @query("hull_nodes", "SELECT plate_id, node_id FROM f_hull")
 def _(t):
     return D.hull_nodes(D.delaunay(t.nodes))

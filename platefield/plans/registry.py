@@ -53,12 +53,13 @@ def query(key: str, sql: str | None = None):
 
 def rounded(df: DataFrame, *names: str, digits: int = 6) -> DataFrame:
     """Round result columns and drop the sign of zero, so that two engines agree on the last bit."""
-    return df.withColumns({n: F.round(n, digits) + 0.0 for n in names})
+    scale = 10.0**digits
+    return df.withColumns({n: F.rint(F.col(n) * scale) / scale + 0.0 for n in names})
 
 
 def r(expr: str, name: str, digits: int = 6) -> str:
     """The SQL for :func:`rounded`."""
-    return f"round({expr}, {digits}) + 0e0 AS {name}"
+    return f"round_even(({expr}) * 1e{digits}, 0) / 1e{digits} + 0e0 AS {name}"
 
 
 def rs(*names: str) -> str:

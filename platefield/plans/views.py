@@ -83,6 +83,8 @@ view("f_globe", """
 view("f_res", """
   SELECT n.plate_id, n.node_id, o.node_id AS original_id, o.u, o.v
   FROM f_stitched n JOIN f_nodes o ON o.plate_id = n.plate_id AND o.node_id = coalesce(n.mirror_id, n.node_id)""")
+view("f_one", f"SELECT 0 AS plate_id, plate_id * {PLATE_POINTS} + node_id AS node_id, u, v FROM f_nodes")
+_delaunay("f_one_tri", "f_one")
 view("f_aged", _aged("f_nodes"))
 view("f_stitched_aged", _aged("f_stitched"))
 

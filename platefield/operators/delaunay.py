@@ -26,7 +26,7 @@ from ..functions.triangulate import triangulate
 from ..session import cut_lineage
 from .ranking import running_total, with_position
 
-TILE_POINTS = 2048
+TILE_POINTS = 8192
 STEP = 2  # quadtree levels per round: a parent tile has 4 x 4 children
 MAX_LEVEL = 26
 

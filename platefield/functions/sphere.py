@@ -25,9 +25,11 @@ def uv_to_xyz(u: Column, v: Column) -> Vec3:
 
 
 def xyz_to_uv(p: Vec3) -> tuple[Column, Column]:
-    """Longitude and latitude as uv; |y| > 1 gives NaN."""
+    """Longitude and latitude as uv; |y| > 1 gives NaN.
+
+    Spark's atan2 reads -0.0 as 0.0, so a point on the seam has u = 1, never 0.
+    """
     x, y, z = p
-    # A zero of either sign must give the same half turn as in IEEE atan2.
     return (
         F.atan2(x, z) / (2.0 * math.pi) + 0.5,
         F.asin(y) / math.pi + 0.5,

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import clamp_int
 
-LEVELS = (-40, 40)
+LOWEST, HIGHEST = -40, 40
+SIDES = ("x0", "y0", "x1", "y1")
 
 
 def box_from_corners(ax: Column, ay: Column, bx: Column, by: Column, left: Column, top: Column) -> dict[str, Column]:
@@ -16,65 +17,80 @@ def box_from_corners(ax: Column, ay: Column, bx: Column, by: Column, left: Colum
     return {"x0": x0, "y0": y0, "x1": x0 + F.abs(ax - bx), "y1": y0 + F.abs(ay - by)}
 
 
-def _level(df: DataFrame) -> DataFrame:
-    """A box belongs to the grid whose cells are just larger than it, so it touches at most 2 x 2 cells."""
-    size = F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"))
-    level = F.when(size > 0, F.ceil(F.log2(size)).cast("int") + 1).otherwise(F.lit(LEVELS[0]))
-    return df.withColumn("level", clamp_int(level, *LEVELS))
+def _levels(df: DataFrame) -> DataFrame:
+    """``lx, ly``: per axis the grid whose cells (2**level) are just larger than the box."""
 
+    def level(low: str, high: str) -> Column:
+        size = F.col(high) - F.col(low)
+        above = F.when(size > 0, F.ceil(F.log2(size)) + 1).otherwise(F.lit(LOWEST))
+        return clamp_int(above, LOWEST, HIGHEST).cast("int")
 
-def _cells(df: DataFrame, level: str, name: str) -> DataFrame:
-    """One row per grid cell of ``level`` that the box touches."""
-    cell = F.pow(F.lit(2.0), F.col(level))
-    at = lambda c: F.floor(F.col(c) / cell)
+    return df.withColumns({"lx": level("x0", "x1"), "ly": level("y0", "y1")})
+
+
+def _probes(df: DataFrame, others: list[tuple[int, int]], name: str, is_left: bool) -> DataFrame:
+    """Each box in every cell where it can meet a box of one of the ``others`` level pairs.
+
+    The two meet in the grid of the coarser level per axis. ``wx`` and ``wy`` say
+    whether the left box set it; as part of the key they keep apart boxes that are
+    in the grid only because of somebody else.
+    """
+
+    def wins(own: Column, other: Column) -> Column:
+        return own >= other if is_left else other >= own
+
+    def joint(o: Column) -> Column:
+        return F.struct(
+            F.greatest(F.col("lx"), o["lx"]).alias("gx"),
+            F.greatest(F.col("ly"), o["ly"]).alias("gy"),
+            wins(F.col("lx"), o["lx"]).alias("wx"),
+            wins(F.col("ly"), o["ly"]).alias("wy"),
+        )
+
+    pairs = F.array(*[F.struct(F.lit(x).alias("lx"), F.lit(y).alias("ly")) for x, y in others])
+    grids = df.withColumn("g", F.explode(F.array_distinct(F.transform(pairs, joint))))
+    cell = lambda side, grid: F.floor(F.col(side) / F.pow(F.lit(2.0), F.col(f"g.{grid}")))
     return (
-        df.withColumn("cx", F.explode(F.sequence(at("x0"), at("x1"))))
-        .withColumn("cy", F.explode(F.sequence(at("y0"), at("y1"))))
-        .withColumns({f"{name}_mx": at("x0"), f"{name}_my": at("y0")})
+        grids.withColumn("cx", F.explode(F.sequence(cell("x0", "gx"), cell("x1", "gx"))))
+        .withColumn("cy", F.explode(F.sequence(cell("y0", "gy"), cell("y1", "gy"))))
+        .select(
+            F.col("box_id").alias(f"{name}_id"), "g.gx", "g.gy", "g.wx", "g.wy", "cx", "cy",
+            cell("x0", "gx").alias(f"{name}_mx"), cell("y0", "gy").alias(f"{name}_my"),
+            *[F.col(c).alias(f"{name}_{c}") for c in SIDES],
+        )
     )
 
 
 def box_intersects(left: DataFrame, right: DataFrame) -> DataFrame:
     """``(left_id, right_id)`` of every pair that overlaps or touches.
 
-    Every box is filed in the grid of its own size and looks things up in that grid
-    and the coarser ones in use; of a pair, the smaller box does the looking up. A
-    cell therefore never holds boxes much smaller than itself, and candidates stay
-    in proportion to real overlaps even where boxes crowd. A pair that meets in
-    several cells is kept in the lowest one common to both.
+    An equi-join on grid cells. Per axis a pair meets in the grid made for the
+    larger of the two, where either box touches at most two cells, so the
+    candidates of a cell stay in proportion to real overlaps however boxes crowd
+    and whatever their shapes. A pair that meets in several cells counts in the
+    lowest one common to both.
     """
-    a = _level(left).select(F.col("box_id").alias("left_id"), *[F.col(c).alias(c) for c in ("x0", "y0", "x1", "y1", "level")])
-    b = _level(right).select(F.col("box_id").alias("right_id"), *[F.col(c).alias(c) for c in ("x0", "y0", "x1", "y1", "level")])
-    return _one_way(a, b, "left_id", "right_id", equal=True).unionByName(
-        _one_way(b, a, "right_id", "left_id", equal=False).select("left_id", "right_id")
-    )
-
-
-def _one_way(fine: DataFrame, coarse: DataFrame, fine_id: str, coarse_id: str, equal: bool) -> DataFrame:
-    # The grids in use are at most 81 numbers, whatever the size of the tables.
-    grids = sorted(row.level for row in coarse.select("level").distinct().collect())
-    wanted = F.filter(
-        F.array(*[F.lit(g) for g in grids]).cast("array<int>"),
-        lambda g: (g >= F.col("level")) if equal else (g > F.col("level")),
-    )
-    probes = fine.withColumn("grid", F.explode(wanted)).drop("level")
-    probes = _cells(probes, "grid", "f").select(
-        fine_id, "grid", "cx", "cy", "f_mx", "f_my",
-        *[F.col(c).alias(f"f_{c}") for c in ("x0", "y0", "x1", "y1")],
-    )
-    filed = _cells(coarse, "level", "c").select(
-        coarse_id, F.col("level").alias("grid"), "cx", "cy", "c_mx", "c_my",
-        *[F.col(c).alias(f"c_{c}") for c in ("x0", "y0", "x1", "y1")],
-    )
+    sides = []
+    for df in (left, right):
+        # NULL sides overlap nothing.
+        known = df.where(" and ".join(f"{c} is not null" for c in SIDES))
+        sides.append(_levels(known.select("box_id", *SIDES)))
+    # The level pairs in use: small numbers that do not grow with the tables.
+    in_use = [[(r.lx, r.ly) for r in s.select("lx", "ly").distinct().collect()] for s in sides]
+    if not all(in_use):
+        in_use = [[(LOWEST, LOWEST)], [(LOWEST, LOWEST)]]
+    a = _probes(sides[0], in_use[1], "left", True)
+    b = _probes(sides[1], in_use[0], "right", False)
+    col = F.col
     return (
-        probes.join(filed, ["grid", "cx", "cy"])
+        a.join(b, ["gx", "gy", "wx", "wy", "cx", "cy"])
         .where(
-            (F.col("cx") == F.greatest("f_mx", "c_mx"))
-            & (F.col("cy") == F.greatest("f_my", "c_my"))
-            & (F.col("f_x0") <= F.col("c_x1"))
-            & (F.col("f_x1") >= F.col("c_x0"))
-            & (F.col("f_y0") <= F.col("c_y1"))
-            & (F.col("f_y1") >= F.col("c_y0"))
+            (col("cx") == F.greatest("left_mx", "right_mx"))
+            & (col("cy") == F.greatest("left_my", "right_my"))
+            & (col("left_x0") <= col("right_x1"))
+            & (col("left_x1") >= col("right_x0"))
+            & (col("left_y0") <= col("right_y1"))
+            & (col("left_y1") >= col("right_y0"))
         )
-        .select(fine_id, coarse_id)
+        .select("left_id", "right_id")
     )

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from .keyframes import interpolate
 
 BASE_COLUMNS = ["plate_id", "point_idx", "u", "v"]
@@ -106,7 +107,7 @@ def move_point(
     ``moves(plate_id, seq, t, old_u, old_v, new_u, new_v)``, one per plate. If no
     point matches, the interpolated plate is still set at t.
     """
-    now = interpolate(base, keyframes, moves.select("plate_id", "t"), mode)
+    now = cut_lineage(interpolate(base, keyframes, moves.select("plate_id", "t"), mode))
     hit = find_moved_point(now, moves)
     moved = now.join(hit, ["plate_id", "point_idx"], "left").join(
         moves.select("plate_id", "seq"), "plate_id"

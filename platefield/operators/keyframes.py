@@ -14,11 +14,6 @@ BASE = -1  # kf_seq of the base points, read as a frame at time 0
 TIME_CHUNKS = float(1 << 20)
 
 
-def frame_times(keyframes: DataFrame) -> DataFrame:
-    """One row per frame."""
-    return keyframes.groupBy("plate_id", "kf_seq").agg(F.first("time").alias("time"))
-
-
 def extreme_frames(keyframes: DataFrame, queries: DataFrame) -> DataFrame:
     """Lower = earliest frame <= t, upper = latest frame >= t; of equal times the last frame.
 
@@ -97,7 +92,7 @@ def _with_fallbacks(df: DataFrame, lo_seq: Column, lo_time: Column, up_seq: Colu
 def interpolate(
     base: DataFrame, keyframes: DataFrame, queries: DataFrame, mode: str = "extreme"
 ) -> DataFrame:
-    """``(plate_id, t, point_idx, u, v)`` of each plate at each asked time.
+    """``(plate_id, t, point_idx, u, v)`` of each plate at each different time asked.
 
     ``mode="extreme"`` blends the two ends of the timeline, ``mode="bracket"`` the
     neighbours of t. A point the upper frame lacks stays where the lower one has it.
@@ -105,21 +100,32 @@ def interpolate(
     if mode not in ("extreme", "bracket"):
         raise ValueError(f"unknown mode {mode!r}")
     choose = extreme_frames if mode == "extreme" else bracket_frames
-    chosen = choose(keyframes, queries)
+    span = F.col("upper_time") - F.col("lower_time")
+    alpha = (F.col("t") - F.col("lower_time")) / F.when(span == 0, F.lit(1.0)).otherwise(span)
+    # Both frames of a query fetch their points in one join, so the points are
+    # shuffled once; the two halves then meet per output row.
+    ends = F.array(
+        F.struct(F.lit(True).alias("low"), F.col("lower_seq").alias("kf_seq")),
+        F.struct(F.lit(False).alias("low"), F.col("upper_seq").alias("kf_seq")),
+    )
+    wanted = (
+        choose(keyframes, queries.select("plate_id", "t").distinct())
+        .select("plate_id", "t", alpha.alias("alpha"), F.explode(ends).alias("e"))
+        .select("plate_id", "t", "alpha", "e.low", "e.kf_seq")
+    )
     points = keyframes.select("plate_id", "kf_seq", "point_idx", "u", "v").unionByName(
         base.select("plate_id", F.lit(BASE).cast("bigint").alias("kf_seq"), "point_idx", "u", "v")
     )
-    lower = points.withColumnRenamed("kf_seq", "lower_seq")
-    upper = points.select(
-        "plate_id", F.col("kf_seq").alias("upper_seq"), "point_idx",
-        F.col("u").alias("u1"), F.col("v").alias("v1"),
+    found = (
+        wanted.join(points, ["plate_id", "kf_seq"])
+        .groupBy("plate_id", "t", "point_idx")
+        .agg(
+            F.max("alpha").alias("alpha"),
+            F.bool_or("low").alias("has_lower"),
+            *[F.max(F.when(F.col("low"), F.col(c))).alias(f"{c}0") for c in "uv"],
+            *[F.max(F.when(~F.col("low"), F.col(c))).alias(f"{c}1") for c in "uv"],
+        )
+        .where("has_lower")
     )
-    span = F.col("upper_time") - F.col("lower_time")
-    alpha = (F.col("t") - F.col("lower_time")) / F.when(span == 0, F.lit(1.0)).otherwise(span)
     blend = lambda a, b: F.col(a) + (F.coalesce(F.col(b), F.col(a)) - F.col(a)) * F.col("alpha")
-    return (
-        chosen.join(lower, ["plate_id", "lower_seq"])
-        .join(upper, ["plate_id", "upper_seq", "point_idx"], "left")
-        .withColumn("alpha", alpha)
-        .select("plate_id", "t", "point_idx", blend("u", "u1").alias("u"), blend("v", "v1").alias("v"))
-    )
+    return found.select("plate_id", "t", "point_idx", blend("u0", "u1").alias("u"), blend("v0", "v1").alias("v"))

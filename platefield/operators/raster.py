@@ -40,13 +40,18 @@ def raster_put(base: DataFrame, puts: DataFrame, width: int, height: int) -> Dat
     )
 
 
-def raster_sample(points: DataFrame, raster: DataFrame, width: int, height: int) -> DataFrame:
+def raster_sample(
+    points: DataFrame, raster: DataFrame, width: int, height: int, wrap: bool = False
+) -> DataFrame:
     """Colour under each row of ``points(raster_id, px, py, ...)``, coordinates clamped to the edge.
 
+    With ``wrap`` a column outside the map continues on its other side.
+
     An equi-join on the pixel: a small raster is broadcast by its run-time size,
     and a hot pixel is split by the adaptive skew join.
     """
-    x, y = clamp_pixel(F.col("px"), F.col("py"), width, height)
+    px = F.pmod(F.col("px"), F.lit(width)) if wrap else F.col("px")
+    x, y = clamp_pixel(px, F.col("py"), width, height)
     lookup = raster.select(
         F.col("raster_id"), F.col("px").alias("_x"), F.col("py").alias("_y"), *CHANNELS
     )

@@ -107,6 +107,9 @@ def test_raster_edges_and_last_write(spark):
     points = spark.createDataFrame([(0, -9, 0), (0, 50, 50), (0, 1, 1)], "raster_id int, px int, py int")
     got = {(r.px, r.py): (r.r, r.a) for r in R.raster_sample(points, done, 4, 3).collect()}
     assert got == {(-9, 0): (7, 7), (50, 50): (5, 5), (1, 1): (0, 0)}
+    around = {(r.px, r.py): r.r for r in R.raster_sample(points, done, 4, 3, wrap=True).collect()}
+    assert around == {(-9, 0): 0, (50, 50): 0, (1, 1): 0}
+    assert R.raster_sample(points.where("px < 0").withColumn("px", F.lit(-4)), done, 4, 3, wrap=True).first().r == 7
 
 
 @pytest.mark.parametrize("new", [(7, 5), (2, 2), (4, 3), (1, 1)])

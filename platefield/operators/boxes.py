@@ -28,33 +28,30 @@ def _levels(df: DataFrame) -> DataFrame:
     return df.withColumns({"lx": level("x0", "x1"), "ly": level("y0", "y1")})
 
 
-def _probes(df: DataFrame, others: list[tuple[int, int]], name: str, is_left: bool) -> DataFrame:
+def _probes(df: DataFrame, own: list, others: list, name: str, is_left: bool) -> DataFrame:
     """Each box in every cell where it can meet a box of one of the ``others`` level pairs.
 
     The two meet in the grid of the coarser level per axis. ``wx`` and ``wy`` say
     whether the left box set it; as part of the key they keep apart boxes that are
     in the grid only because of somebody else.
     """
-
-    def wins(own: Column, other: Column) -> Column:
-        return own >= other if is_left else other >= own
-
-    def joint(o: Column) -> Column:
-        return F.struct(
-            F.greatest(F.col("lx"), o["lx"]).alias("gx"),
-            F.greatest(F.col("ly"), o["ly"]).alias("gy"),
-            wins(F.col("lx"), o["lx"]).alias("wx"),
-            wins(F.col("ly"), o["ly"]).alias("wy"),
-        )
-
-    pairs = F.array(*[F.struct(F.lit(x).alias("lx"), F.lit(y).alias("ly")) for x, y in others])
-    grids = df.withColumn("g", F.explode(F.array_distinct(F.transform(pairs, joint))))
-    cell = lambda side, grid: F.floor(F.col(side) / F.pow(F.lit(2.0), F.col(f"g.{grid}")))
+    wins = lambda mine, other: mine >= other if is_left else other >= mine
+    grids = sorted(
+        {
+            (x, y, max(x, ox), max(y, oy), wins(x, ox), wins(y, oy))
+            for x, y in own
+            for ox, oy in others
+        }
+    )
+    # Built from the level pairs alone, so its size does not depend on the boxes.
+    table = df.sparkSession.createDataFrame(grids, "lx int, ly int, gx int, gy int, wx boolean, wy boolean")
+    grids = df.join(F.broadcast(table), ["lx", "ly"])
+    cell = lambda side, grid: F.floor(F.col(side) / F.pow(F.lit(2.0), F.col(grid)))
     return (
         grids.withColumn("cx", F.explode(F.sequence(cell("x0", "gx"), cell("x1", "gx"))))
         .withColumn("cy", F.explode(F.sequence(cell("y0", "gy"), cell("y1", "gy"))))
         .select(
-            F.col("box_id").alias(f"{name}_id"), "g.gx", "g.gy", "g.wx", "g.wy", "cx", "cy",
+            F.col("box_id").alias(f"{name}_id"), "gx", "gy", "wx", "wy", "cx", "cy",
             cell("x0", "gx").alias(f"{name}_mx"), cell("y0", "gy").alias(f"{name}_my"),
             *[F.col(c).alias(f"{name}_{c}") for c in SIDES],
         )
@@ -79,8 +76,8 @@ def box_intersects(left: DataFrame, right: DataFrame) -> DataFrame:
     in_use = [[(r.lx, r.ly) for r in s.select("lx", "ly").distinct().collect()] for s in sides]
     if not all(in_use):
         in_use = [[(LOWEST, LOWEST)], [(LOWEST, LOWEST)]]
-    a = _probes(sides[0], in_use[1], "left", True)
-    b = _probes(sides[1], in_use[0], "right", False)
+    a = _probes(sides[0], in_use[0], in_use[1], "left", True)
+    b = _probes(sides[1], in_use[1], in_use[0], "right", False)
     col = F.col
     return (
         a.join(b, ["gx", "gy", "wx", "wy", "cx", "cy"])

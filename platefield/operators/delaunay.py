@@ -29,6 +29,7 @@ from .ranking import running_total, with_position
 TILE_POINTS = 8192
 STEP = 2  # quadtree levels per round: a parent tile has 4 x 4 children
 MAX_LEVEL = 26
+TASK_POINTS = 500_000  # points solved by one task, about a minute
 
 POINT, BORDER, FINAL = 0, 1, 2
 
@@ -87,7 +88,7 @@ def _open_triangles(tris: list[tuple[int, int, int]], border: set[tuple[int, int
 def _solve_tile(rows: pd.DataFrame, level: int) -> pd.DataFrame:
     """One tile: its final triangles, and what its parent has to look at again."""
     kind = rows["kind"].to_numpy()
-    points = rows[kind == POINT].sort_values("a")
+    points = rows[kind == POINT].sort_values("a").drop_duplicates(["u", "v"])
     ids = points["a"].to_numpy(dtype=np.int64)
     xy = points[["u", "v"]].to_numpy(dtype=np.float64)
     found = triangulate(ids, xy[:, 0], xy[:, 1])
@@ -125,20 +126,21 @@ def _solve_tile(rows: pd.DataFrame, level: int) -> pd.DataFrame:
     )
 
 
-def _tiles(rows: DataFrame, level: int) -> DataFrame:
+def _tiles(rows: DataFrame, level: int, points: int) -> DataFrame:
+    """Solve every tile. Points are few bytes but much work, so tasks are cut by their number, not by size."""
+
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         return _solve_tile(pdf, level)
 
-    return rows.groupBy("plate_id", "cx", "cy").applyInPandas(solve, TILE_SCHEMA)
+    keys = ["plate_id", "cx", "cy"]
+    tasks = max(rows.sparkSession.sparkContext.defaultParallelism, -(-points // TASK_POINTS))
+    return rows.repartition(tasks, *keys).groupBy(*keys).applyInPandas(solve, TILE_SCHEMA)
 
 
-def _points(nodes: DataFrame) -> DataFrame:
-    """Distinct positions: of several nodes in one place the lowest id counts."""
-    return (
-        nodes.where(F.col("u").isNotNull() & F.col("v").isNotNull())
-        .groupBy("plate_id", "u", "v")
-        .agg(F.min("node_id").alias("a"))
-    )
+def _placed(nodes: DataFrame) -> DataFrame:
+    """Nodes with a position."""
+    known = lambda c: F.col(c).isNotNull() & ~F.isnan(c)
+    return nodes.where(known("u") & known("v")).select("plate_id", F.col("node_id").alias("a"), "u", "v")
 
 
 def _as_input(df: DataFrame, *extra: str) -> DataFrame:
@@ -197,18 +199,21 @@ def delaunay(nodes: DataFrame, tile_points: int = TILE_POINTS) -> DataFrame:
     """Triangles ``(plate_id, a, b, c)`` of ``nodes(plate_id, node_id, u, v)``.
 
     ``node_id`` is unique within a plate. Corners turn counter-clockwise and
-    start at the smallest id.
+    start at the smallest id. Of several nodes in one place the lowest id counts.
     """
-    points = _points(nodes)
-    # One number decides the number of rounds; copies only make it too large.
-    most = nodes.groupBy("plate_id").count().agg(F.max("count")).first()[0] or 0
+    points = _placed(nodes)
+    # Two numbers decide the rounds and the tasks; copies only make them too large.
+    sizes = nodes.groupBy("plate_id").count().agg(F.max("count"), F.sum("count")).first()
+    most, total = sizes[0] or 0, sizes[1] or 0
     here = [F.lit(0).cast("bigint").alias(k) for k in ("cx", "cy")]
     triangle = ["plate_id", "a", "b", "c"]
     if most <= tile_points:
+        # Copies are dropped inside the tile, which saves a shuffle.
         whole = _as_input(points.select("plate_id", "a", "u", "v", *here))
-        return _tiles(whole, 0).where(F.col("kind") == FINAL).select(*triangle)
+        return _tiles(whole, 0, total).where(F.col("kind") == FINAL).select(*triangle)
 
-    points = cut_lineage(points)
+    # Copies of one point could fill any cell, so they go before the cells are counted.
+    points = cut_lineage(points.groupBy("plate_id", "u", "v").agg(F.min("a").alias("a")))
     stats = cut_lineage(points.groupBy("plate_id").agg(
         F.count(F.lit(1)).alias("n"),
         F.min("u").alias("x0"), F.max("u").alias("x1"),
@@ -219,17 +224,20 @@ def delaunay(nodes: DataFrame, tile_points: int = TILE_POINTS) -> DataFrame:
         "plate_id", "x0", "y0", F.when(side > 0, side).otherwise(F.lit(1.0)).alias("side")
     )
     small = points.join(stats.where(F.col("n") <= tile_points).select("plate_id"), "plate_id", "left_semi")
-    done = _tiles(_as_input(small.select("plate_id", "a", "u", "v", *here)), 0)
+    done = _tiles(_as_input(small.select("plate_id", "a", "u", "v", *here)), 0, total)
     done = done.where(F.col("kind") == FINAL).select(*triangle)
 
     tiled, deepest = _quadtree(points, frames, most, tile_points)
     tiled = cut_lineage(tiled.select("plate_id", "a", "u", "v", "cx", "cy", "level", "x0", "y0", "side"))
-    carried = None
+    at_level = {r.level: r["count"] for r in tiled.groupBy("level").count().collect()}
+    carried, open_points = None, 0
     for level in range(deepest, -1, -STEP):
         tiles = _as_input(tiled.where(F.col("level") == level).drop("level"), "x0", "y0", "side")
         if carried is not None:
             tiles = tiles.unionByName(carried.join(frames, "plate_id"))
-        solved = cut_lineage(_tiles(tiles, level))
+        open_points += at_level.get(level, 0)
+        solved = cut_lineage(_tiles(tiles, level, open_points))
+        open_points //= 2  # borders; the true share is smaller
         done = done.unionByName(solved.where(F.col("kind") == FINAL).select(*triangle))
         carried = (
             solved.where(F.col("kind") != FINAL)

@@ -7,7 +7,7 @@ from ..functions import numeric as N
 from ..functions import sphere as S
 from ..operators import generate as G
 from ..operators import raster as R
-from ..session import scratch_path
+from ..session import cut_lineage, scratch_path
 from ..sources import plates as P
 from ..sources.bindings import RASTER_HEIGHT as H
 from ..sources.bindings import RASTER_WIDTH as W
@@ -486,9 +486,10 @@ def _document_rows(docs):
 
 @query("scan_plates_json", _DOC_ROWS)
 def _(t):
-    docs = P.plates_to_json(t.base, t.keyframes)
-    broken = docs.select("plate_id", F.lit('[{"points": [').alias("doc"))
-    return _document_rows(docs.select("plate_id", "doc").unionByName(broken).withColumnRenamed("plate_id", "doc_id"))
+    # As stored: beside every document one that was cut off while it was written.
+    both = F.explode(F.array("doc", F.lit('[{"points": [')))
+    stored = P.plates_to_json(t.base, t.keyframes).select(F.col("plate_id").alias("doc_id"), both.alias("doc"))
+    return _document_rows(cut_lineage(stored))
 
 
 @query("sink_plates_json", _DOC_ROWS)

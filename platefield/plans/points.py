@@ -237,7 +237,7 @@ def _run(c: str, old: int, new: int, name: str) -> str:
 
 
 @query("scan_raster", f"""
-  SELECT raster_id, x AS px, y AS py, r, g, b, a FROM (
+  SELECT raster_id, x::INT AS px, y::INT AS py, r, g, b, a FROM (
     SELECT *, {_run('py', H, 150, 'y')} FROM (SELECT *, {_run('px', W, 120, 'x')} FROM f_raster))""")
 def _(t):
     return R.resize_nearest(t.raster, W, H, 120, 150)
@@ -251,7 +251,7 @@ _CY = f"greatest(0, least({H - 1}, py))::INT"
   SELECT raster_id, px, py, coalesce(n.r, o.r) AS r, coalesce(n.g, o.g) AS g, coalesce(n.b, o.b) AS b, coalesce(n.a, o.a) AS a
   FROM f_raster o FULL JOIN (
     SELECT 0 AS raster_id, {_CX} AS px, {_CY} AS py, arg_max(r, seq) AS r, arg_max(g, seq) AS g, arg_max(b, seq) AS b, arg_max(a, seq) AS a
-    FROM (SELECT seq, (px * 3 - 100) AS px, (py * 2 - 40) AS py, b AS r, g, r AS b, 128 AS a FROM f_puts) GROUP BY 2, 3
+    FROM (SELECT seq, (px * 3 - 100) AS px, (py * 2 - 40) AS py, b AS r, g, r AS b, 128::SMALLINT AS a FROM f_puts) GROUP BY 2, 3
   ) n USING (raster_id, px, py)""")
 def _(t):
     late = t.puts.select(
@@ -262,7 +262,7 @@ def _(t):
 
 
 @query("raster_sample", f"""
-  SELECT k.plate_id, k.kf_seq, k.point_idx, coalesce(r, 0) AS r, coalesce(g, 0) AS g, coalesce(b, 0) AS b, coalesce(a, 0) AS a,
+  SELECT k.plate_id, k.kf_seq, k.point_idx, coalesce(r, 0)::SMALLINT AS r, coalesce(g, 0)::SMALLINT AS g, coalesce(b, 0)::SMALLINT AS b, coalesce(a, 0)::SMALLINT AS a,
          {r('coalesce(r, 0) / 256e0', 'age')}
   FROM (SELECT *, {_CX.replace('px', 'x')} AS px, {_CY.replace('py', 'y')} AS py
         FROM (SELECT *, floor(u * {2 * H}e0 + 0.5e0) AS x, floor((1e0 - v) * {H}e0 + 0.5e0) AS y FROM f_kf)) k
@@ -280,8 +280,9 @@ _AGES = [0.0, 0.1, 0.5, 0.98, 1.0]
 
 
 @query("age_band_mask", f"""
-  SELECT raster_id, age, px, py, CASE WHEN hit THEN r ELSE 0 END AS r, CASE WHEN hit THEN g ELSE 0 END AS g,
-         CASE WHEN hit THEN b ELSE 0 END AS b, CASE WHEN hit THEN 255 ELSE 0 END AS a
+  SELECT raster_id, age, px::INT AS px, py::INT AS py, (CASE WHEN hit THEN r ELSE 0 END)::SMALLINT AS r,
+         (CASE WHEN hit THEN g ELSE 0 END)::SMALLINT AS g, (CASE WHEN hit THEN b ELSE 0 END)::SMALLINT AS b,
+         (CASE WHEN hit THEN 255 ELSE 0 END)::SMALLINT AS a
   FROM (SELECT raster_id, age, px, py, age < 0.99e0 AND abs(hue - red) < 3 AS hit, {RAMP}
         FROM (SELECT i.raster_id, age, x AS px, y AS py, floor(age * 255e0 + 0.5e0) AS hue, coalesce(f.r, 0) AS red
               FROM (SELECT DISTINCT raster_id FROM f_raster) i,
@@ -307,8 +308,8 @@ def _step(c: str) -> str:
 
 
 @query("age_threshold_mask", f"""
-  SELECT raster_id, px, py, (255 * {_step('r')})::INT AS r, (255 * {_step('g')})::INT AS g, (255 * {_step('b')})::INT AS b,
-         floor(greatest(0e0, least(1e0, a / 255e0 * 0.5e0 - {_step('r')})) * 255e0 + 0.5e0)::INT AS a FROM f_raster""")
+  SELECT raster_id, px, py, (255 * {_step('r')})::SMALLINT AS r, (255 * {_step('g')})::SMALLINT AS g, (255 * {_step('b')})::SMALLINT AS b,
+         floor(greatest(0e0, least(1e0, a / 255e0 * 0.5e0 - {_step('r')})) * 255e0 + 0.5e0)::SMALLINT AS a FROM f_raster""")
 def _(t):
     return R.age_threshold_mask(t.raster, 0.3)
 
@@ -393,7 +394,7 @@ def _quad_sql() -> str:
 
 _QUADS = f"({_quad_sql()})"
 _VERTEX = " UNION ALL ".join(
-    f"SELECT mesh_id, face, vertex_id + {k} AS vertex_id, {r(f'p{k}x', 'x')}, {r(f'p{k}y', 'y')}, {r(f'p{k}z', 'z')}, "
+    f"SELECT mesh_id, face::INT AS face, vertex_id + {k} AS vertex_id, {r(f'p{k}x', 'x')}, {r(f'p{k}y', 'y')}, {r(f'p{k}z', 'z')}, "
     f"{r(f'u{k}', 'u')}, {r(f'v{k}', 'v')} FROM q" for k in range(4)
 )
 

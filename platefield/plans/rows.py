@@ -26,7 +26,7 @@ def _(t):
 
 
 @query("find_first", """
-  SELECT conv_id, turn, role, length(text) AS n_chars FROM conversations
+  SELECT conv_id, turn, role, length(text)::INT AS n_chars FROM conversations
   WHERE role = 'assistant' QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn) = 1""")
 def _(t):
     rows = t.conversations.select("conv_id", "turn", "role", F.length("text").alias("n_chars"))
@@ -124,7 +124,7 @@ def _(t):
 
 
 @query("array_flatten", f"""
-  SELECT vec_id, i AS item_idx, {r('embedding[i + 1]::DOUBLE', 'item')}
+  SELECT vec_id, i::INT AS item_idx, {r('embedding[i + 1]::DOUBLE', 'item')}
   FROM embeddings, LATERAL (SELECT unnest(range(len(embedding))) AS i)""")
 def _(t):
     out = Q.array_flatten(t.embeddings.select("vec_id", "embedding"), "embedding", "item")

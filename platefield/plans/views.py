@@ -24,7 +24,8 @@ view("f_nodes", f"""
               FROM embeddings))""")
 view("f_puts", f"""
   SELECT 0 AS raster_id, seq, (plate_id % {RASTER_WIDTH})::INT AS px, k AS py,
-         floor(value)::BIGINT % 256 AS r, (k * 2) % 256 AS g, plate_id % 256 AS b, 255 AS a FROM f_edits""")
+         (floor(value)::BIGINT % 256)::SMALLINT AS r, ((k * 2) % 256)::SMALLINT AS g,
+         (plate_id % 256)::SMALLINT AS b, 255::SMALLINT AS a FROM f_edits""")
 view("f_raster", """
   SELECT raster_id, px, py, arg_max(r, seq) AS r, arg_max(g, seq) AS g, arg_max(b, seq) AS b, arg_max(a, seq) AS a
   FROM f_puts GROUP BY raster_id, px, py""")
@@ -83,7 +84,7 @@ view("f_globe", """
 view("f_res", """
   SELECT n.plate_id, n.node_id, o.node_id AS original_id, o.u, o.v
   FROM f_stitched n JOIN f_nodes o ON o.plate_id = n.plate_id AND o.node_id = coalesce(n.mirror_id, n.node_id)""")
-view("f_one", f"SELECT 0 AS plate_id, plate_id * {PLATE_POINTS} + node_id AS node_id, u, v FROM f_nodes")
+view("f_one", f"SELECT 0::BIGINT AS plate_id, plate_id * {PLATE_POINTS} + node_id AS node_id, u, v FROM f_nodes")
 _delaunay("f_one_tri", "f_one")
 view("f_aged", _aged("f_nodes"))
 view("f_stitched_aged", _aged("f_stitched"))

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from ..operators import edits as E
 from ..operators import keyframes as K
 from ..session import scratch_path
+from ..sources.bindings import utc_day, utc_instant
 from ..streaming import keyframes as ST
 from .registry import query, r, rounded, rs
 from .views import interpolated
@@ -212,11 +213,11 @@ def _(t):
 def _(t):
     events = ST.edit_stream(t.spark, t.folder, "events.parquet")
     edits = events.select(
-        F.col("user_id").alias("plate_id"), F.col("event_id").alias("seq"), F.col("ts").cast("timestamp").alias("ts"),
+        F.col("user_id").alias("plate_id"), F.col("event_id").alias("seq"), utc_instant("ts").alias("ts"),
         (F.col("value") / 500.0).alias("u"),
         (F.get_json_object("props", "$.k").cast("int") / 100.0).alias("v"),
     )
     out = scratch_path(t.spark, "frames")
     ST.run_keyframe_stream(edits, out, scratch_path(t.spark, "stream"))
-    frames = t.spark.read.parquet(out).withColumn("frame_start", F.date_format("frame_start", "yyyy-MM-dd"))
+    frames = t.spark.read.parquet(out).withColumn("frame_start", utc_day("frame_start"))
     return rounded(frames, "u", "v")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import sphere as S
@@ -17,6 +17,17 @@ DAY0_MICROS = 1704067200000000  # 2024-01-01
 MONTH_MICROS = 2592000000000.0  # 30 days
 
 
+def utc_instant(ts: str) -> Column:
+    """Wall-clock times of a table as instants in UTC, whatever the session's time zone."""
+    return F.convert_timezone(F.lit("UTC"), F.current_timezone(), F.col(ts)).cast("timestamp")
+
+
+def utc_day(ts: str) -> Column:
+    """Day of an instant in UTC, as text."""
+    wall = F.convert_timezone(F.current_timezone(), F.lit("UTC"), F.col(ts).cast("timestamp_ntz"))
+    return F.date_format(wall, "yyyy-MM-dd")
+
+
 class Tables:
     """Parquet tables of one folder, and the fixtures derived from them."""
 
@@ -48,7 +59,7 @@ class Tables:
     @cached_property
     def edits(self) -> DataFrame:
         """Every event as an edit; ``time`` runs from 0 to 1 over 30 days."""
-        ts = F.col("ts").cast("timestamp")
+        ts = utc_instant("ts")
         k = F.get_json_object("props", "$.k").cast("int")
         return self.events.select(
             F.col("user_id").alias("plate_id"),

@@ -54,18 +54,21 @@ def bracket_frames(keyframes: DataFrame, queries: DataFrame) -> DataFrame:
         )
     ).withColumn("chunk", F.floor(F.col("t") * TIME_CHUNKS))
     summary = rows.groupBy("plate_id", "chunk").agg(F.max("f").alias("last"), F.min("f").alias("first"))
-    along = Window.partitionBy("plate_id").orderBy("chunk")
+    # Every frame runs from the start of its order: one that runs to the end would be
+    # recomputed per row, so "what follows" is "what comes before" in falling order.
+    sofar = lambda w, to: w.rowsBetween(Window.unboundedPreceding, to)
+    plate = Window.partitionBy("plate_id")
     carried = summary.select(
         "plate_id", "chunk",
-        F.last("last", True).over(along.rowsBetween(Window.unboundedPreceding, -1)).alias("before"),
-        F.first("first", True).over(along.rowsBetween(1, Window.unboundedFollowing)).alias("after"),
+        F.last("last", True).over(sofar(plate.orderBy("chunk"), -1)).alias("before"),
+        F.last("first", True).over(sofar(plate.orderBy(F.col("chunk").desc()), -1)).alias("after"),
     )
     inside = Window.partitionBy("plate_id", "chunk")
-    back = inside.orderBy("t", "kind").rowsBetween(Window.unboundedPreceding, 0)
-    ahead = inside.orderBy("t", F.col("kind").desc()).rowsBetween(0, Window.unboundedFollowing)
+    back = sofar(inside.orderBy("t", "kind"), 0)
+    ahead = sofar(inside.orderBy(F.col("t").desc(), "kind"), 0)
     found = (
         rows.withColumn("lower", F.last("f", True).over(back))
-        .withColumn("upper", F.first("f", True).over(ahead))
+        .withColumn("upper", F.last("f", True).over(ahead))
         .where("kind = 1")
         .join(carried, ["plate_id", "chunk"])
     )

@@ -8,6 +8,7 @@ import pytest
 
 import __spark_entry__ as entry
 from check import NAMES, canonical
+from platefield.plans import QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")
@@ -26,7 +27,7 @@ def test_entry_has_rows(spark):
     assert df.columns == ["plate_id", "node_id", "x1", "y1", "x2", "y2"] and df.count() > 0
 
 
-@pytest.mark.parametrize("key", sorted(entry.queries()))
+@pytest.mark.parametrize("key", sorted(QUERIES))
 def test_query(spark, db, key):
     mine = canonical(entry.queries()[key](spark, FOLDER).toPandas())
     sql = entry.oracle_sql().get(key)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, secrets
+from . import mixing, pii, secrets
 from .common import WORD, table
 from .registry import query
 
@@ -88,3 +88,10 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("path").alias("doc_id"), count("assign"), count("access"), count("hex"),
         F.sha2(secrets.joined(base), 256).alias("base_sha256"), secrets.joined(F.col("spans")).alias("spans"),
     )
+
+
+@query("op2_pii")
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    count = lambda kind: F.size(F.filter("pii_kinds", lambda k: k == kind)).cast("long").alias(f"n_{kind}")
+    return done.select("doc_id", "text", *[count(k) for k in pii.KINDS])

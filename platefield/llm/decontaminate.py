@@ -26,7 +26,7 @@ are ignored.
 
 from __future__ import annotations
 
-import re
+import string
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -42,13 +42,14 @@ MOST_REPEATS = 96
 #: Words of the items of one block, which is what one broadcast holds.
 BLOCK_WORDS = 500_000
 PIECE = 4
-STRIP = re.compile(r"^[\W_]+|[\W_]+$")
+#: Characters that a word may have around it and that don't count.
+PUNCTUATION = string.punctuation + "«»‹›„“”‘’‚…–—¡¿·•"
 LOST = 0  # words that no item has
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def plain(word: str) -> str:
-    return STRIP.sub("", word).lower()
+    return word.strip(PUNCTUATION).lower()
 
 
 def edits_allowed(words: int, similarity: float = SIMILARITY) -> int:
@@ -193,48 +194,67 @@ class Benchmark:
             hits.append(at[codes[spot] == code])
         return np.unique(np.concatenate(hits))
 
-    def candidates(self, words: np.ndarray, hits: np.ndarray) -> set[tuple[int, int]]:
-        """(start, item) of windows that agree with an item in the sampled places of a repetition."""
-        found: set[tuple[int, int]] = set()
+    def candidates(self, words: np.ndarray, first: np.ndarray, last: np.ndarray, hits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(starts, items) of windows that agree with an item in the sampled places of a repetition.
+
+        ``first`` and ``last`` bound the document of each hit in ``words``.
+        """
+        found = [np.zeros(0, np.int64)]
+        ends_at = np.repeat(last_of := np.unique(last), np.diff(np.r_[0, last_of])) if len(last) else last
         for shortest, longest, repeats in self.classes:
             # A window that holds a hit starts at most one window length before it.
             reach = longest + edits_allowed(longest, self.similarity)
             near = np.zeros(len(words) + 1, np.int64)
-            np.add.at(near, np.maximum(hits - reach, 0), 1)
-            np.add.at(near, np.minimum(hits + 1, len(words)), -1)
+            np.add.at(near, np.maximum(hits - reach, first), 1)
+            np.add.at(near, hits + 1, -1)
             starts = np.flatnonzero(np.cumsum(near[:-1]) > 0)
-            stops = np.minimum(starts + shortest, len(words))
+            stops = np.minimum(starts + shortest, ends_at[starts])
             for places, seed, keys, items in repeats:
                 key = self.walk(words, starts, stops, places, seed)
                 low, high = np.searchsorted(keys, key, "left"), np.searchsorted(keys, key, "right")
-                for i in np.flatnonzero(high > low):
-                    found.update((int(starts[i]), int(item)) for item in items[low[i] : high[i]])
-        return found
-
-    def matches(self, words: np.ndarray) -> list[tuple[int, int, int, int]]:
-        """(item, first word, words, edits) of the best window of each item in the document."""
-        hits = self.screen(words)
-        if not len(hits):
+                at = np.flatnonzero(high > low)
+                n = (high - low)[at]
+                picked = np.repeat(low[at] - np.cumsum(n) + n, n) + np.arange(n.sum())
+                found.append(np.repeat(starts[at], n) * len(self.items) + items[picked])
+            found = [np.unique(np.concatenate(found))]
+        return found[0] // len(self.items), found[0] % len(self.items)
+
+    def matches(self, texts: list[np.ndarray]) -> list[tuple[int, int, int, int, int]]:
+        """(text, item, first word, words, edits) of the best window of each item in each text."""
+        screened = [(i, w, h) for i, w in enumerate(texts) if len(h := self.screen(w))]
+        if not screened:
             return []
-        best: dict[int, tuple[int, int, int]] = {}
-        by_item = defaultdict(list)
-        for start, item in self.candidates(words, hits):
-            by_item[item].append(start)
-        for item, starts in by_item.items():
+        sizes = np.array([len(w) for _, w, _ in screened])
+        begin = np.cumsum(sizes) - sizes
+        words = np.concatenate([w for _, w, _ in screened])
+        counts = np.array([len(h) for _, _, h in screened])
+        hits = np.concatenate([h for _, _, h in screened]) + np.repeat(begin, counts)
+        starts, items = self.candidates(words, np.repeat(begin, counts), np.repeat(begin + sizes, counts), hits)
+        of = np.searchsorted(begin, starts, "right") - 1
+        best: dict[tuple[int, int], tuple[int, int, int]] = {}
+        order = np.argsort(items, kind="stable")
+        cuts = np.flatnonzero(np.diff(items[order])) + 1
+        for group in np.split(order, cuts) if len(order) else []:
+            item = int(items[group[0]])
             k = edits_allowed(len(self.items[item]), self.similarity)
-            edits, size = edit_distance(self.items[item], words, np.array(sorted(starts)), k)
-            i = int(np.argmin(edits))
-            if edits[i] <= k:
-                best[item] = (int(sorted(starts)[i]), int(size[i]), int(edits[i]))
-        return [(item, *at) for item, at in sorted(best.items())]
+            edits, size = edit_distance(self.items[item], words, starts[group], (begin + sizes)[of[group]], k)
+            for g, e, n in zip(group, edits, size):
+                if e <= k:
+                    at = (int(e), int(starts[g] - begin[of[g]]), int(n))
+                    key = (screened[of[g]][0], item)
+                    best[key] = min(best.get(key, at), at)
+        return [(text, item, first, n, e) for (text, item), (e, first, n) in sorted(best.items())]
 
 
-def edit_distance(item: np.ndarray, words: np.ndarray, starts: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Least edits of ``item`` against the windows at ``starts`` (lengths n - k to n + k), and that length."""
+def edit_distance(item: np.ndarray, words: np.ndarray, starts: np.ndarray, limits: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Least edits of ``item`` against the windows at ``starts`` (lengths n - k to n + k), and that length.
+
+    Windows end at ``limits``; words behind match nothing and cost an edit each, so shorter ones win.
+    """
     n = len(item)
     width = n + k
     at = starts[:, None] + np.arange(width)
-    window = np.where(at < len(words), words[np.minimum(at, len(words) - 1)], -2)
+    window = np.where(at < limits[:, None], words[np.minimum(at, len(words) - 1)], -2)
     column = np.arange(width + 1)
     row = np.broadcast_to(column, (len(starts), width + 1)).copy()
     for i in range(n):
@@ -243,7 +263,6 @@ def edit_distance(item: np.ndarray, words: np.ndarray, starts: np.ndarray, k: in
         new[:, 1:] = np.minimum(row[:, 1:] + 1, row[:, :-1] + (window != item[i]))
         # Insertions: the least of any cell to the left plus its distance.
         row = np.minimum.accumulate(new - column, axis=1) + column
-    # Words behind the document's end match nothing and cost an edit each, so shorter windows win.
     size = np.argmin(row[:, n - k :], axis=1) + n - k
     return row[np.arange(len(starts)), size], size
 
@@ -283,11 +302,15 @@ def scan(batches: Iterator[pd.DataFrame], bench: Benchmark) -> Iterator[pd.DataF
     for batch in batches:
         rows = []
         if bench.items:
-            for doc_id, text in zip(batch["doc_id"], batch["text"]):
-                if not text:
-                    continue
-                words = np.array(list(map(known.__getitem__, text.split())), np.int64)
-                words = words[words >= 0]
-                for i, first, size, edits in bench.matches(words):
-                    rows.append((doc_id, bench.ids[i], first, size, edits))
+            ids = batch["doc_id"].tolist()
+            # Texts of some million words are matched at once.
+            part: list[np.ndarray] = []
+            size = begin = 0
+            for i, text in enumerate([*batch["text"], None]):
+                words = np.array(list(map(known.__getitem__, (text or "").split())), np.int64)
+                part.append(words[words >= 0])
+                size += len(words)
+                if size > 2_000_000 or i == len(ids):
+                    rows += [(ids[begin + t], bench.ids[item], *at) for t, item, *at in bench.matches(part)]
+                    part, size, begin = [], 0, i + 1
         yield pd.DataFrame(rows, columns=names)

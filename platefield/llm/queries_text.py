@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, near_dedup, toxicity
+from . import decontaminate, near_dedup, ppm, toxicity
 from .common import table
 from .registry import query
 
@@ -30,3 +30,9 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_near_dedup")
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size")
+
+
+@query("op5_ppm")
+def op5_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return ppm.score(docs, ppm.held_out(F.col("doc_id")))

@@ -47,6 +47,8 @@ LEXICON = 65536
 #: Lower bounds of the evidence classes 1.., in natural log odds.
 CLASSES = (1.0, 2.5, 4.0)
 LEAST_CONTEXTS, LEAST_Z = 4, 3.0
+#: Steps after which messages over words without evidence no longer change.
+SETTLED = 4096
 PART = re.compile(r"[^\W_]+")
 TOKEN = re.compile(r"\S+")
 FEATURES = 1 + 3 * len(CLASSES)
@@ -263,13 +265,22 @@ class Scorer:
 
     def __init__(self, model: Model):
         self.model, self.evidence, self.plain = model, Evidence(model.lexicon), {}
+        one = np.array([SETTLED])
+        self.start, stop = passes(np.full(SETTLED, model.field.emit[0]), one, model.field.step)
+        self.stop = stop[::-1]
 
     def plain_features(self, length: int) -> np.ndarray:
+        """Features of a text of so many words without evidence.
+
+        Its messages depend on the distance to the start and to the end alone and settle
+        within SETTLED steps, so those of one long sequence serve all lengths.
+        """
         if length not in self.plain:
             if len(self.plain) > 1 << 16:
                 self.plain.clear()
-            one = np.array([length])
-            self.plain[length] = document_features(marginals(np.zeros(length, np.int8), one, self.model.field), one)[0]
+            at = np.arange(length)
+            p = self.start[np.minimum(at, SETTLED - 1)] + self.stop[np.minimum(at[::-1], SETTLED - 1)]
+            self.plain[length] = document_features(1 / (1 + np.exp(-np.clip(p, -60, 60))), np.array([length]))[0]
         return self.plain[length]
 
     def score(self, texts: list[str]) -> tuple[np.ndarray, list[list[tuple[int, int, float]]]]:

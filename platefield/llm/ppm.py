@@ -3,9 +3,10 @@
 The trie of byte contexts up to ORDER bytes is held as counted tables: a row for each
 context and next byte, for each order. It is counted over all training texts; scores are
 code lengths under the pretrained trie. A byte is predicted by the longest context that knows it;
-each longer context is left with its escape probability d / (n + d), n its count and d its
-number of distinct next bytes (method C), and the bytes it knows are excluded below, which
-needs, per context, the count its bytes have one order lower. Bytes that no order knows share the
+with n its count and d its number of distinct next bytes, a byte counted c times has the
+probability (2c - 1) / 2n there and the escape to the next shorter context d / 2n (method
+D). The bytes a longer context knows are excluded below, which needs, per context, the
+count its bytes have one order lower. Bytes that no order knows share the
 last escape evenly. Every text starts from ORDER pads and ends in an end sign.
 
 Neither the trie nor the words are broadcast, as both grow with the corpus. Documents are
@@ -38,7 +39,7 @@ ORDER = 4
 #: Bytes that no UTF-8 text has.
 PAD, END = 0xFE, 0xFF
 SYMBOLS = 257
-BLOCK_BYTES = 40_000_000
+BLOCK_BYTES = 60_000_000
 #: Bytes that are coded at once inside a task.
 PART_BYTES = 4_000_000
 #: A key is a tag and the bytes of a context: pairs of order j, then n, d and the excluded count of contexts.
@@ -168,8 +169,8 @@ def log_probability(codes: np.ndarray, get) -> np.ndarray:
         else:
             new = d
         hit, leave = ~done & (c > 0), ~done & (c == 0) & (new > 0)
-        out[hit] += np.log10(c[hit] / (n + new)[hit])
-        out[leave] += np.log10(new[leave] / (n + new)[leave])
+        out[hit] += np.log10((2 * c[hit] - 1) / (2 * n[hit]))
+        out[leave] += np.log10(new[leave] / (2 * n[leave]))
         done |= hit
         known = d
     out[~done] -= np.log10(SYMBOLS - known[~done])

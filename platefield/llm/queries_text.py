@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, near_dedup, ppm, toxicity
+from . import decontaminate, graph_ann, near_dedup, ppm, toxicity
 from .common import table
 from .registry import query
 
@@ -36,3 +36,10 @@ def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return ppm.score(docs, ppm.held_out(F.col("doc_id")))
+
+
+@query("op3_graph_ann")
+def op3_graph_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    found = graph_ann.nearest(vectors, vectors.filter("vec_id % 100 = 0"), "vec_id", "embedding")
+    return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")

@@ -270,32 +270,53 @@ def edit_distance(item: np.ndarray, words: np.ndarray, starts: np.ndarray, limit
 SCHEMA = "doc_id long, item_id long, first_word long, words long, edits long"
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, doc: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """doc_id, item_id, first_word, words, edits: the best window per document and item.
-
-    Words are counted without those that are punctuation only.
-    """
-    spark = docs.sparkSession
+def blocks(benchmark: DataFrame, item: str = "item_id", item_text: str = "text") -> Iterator[list[tuple[int, str]]]:
+    """Items in blocks of bounded size; one item at a time comes by."""
     items = benchmark.select(F.col(item).alias("id"), F.col(item_text).alias("text")).filter("text IS NOT NULL AND id IS NOT NULL")
-    blocks: list[list[tuple[int, str]]] = [[]]
+    block: list[tuple[int, str]] = []
     words = 0
-    # One item at a time comes by; a block is kept until its pass is planned.
     for row in items.orderBy("id", "text").toLocalIterator():
         n = len(row.text.split())
-        if words + n > BLOCK_WORDS and blocks[-1]:
-            blocks.append([])
-            words = 0
-        blocks[-1].append((row.id, row.text))
+        if words + n > BLOCK_WORDS and block:
+            yield block
+            block, words = [], 0
+        block.append((row.id, row.text))
         words += n
+    yield block
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, doc: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
+    """doc_id, item_id, first_word, words, edits: the best window per document and item.
+
+    Words are counted without those that are punctuation only.
+    """
     source = docs.select(F.col(doc).cast("long").alias("doc_id"), F.col(text).alias("text"))
     out = None
-    for block in blocks:
-        shared = spark.sparkContext.broadcast(Benchmark(block, similarity))
+    for block in blocks(benchmark, item, item_text):
+        shared = docs.sparkSession.sparkContext.broadcast(Benchmark(block, similarity))
         found = source.mapInPandas(lambda batches, b=shared: scan(batches, b.value), SCHEMA)
         out = found if out is None else out.unionByName(found)
     return out
 
 
+def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
+    """The rows of ``docs`` that hold no item."""
+    out = docs
+    for block in blocks(benchmark, item, item_text):
+        shared = docs.sparkSession.sparkContext.broadcast(Benchmark(block, similarity))
+
+        @F.pandas_udf("boolean")
+        def holds(batches: Iterator[pd.Series], b=shared) -> Iterator[pd.Series]:
+            for batch in batches:
+                rows = pd.DataFrame({"doc_id": range(len(batch)), "text": batch.to_numpy()})
+                hit = np.zeros(len(batch), bool)
+                hit[next(scan(iter([rows]), b.value))["doc_id"].to_numpy(np.int64)] = True
+                yield pd.Series(hit)
+
+        out = out.filter(~holds(F.col(text)))
+    return out
+
+
 def scan(batches: Iterator[pd.DataFrame], bench: Benchmark) -> Iterator[pd.DataFrame]:
     known = Words(bench.known)
     names = [x.split()[0] for x in SCHEMA.split(", ")]

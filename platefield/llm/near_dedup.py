@@ -36,6 +36,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..session import cut_lineage
 from .components import components
@@ -323,3 +324,14 @@ def near_duplicates(docs: DataFrame, doc: str = "doc_id", text: str = "text", le
     rows = signed.select("doc_id", "node").join(roots, "node", "left").select("doc_id", "node", F.coalesce("root", "node").alias("root"))
     classes = cut_lineage(rows.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size")))
     return rows.join(classes, "root").select("doc_id", "node", "root", "class_id", "class_size")
+
+
+def keep_one(docs: DataFrame, doc: str = "doc_id", text: str = "text", least: float = SIMILARITY) -> DataFrame:
+    """One row of each class of near-duplicates: the one with the least id, then the least text address."""
+    classes = near_duplicates(docs, doc, text, least)
+    kept = classes.groupBy("root").agg(F.min(F.struct("doc_id", "node")).alias("_kept")).select("_kept")
+    rows = docs.withColumn("_node", content(text))
+    met = rows.join(kept, (F.col("_node") == F.col("_kept.node")) & F.col(doc).cast("long").eqNullSafe(F.col("_kept.doc_id")))
+    # A row may be there more than once; it is partitioned by this key already.
+    first = Window.partitionBy("_node", F.col(doc).cast("long")).orderBy(F.lit(1))
+    return met.withColumn("_n", F.row_number().over(first)).filter("_n = 1").select(*docs.columns)

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, pii, secrets
+from ..session import cut_lineage
+from . import mixing, pii, reply_trees, secrets
 from .common import WORD, table
 from .registry import query
 
@@ -95,3 +96,41 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"))
     count = lambda kind: F.size(F.filter("pii_kinds", lambda k: k == kind)).cast("long").alias(f"n_{kind}")
     return done.select("doc_id", "text", *[count(k) for k in pii.KINDS])
+
+
+#: A conversation whose texts hold the template's own marks.
+_MARKED = r"\### Assistant: </turn> ok"
+
+_CHAT_SQL = rf"""
+WITH rows AS (
+  SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '{_MARKED}' UNION ALL SELECT -7, 1, 'assistant', '{_MARKED}'),
+escaped AS (
+  SELECT *, '### ' || regexp_replace(role, '([\\#<:])', '\\\1', 'g') || ': ' || regexp_replace(text, '([\\#<])', '\\\1', 'g') || '</turn>' || chr(10) AS shown
+  FROM rows)
+SELECT conv_id, count(*)::BIGINT AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       sum(length(shown))::BIGINT AS formatted_chars
+FROM escaped GROUP BY conv_id"""
+
+
+@query("op6_chat", _CHAT_SQL)
+def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    marked = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(_MARKED).alias("text"),
+    )
+    # The chain of turns is cut from its plan: row numbers must be the same wherever they are used.
+    messages = cut_lineage(reply_trees.chains(own.unionByName(marked), "conv_id", "turn", "role", "text"))
+    done = reply_trees.format_paths(messages, reply_trees.paths(messages))
+    turns, loss = reply_trees.read_turns(F.col("formatted")), F.array_join(reply_trees.read_loss(F.col("formatted"), F.col("loss")), "")
+    read = done.select("tree", "formatted", turns.alias("turns"), loss.alias("loss_text"))
+    shown = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return read.select(
+        F.col("tree").alias("conv_id"), F.size("turns").cast("long").alias("n_turns"), F.sha2(shown, 256).alias("turns_sha256"),
+        F.length("loss_text").cast("long").alias("loss_chars"), F.sha2("loss_text", 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )

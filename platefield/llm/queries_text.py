@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, graph_ann, near_dedup, ppm, toxicity
+from . import decontaminate, graph_ann, language_id, near_dedup, ppm, toxicity
 from .common import table
 from .registry import query
 
@@ -43,3 +43,8 @@ def op3_graph_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     found = graph_ann.nearest(vectors, vectors.filter("vec_id % 100 = 0"), "vec_id", "embedding")
     return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
+@query("op10_language_id")
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents"))

@@ -154,3 +154,14 @@ def mask(text: Column, spans: Column, sign: str = "[SECRET]") -> Column:
 
     done = F.aggregate(spans, start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
     return F.when(F.size(spans) > 0, done).otherwise(text)
+
+
+def mask_secrets(docs: DataFrame, path: str = "doc_id", text: str = "text", chars: str | None = None, rules=RULES) -> DataFrame:
+    """``docs`` with every finding masked; ``chars`` names a column of text lengths to keep right."""
+    _, found, _ = scan(docs, path, text, rules)
+    hit = found.select(F.col("blob").alias("_blob"), F.col("spans").alias("_spans"))
+    met = docs.join(hit, F.sha2(F.coalesce(F.col(text), F.lit("")), 256) == F.col("_blob"), "left")
+    masked = met.withColumn(text, F.when(F.col("_spans").isNotNull(), mask(F.col(text), F.col("_spans"))).otherwise(F.col(text)))
+    if chars is not None:
+        masked = masked.withColumn(chars, F.when(F.col("_spans").isNotNull(), F.length(text).cast(docs.schema[chars].dataType)).otherwise(F.col(chars)))
+    return masked.select(*docs.columns)

@@ -57,3 +57,14 @@ def running_start(
     inside = df.withColumn("_inside", own(Window.partitionBy(*keys, "_chunk")))
     joined = inside.join(upper, [*keys, "_chunk"])
     return joined.withColumn(out, F.col("_upper") + F.col("_inside")).drop("_chunk", "_upper", "_inside")
+
+
+def nested(docs: DataFrame) -> DataFrame:
+    """All columns as one, so that no name clashes with those an operator adds."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+
+
+def unnested(df: DataFrame, columns: Sequence[str], **changed: Column) -> DataFrame:
+    """The columns of ``nested`` again, with some replaced or added."""
+    kept = [changed.get(c, F.col("_row").getField(c)).alias(c) for c in columns]
+    return df.select(*kept, *[v.alias(c) for c, v in changed.items() if c not in columns])

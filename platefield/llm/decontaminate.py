@@ -303,18 +303,22 @@ def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str =
     """The rows of ``docs`` that hold no item."""
     out = docs
     for block in blocks(benchmark, item, item_text):
-        shared = docs.sparkSession.sparkContext.broadcast(Benchmark(block, similarity))
+        out = out.filter(~holder(docs.sparkSession.sparkContext.broadcast(Benchmark(block, similarity)))(F.col(text)))
+    return out
 
-        @F.pandas_udf("boolean")
-        def holds(batches: Iterator[pd.Series], b=shared) -> Iterator[pd.Series]:
-            for batch in batches:
-                rows = pd.DataFrame({"doc_id": range(len(batch)), "text": batch.to_numpy()})
-                hit = np.zeros(len(batch), bool)
-                hit[next(scan(iter([rows]), b.value))["doc_id"].to_numpy(np.int64)] = True
-                yield pd.Series(hit)
 
-        out = out.filter(~holds(F.col(text)))
-    return out
+def holder(shared):
+    """A function of texts: whether they hold an item of the block that was broadcast."""
+
+    @F.pandas_udf("boolean")
+    def holds(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            rows = pd.DataFrame({"doc_id": range(len(batch)), "text": batch.to_numpy()})
+            hit = np.zeros(len(batch), bool)
+            hit[next(scan(iter([rows]), shared.value))["doc_id"].to_numpy(np.int64)] = True
+            yield pd.Series(hit)
+
+    return holds
 
 
 def scan(batches: Iterator[pd.DataFrame], bench: Benchmark) -> Iterator[pd.DataFrame]:

@@ -39,6 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..session import cut_lineage
+from .common import nested, unnested
 from .components import components
 
 SHINGLE = 5
@@ -73,9 +74,9 @@ class Hashes(dict):
         return h
 
 
-def content(text: str) -> Column:
+def content(text: Column) -> Column:
     """The address of a text."""
-    return F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")))
+    return F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary")))
 
 
 def count_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -222,7 +223,7 @@ def signatures(docs: DataFrame, weights: tuple[np.ndarray, np.ndarray], doc: str
                 bands += [m if n else m[:0] for m, n in zip(made, lengths)]
             yield pd.DataFrame({"doc_id": batch["doc_id"], "node": batch["node"], "bands": bands})
 
-    rows = docs.select(F.col(doc).cast("long").alias("doc_id"), content(text).alias("node"), F.col(text).alias("text"))
+    rows = docs.select(F.col(doc).cast("long").alias("doc_id"), content(F.col(text)).alias("node"), F.col(text).alias("text"))
     return rows.mapInPandas(run, "doc_id long, node binary, bands array<long>")
 
 
@@ -286,7 +287,7 @@ def links(docs: DataFrame, signed: DataFrame, weights: tuple[np.ndarray, np.ndar
     kept = cut_lineage(members.join(sets.select("bucket", "n"), "bucket"))
     involved = kept.select("node").distinct().join(contents.select("node", "carrier"), "node")
     # The id is in the key, so the copies of a text spread and one of them is read.
-    rows = docs.select(F.col(doc).cast("long").alias("doc_id"), content(text).alias("_node"), F.col(text).alias("text"))
+    rows = docs.select(F.col(doc).cast("long").alias("doc_id"), content(F.col(text)).alias("_node"), F.col(text).alias("text"))
     texts = rows.join(involved, (F.col("_node") == F.col("node")) & F.col("doc_id").eqNullSafe(F.col("carrier.doc_id"))).select("node", "text")
     shared = docs.sparkSession.sparkContext.broadcast(weights)
 
@@ -330,8 +331,8 @@ def keep_one(docs: DataFrame, doc: str = "doc_id", text: str = "text", least: fl
     """One row of each class of near-duplicates: the one with the least id, then the least text address."""
     classes = near_duplicates(docs, doc, text, least)
     kept = classes.groupBy("root").agg(F.min(F.struct("doc_id", "node")).alias("_kept")).select("_kept")
-    rows = docs.withColumn("_node", content(text))
-    met = rows.join(kept, (F.col("_node") == F.col("_kept.node")) & F.col(doc).cast("long").eqNullSafe(F.col("_kept.doc_id")))
+    rows = nested(docs).withColumns({"node": content(F.col("_row").getField(text)), "id": F.col("_row").getField(doc).cast("long")})
+    met = rows.join(kept, (F.col("node") == F.col("_kept.node")) & F.col("id").eqNullSafe(F.col("_kept.doc_id")))
     # A row may be there more than once; it is partitioned by this key already.
-    first = Window.partitionBy("_node", F.col(doc).cast("long")).orderBy(F.lit(1))
-    return met.withColumn("_n", F.row_number().over(first)).filter("_n = 1").select(*docs.columns)
+    first = Window.partitionBy("node", "id").orderBy(F.lit(1))
+    return unnested(met.withColumn("n", F.row_number().over(first)).filter("n = 1"), docs.columns)

@@ -11,15 +11,19 @@ modulo the radices, to the other half; whatever the radices are, that can be und
 no cycle walking is needed. DataFrame functions only.
 
 Defined results: a NULL text stays NULL with no values; empty texts stay empty; repeated
-rows are rows of their own; other columns are kept as they are. Texts are read whole.
+rows are rows of their own; other columns are kept as they are, but pii_kinds is replaced. Texts are read whole.
 The key is part of the query plan: keep plans and event logs as private as the key.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import nested, unnested
+
 ROUNDS = 10
 
 #: Patterns in order of precedence. None can match the empty text, and each is bounded or
@@ -134,8 +138,6 @@ def kind_of(m: Column) -> Column:
 
 def _bare(pattern: str) -> str:
     """A pattern without what it asks of its surroundings."""
-    import re
-
     return re.sub(r"^\(\?<!(?:[^()]|\[[^\]]*\])*\)|\(\?!(?:[^()]|\[[^\]]*\])*\)$", "", pattern)
 
 
@@ -249,14 +251,12 @@ def pseudonym(m: Column, key: str) -> Column:
 
 def pseudonymise(docs: DataFrame, text: str = "text", key: str = "change-me") -> DataFrame:
     """``docs`` with ``text`` rewritten and ``pii_kinds``, the kinds of its values in order."""
-    source = F.col(text)
+    source = F.col("_row").getField(text)
     found = F.transform(F.regexp_extract_all(source, F.lit(ANY), F.lit(0)), lambda m: pseudonym(m, key))
     hit = source.rlike(SIGN) & source.rlike(ANY)
-    done = docs.withColumn("_found", F.when(hit, found)).withColumn("_gaps", F.when(F.col("_found").isNotNull(), F.split(source, ANY, -1)))
-    texts = F.transform("_gaps", lambda g, i: F.concat(g, F.coalesce(F.try_element_at("_found", i + 1)["text"], F.lit(""))))
-    kinds = F.filter(F.transform("_found", lambda f: f["kind"]), lambda k: k.isNotNull())
-    none = F.array().cast("array<string>")
-    return done.withColumns({
-        text: F.when(F.col("_found").isNotNull(), F.array_join(texts, "")).otherwise(source),
-        "pii_kinds": F.coalesce(kinds, none),
-    }).drop("_found", "_gaps")
+    done = nested(docs).withColumn("found", F.when(hit, found))
+    done = done.withColumn("gaps", F.when(F.col("found").isNotNull(), F.split(source, ANY, -1)))
+    texts = F.transform("gaps", lambda g, i: F.concat(g, F.coalesce(F.try_element_at("found", i + 1)["text"], F.lit(""))))
+    kinds = F.filter(F.transform("found", lambda f: f["kind"]), lambda k: k.isNotNull())
+    rewritten = F.when(F.col("found").isNotNull(), F.array_join(texts, "")).otherwise(source)
+    return unnested(done, docs.columns, **{text: rewritten, "pii_kinds": F.coalesce(kinds, F.array().cast("array<string>"))})

@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
+from .common import nested, unnested
 
 
 @dataclass(frozen=True)
@@ -159,9 +160,10 @@ def mask(text: Column, spans: Column, sign: str = "[SECRET]") -> Column:
 def mask_secrets(docs: DataFrame, path: str = "doc_id", text: str = "text", chars: str | None = None, rules=RULES) -> DataFrame:
     """``docs`` with every finding masked; ``chars`` names a column of text lengths to keep right."""
     _, found, _ = scan(docs, path, text, rules)
-    hit = found.select(F.col("blob").alias("_blob"), F.col("spans").alias("_spans"))
-    met = docs.join(hit, F.sha2(F.coalesce(F.col(text), F.lit("")), 256) == F.col("_blob"), "left")
-    masked = met.withColumn(text, F.when(F.col("_spans").isNotNull(), mask(F.col(text), F.col("_spans"))).otherwise(F.col(text)))
+    own = F.col("_row").getField(text)
+    met = nested(docs).join(found, F.sha2(F.coalesce(own, F.lit("")), 256) == F.col("blob"), "left")
+    masked = F.when(F.col("spans").isNotNull(), mask(own, F.col("spans"))).otherwise(own)
+    changed = {text: masked}
     if chars is not None:
-        masked = masked.withColumn(chars, F.when(F.col("_spans").isNotNull(), F.length(text).cast(docs.schema[chars].dataType)).otherwise(F.col(chars)))
-    return masked.select(*docs.columns)
+        changed[chars] = F.when(F.col("spans").isNotNull(), F.length(masked).cast(docs.schema[chars].dataType)).otherwise(F.col("_row").getField(chars))
+    return unnested(met, docs.columns, **changed)

@@ -20,7 +20,7 @@ shuffle.
 Defined results: a NULL or empty text has no words and gets the score of no evidence;
 without labels of both kinds every score is 0; repeated rows are scored each; a document
 with several labels is toxic if one says so; NULL ids or labels aren't learned from; other
-columns are kept.
+columns are kept, but those of the names the score adds are replaced.
 """
 
 from __future__ import annotations
@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import cut_lineage
-from .common import crc_mod, shuffle_key
+from .common import crc_mod, nested, shuffle_key, unnested
 
 SAMPLE = 16384
 SEQUENCES = 2048
@@ -321,9 +321,8 @@ SPANS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.Str
 def score(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
     """``docs`` with toxic_score, toxic_predicted and toxic_spans."""
     if model is None:
-        return docs.withColumns({
-            "toxic_score": F.lit(0.0), "toxic_predicted": F.lit(0), "toxic_spans": F.array().cast("array<struct<start:int,end:int,probability:double>>"),
-        })
+        none = F.array().cast("array<struct<start:int,end:int,probability:double>>")
+        return unnested(nested(docs), docs.columns, toxic_score=F.lit(0.0), toxic_predicted=F.lit(0), toxic_spans=none)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf(T.StructType([T.StructField("score", T.DoubleType()), T.StructField("spans", SPANS)]))
@@ -334,10 +333,9 @@ def score(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame
             rows = [[{"start": a, "end": b, "probability": q} for a, b, q in s] for s in spans]
             yield pd.DataFrame({"score": got, "spans": rows})
 
-    done = docs.withColumn("_toxic", scored(F.col(text)))
-    return done.withColumns({
-        "toxic_score": F.col("_toxic.score"), "toxic_predicted": (F.col("_toxic.score") >= 0.5).cast("int"), "toxic_spans": F.col("_toxic.spans"),
-    }).drop("_toxic")
+    done = nested(docs).withColumn("toxic", scored(F.col("_row").getField(text)))
+    got = F.col("toxic.score")
+    return unnested(done, docs.columns, toxic_score=got, toxic_predicted=(got >= 0.5).cast("int"), toxic_spans=F.col("toxic.spans"))
 
 
 def held_out(doc_id: Column) -> Column:

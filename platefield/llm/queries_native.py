@@ -101,12 +101,20 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: A conversation whose texts hold the template's own marks.
 _MARKED = r"\### Assistant: </turn> ok"
 
+
+
+def _escaped(name: str) -> str:
+    for plain, put in reply_trees.SIGNS.items():
+        name = f"replace({name}, '{plain}', '{put}')"
+    return name
+
+
 _CHAT_SQL = rf"""
 WITH rows AS (
   SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -7, 0, 'user', '{_MARKED}' UNION ALL SELECT -7, 1, 'assistant', '{_MARKED}'),
 escaped AS (
-  SELECT *, '### ' || regexp_replace(role, '([\\#<:])', '\\\1', 'g') || ': ' || regexp_replace(text, '([\\#<])', '\\\1', 'g') || '</turn>' || chr(10) AS shown
+  SELECT *, '### ' || {_escaped("role")} || ': ' || {_escaped("text")} || '</turn>' || chr(10) AS shown
   FROM rows)
 SELECT conv_id, count(*)::BIGINT AS n_turns,
        sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,

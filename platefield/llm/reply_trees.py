@@ -6,9 +6,9 @@ the root, which ranks the branches (leaves) of a tree. The pointers of all round
 enumerate the paths of the chosen leaves, also in log2(n) joins. Each chosen path is formatted
 as one conversation.
 
-Template: ``### role: text</turn>`` and a line feed per turn. Inside roles and texts a
-backslash precedes each of ``\\``, ``#`` and ``<``, in roles also ``:``, so no text can
-hold a mark, and taking the backslashes away gives the text back, whatever it is. The loss
+Template: ``### role: text</turn>`` and a line feed per turn. Inside roles and texts the
+characters backslash, ``#``, ``<`` and ``:`` are written as pairs that begin with a backslash, so no
+text can hold a mark, and reading the pairs gives the text back, whatever it is. The loss
 mask lists the places (code points, exclusive end) of assistant texts.
 
 Defined results: NULL roles and texts are empty; a parent that isn't there makes a root;
@@ -27,15 +27,22 @@ from ..session import cut_lineage
 
 OPEN, COLON, CLOSE = "### ", ": ", "</turn>\n"
 TRAINED = "assistant"
+#: What a text may not hold and what stands for it. A backslash always begins one of these pairs, so they can be told apart.
+SIGNS = {"\\": "\\-", "#": "\\=", "<": "\\(", ":": "\\;"}
 KEY = ["tree", "node"]
 
 
-def escape(s: Column, extra: str = "") -> Column:
-    return F.regexp_replace(F.coalesce(s, F.lit("")), rf"([\\#<{extra}])", r"\\$1")
+def escape(s: Column) -> Column:
+    out = F.coalesce(s, F.lit(""))
+    for plain, put in SIGNS.items():
+        out = F.replace(out, F.lit(plain), F.lit(put))
+    return out
 
 
 def unescape(s: Column) -> Column:
-    return F.regexp_replace(s, r"(?s)\\(.)", "$1")
+    for plain, put in reversed(SIGNS.items()):
+        s = F.replace(s, F.lit(put), F.lit(plain))
+    return s
 
 
 def chains(turns: DataFrame, tree: str, turn: str, role: str, text: str) -> DataFrame:
@@ -109,7 +116,7 @@ def format_paths(messages: DataFrame, chosen: DataFrame, trained: str = TRAINED)
         F.col("tree").alias("_tree"), F.col("node").alias("_node"), F.col("m.role").alias("role"), F.col("m.text").alias("text")
     )
     turns = _tied(chosen, texts, "node")
-    head = F.concat(F.lit(OPEN), escape(F.col("role"), ":"), F.lit(COLON))
+    head = F.concat(F.lit(OPEN), escape(F.col("role")), F.lit(COLON))
     body = escape(F.col("text"))
     turn = F.struct("place", head.alias("head"), body.alias("body"), F.coalesce(F.col("role") == trained, F.lit(False)).alias("trained"))
     grouped = turns.groupBy("tree", "leaf", "rank", "score").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
@@ -130,11 +137,10 @@ def format_paths(messages: DataFrame, chosen: DataFrame, trained: str = TRAINED)
 
 def read_turns(formatted: Column) -> Column:
     """The turns (role, text) of a formatted conversation."""
-    head = r"^### ([^\\:]*+(?:\\.[^\\:]*+)*+): "
     parts = F.split(formatted, CLOSE, -1)
 
     def turn(t: Column) -> Column:
-        role = F.regexp_extract(t, head, 1)
+        role = F.substring_index(F.substr(t, F.lit(len(OPEN) + 1)), ":", 1)
         return F.struct(unescape(role).alias("role"), unescape(F.substr(t, F.length(role) + len(OPEN) + len(COLON) + 1)).alias("text"))
 
     return F.transform(F.slice(parts, F.lit(1), F.size(parts) - 1), turn)

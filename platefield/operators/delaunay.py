@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from ..functions.triangulate import triangulate
 from ..session import cut_lineage
-from .ranking import running_total, with_position
+from .ranking import SEQ_BITS, running_total, with_position
 
 TILE_POINTS = 8192
 STEP = 2  # quadtree levels per round: a parent tile has 4 x 4 children
@@ -254,7 +254,7 @@ def number_triangles(triangles: DataFrame) -> DataFrame:
     counts are summed over the corner ids.
     """
     per_corner = triangles.groupBy("plate_id", "a").agg(F.count(F.lit(1)).alias("n"))
-    starts = running_total(per_corner, ["plate_id"], "a", "n", 40).select("plate_id", "a", "before")
+    starts = running_total(per_corner, ["plate_id"], "a", "n", SEQ_BITS).select("plate_id", "a", "before")
     w = Window.partitionBy("plate_id", "a").orderBy("b", "c")
     return (
         triangles.withColumn("_k", F.row_number().over(w) - 1)

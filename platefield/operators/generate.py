@@ -1,7 +1,8 @@
 """Row generators. Each takes a table of parameters and gives each row its own sequence.
 
-A row first expands to lines and then each line to cells, so no single row builds
-an array of a whole image.
+A row first expands to lines (or blocks of BLOCK numbers), these are dealt over the
+cluster, and then each one expands to cells: no single row builds an array of a whole
+image, and one row of a large image is the work of all executors.
 """
 
 from __future__ import annotations
@@ -25,6 +26,24 @@ CUBE_FACES = [
 ]
 
 
+BLOCK = 65536
+
+
+def spread(df: DataFrame, *by: str) -> DataFrame:
+    """Deal rows over as many tasks as the cluster runs at once, or more; adaptive execution leaves a given number alone."""
+    spark = df.sparkSession
+    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(parts, *by)
+
+
+def numbered(df: DataFrame, n: Column, name: str) -> DataFrame:
+    """Each row with ``name`` = 0 .. n-1, in blocks that are dealt out."""
+    blocks = df.withColumn("_n", n.cast("bigint")).withColumn("_b", F.explode(counted(F.ceil(F.col("_n") / BLOCK))))
+    first = F.col("_b") * BLOCK
+    own = F.explode(F.sequence(first, F.least(first + BLOCK, F.col("_n")) - 1))
+    return spread(blocks, "_b", *df.columns).withColumn(name, own).drop("_n", "_b")
+
+
 def counted(n: Column) -> Column:
     """0 .. n-1; NULL (no rows under explode) when n <= 0, where ``sequence`` would descend."""
     return F.when(n > 0, F.sequence(F.lit(0).cast("bigint"), n.cast("bigint") - 1))
@@ -32,7 +51,7 @@ def counted(n: Column) -> Column:
 
 def gen_range(df: DataFrame, size: str, step: str) -> DataFrame:
     """Each row with 0, step, 2*step, ... ``size`` times; a step that is not positive gives nothing."""
-    rows = df.withColumn("seq", F.explode(counted(F.when(F.col(step) > 0, F.col(size)))))
+    rows = numbered(df, F.when(F.col(step) > 0, F.col(size)), "seq")
     return rows.withColumn("value", F.col("seq") * F.col(step))
 
 
@@ -41,9 +60,9 @@ def gen_pixel_grid(df: DataFrame, width: str, height: str, start_x: str, start_y
     w = F.coalesce(width, height, F.lit(0))
     h = F.coalesce(height, width, F.lit(0))
     x0, y0 = F.coalesce(start_x, F.lit(0)), F.coalesce(start_y, F.lit(0))
+    lines = df.withColumns({"_w": w - x0, "_x": x0, "_y": y0}).withColumn("py", F.explode(counted(h - y0)))
     return (
-        df.withColumns({"_w": w - x0, "_x": x0, "_y": y0})
-        .withColumn("py", F.explode(counted(h - y0)))
+        spread(lines, "py", *df.columns)
         .withColumn("px", F.explode(counted(F.col("_w"))))
         .withColumns({"px": F.col("px") + F.col("_x"), "py": F.col("py") + F.col("_y")})
         .drop("_w", "_x", "_y")
@@ -55,7 +74,7 @@ def gen_equirect_uvs(df: DataFrame, resolution: str) -> DataFrame:
     res = F.col(resolution).cast("bigint")
     lines = df.withColumn("_y", F.explode(counted(res + 1)))
     pole = (F.col("_y") == 0) | (F.col("_y") == res)
-    cells = lines.withColumn("_x", F.explode(counted(F.when(pole, F.lit(1)).otherwise(res * 2 - 1))))
+    cells = spread(lines, "_y", *df.columns).withColumn("_x", F.explode(counted(F.when(pole, F.lit(1)).otherwise(res * 2 - 1))))
     inner = (F.col("_y") - 1) * (res * 2 - 1) + F.col("_x") + 1
     seq = F.when(F.col("_y") == 0, F.lit(0)).when(F.col("_y") == res, (res - 1) * (res * 2 - 1) + 1)
     return cells.select(
@@ -81,11 +100,16 @@ def _face_table() -> Column:
 def gen_cube_quads(df: DataFrame, resolution: str) -> DataFrame:
     """One row per quad of a subdivided cube: ``face_axes, qx, qy`` and its first ``vertex_id``."""
     res = F.col(resolution).cast("bigint")
-    return (
+    lines = (
         df.where(F.when(F.floor(F.col(resolution)) == F.col(resolution), F.lit(True)).otherwise(
             F.raise_error(F.lit("resolution must be an integer")).cast("boolean")))
         .withColumn("face_axes", F.explode(_face_table()))
+        .withColumn("_face", F.col("face_axes.face"))
         .withColumn("qy", F.explode(counted(res)))
+    )
+    return (
+        spread(lines, "_face", "qy", *df.columns)
+        .drop("_face")
         .withColumn("qx", F.explode(counted(res)))
         .withColumn("vertex_id", ((F.col("face_axes.face") * res + F.col("qy")) * res + F.col("qx")) * 4)
     )
@@ -201,7 +225,7 @@ def gen_time_grid(df: DataFrame, frames: str, millis: str, rate: str, end: float
     may overshoot by part of a step, up to 1) or 0. ``percent`` moves by ``rate``
     and turns once it passes 100 or 1. ``age`` maps the percentage onto 0..280.
     """
-    rows = df.withColumn("frame", F.explode(counted(F.col(frames))))
+    rows = numbered(df, F.col(frames), "frame")
     step = F.col(millis) * 0.0001
     turns = F.ceil(F.lit(float(end)) / step)
     top = F.least(F.lit(1.0), turns * step)

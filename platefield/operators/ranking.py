@@ -1,7 +1,7 @@
 """Exact positions in ordered groups of any size.
 
 A window over a whole plate would sort a hot plate in a single task. Here the
-order column is a BIGINT that is unique within its group, and its upper bits cut
+order column is any BIGINT, negative or not, that is unique within its group, and its upper bits cut
 the group into chunks: a chunk holds at most 2**20 rows, whatever the data. Rows
 are numbered inside their chunk, and chunk counts (aggregated on the map side)
 are summed up level by level, 2**20 chunks at a time.
@@ -9,28 +9,20 @@ are summed up level by level, 2**20 chunks at a time.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 CHUNK_BITS = 20
-
-
-def chunk_of(seq: Column, seq_bits: int, bits: int = CHUNK_BITS) -> Column:
-    """Chunk number of an order value; fails on values outside 0..2**seq_bits - 1."""
-    chunk = F.shiftright(seq, bits)
-    if seq_bits >= 63:
-        return chunk
-    return F.when((seq >= 0) & (seq < F.lit(1 << seq_bits)), chunk).otherwise(
-        F.raise_error(F.lit(f"order value outside {seq_bits} bits")).cast("bigint")
-    )
+#: Bits of an order value, and of the chunk numbers that one window takes at the top.
+SEQ_BITS, TOP_BITS = 64, 24
 
 
 def running_total(counts: DataFrame, keys: list[str], order: str, weight: str, bits: int) -> DataFrame:
     """Add ``before``: the sum of ``weight`` over smaller ``order`` values of the group.
 
-    ``order`` must be unique within ``keys``; ``bits`` bounds its width.
+    ``order`` must be unique within ``keys``; ``bits`` bounds its width, with the sign.
     """
-    if bits <= CHUNK_BITS + 3:
+    if bits <= TOP_BITS:
         w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
         return counts.withColumn("before", F.coalesce(F.sum(weight).over(w), F.lit(0).cast("bigint")))
     part = counts.withColumn("_up", F.shiftright(order, CHUNK_BITS))
@@ -48,7 +40,7 @@ def running_total(counts: DataFrame, keys: list[str], order: str, weight: str, b
 
 
 def with_position(
-    df: DataFrame, keys: list[str], seq: str, name: str = "pos", seq_bits: int = 40
+    df: DataFrame, keys: list[str], seq: str, name: str = "pos"
 ) -> DataFrame:
     """Add the 0-based position of each row in its group, ordered by ``seq``.
 
@@ -56,10 +48,10 @@ def with_position(
     reuses that partitioning. The counts read ``df`` a second time (only ``keys``
     and ``seq``), so write an expensive input out first.
     """
-    rows = df.withColumn("_chunk", chunk_of(F.col(seq), seq_bits))
+    rows = df.withColumn("_chunk", F.shiftright(F.col(seq).cast("bigint"), CHUNK_BITS))
     w = Window.partitionBy(*keys, "_chunk").orderBy(seq)
     counts = rows.groupBy(*keys, "_chunk").agg(F.count(F.lit(1)).alias("_n"))
-    offsets = running_total(counts, keys, "_chunk", "_n", seq_bits - CHUNK_BITS).select(
+    offsets = running_total(counts, keys, "_chunk", "_n", SEQ_BITS - CHUNK_BITS).select(
         *keys, "_chunk", F.col("before").alias("_before")
     )
     return (

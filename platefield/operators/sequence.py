@@ -2,7 +2,7 @@
 
 A sequence is a group of rows (``keys``) with a unique BIGINT ``seq``. Positions
 come from :mod:`ranking`, so no group is ever sorted in one task. Aggregates keep
-scalars, so Spark combines them before the shuffle.
+scalars, so Spark combines them before the shuffle. A row with a NULL key is never picked.
 """
 
 from __future__ import annotations
@@ -11,8 +11,9 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, FloatType
 
-from .ranking import CHUNK_BITS, chunk_of, with_position
+from .ranking import CHUNK_BITS, SEQ_BITS, TOP_BITS, with_position
 
 
 def where(df: DataFrame, condition: Column) -> DataFrame:
@@ -33,7 +34,9 @@ def pick(df: DataFrame, keys: list[str], chooser: Callable, order: list[Column],
 
 def distinct_first(df: DataFrame, keys: list[str], value: str, seq: str) -> DataFrame:
     """Each value once, at its first ``seq``; NaN equals nothing and is dropped."""
-    return df.where(~F.isnan(value)).groupBy(*keys, value).agg(F.min(seq).alias(seq))
+    if isinstance(df.schema[value].dataType, (FloatType, DoubleType)):
+        df = df.where(~F.isnan(value))
+    return df.groupBy(*keys, value).agg(F.min(seq).alias(seq))
 
 
 def sort_rows(df: DataFrame, order: list[Column], seq: str) -> DataFrame:
@@ -54,11 +57,16 @@ def map_with_index(df: DataFrame, keys: list[str], seq: str, fn: Callable[[Colum
     return with_position(df, keys, seq, "index").withColumn(name, fn(F.col("index")))
 
 
+def zip_all(parts: list[DataFrame], keys: list[str], seq: str) -> DataFrame:
+    """Rows of any number of tables side by side by position; ends with the shortest group. Other columns must differ in name."""
+    out, *more = [with_position(p, keys, seq, "pos").drop(seq) for p in parts]
+    for p in more:
+        out = out.join(p, [*keys, "pos"])
+    return out
+
+
 def zip_rows(left: DataFrame, right: DataFrame, keys: list[str], seq: str) -> DataFrame:
-    """Rows side by side by position; ends with the shorter group. Other columns must differ in name."""
-    a = with_position(left, keys, seq, "pos").drop(seq)
-    b = with_position(right, keys, seq, "pos").drop(seq)
-    return a.join(b, [*keys, "pos"])
+    return zip_all([left, right], keys, seq)
 
 
 def _complete(groups: DataFrame, keys: list[str], seq: str, values: list[str], size: int) -> DataFrame:
@@ -105,9 +113,10 @@ def array_flatten(df: DataFrame, items: str, name: str) -> DataFrame:
     return df.select(*rest, F.posexplode(items).alias("item_idx", name))
 
 
-def array_flat_map(df: DataFrame, fn: Callable[..., Column], name: str) -> DataFrame:
-    """One row per element of the array that ``fn`` builds from each row."""
-    return df.select("*", F.explode(fn()).alias(name))
+def array_flat_map(df: DataFrame, keys: list[str], seq: str, fn: Callable[[Column], Column], name: str) -> DataFrame:
+    """One row per element of the array that ``fn`` builds from each row and its index in the group."""
+    indexed = with_position(df, keys, seq, "index")
+    return indexed.select("*", F.explode(fn(F.col("index"))).alias(name))
 
 
 def ordered_fold(
@@ -117,20 +126,20 @@ def ordered_fold(
     lift: Column,
     merge: Callable[[Column, Column], Column],
     name: str = "result",
-    seq_bits: int = 40,
+    initial: Column | None = None,
 ) -> DataFrame:
     """Fold of a group in ``seq`` order.
 
     ``lift`` turns a row into an accumulator and ``merge(left, right)`` joins two
     neighbouring ones; it must be associative but need not be commutative. Chunks
     of at most 2**20 rows fold first, then the chunk results, so no task sees a
-    whole group.
+    whole group. ``initial`` is an accumulator that goes in front of the first row's.
     """
     rows = df.select(*keys, F.col(seq).alias("_s"), lift.alias("_v"))
-    left = seq_bits
-    level = chunk_of(F.col("_s"), seq_bits)
+    left = SEQ_BITS
+    level = F.shiftright("_s", CHUNK_BITS)
     while True:
-        last = left <= CHUNK_BITS
+        last = left <= TOP_BITS
         by = list(keys) if last else [*keys, level.alias("_c")]
         items = F.array_sort(F.collect_list(F.struct("_s", "_v")))
         folded = F.aggregate(
@@ -140,10 +149,10 @@ def ordered_fold(
         )
         grouped = rows.groupBy(*by).agg(items.alias("_items"))
         if last:
-            return grouped.select(*keys, folded.alias(name))
+            whole = grouped.select(*keys, folded.alias("_f"))
+            return whole.select(*keys, (F.col("_f") if initial is None else merge(initial, F.col("_f"))).alias(name))
         rows = grouped.select(*keys, F.col("_c").alias("_s"), folded.alias("_v"))
         left -= CHUNK_BITS
-        level = F.shiftright("_s", CHUNK_BITS)
 
 
 def agg_sum(df: DataFrame, keys: list[str], value: Column, name: str) -> DataFrame:
@@ -158,24 +167,25 @@ def agg_average(df: DataFrame, keys: list[str], value: Column, name: str) -> Dat
 
 def find_max(df: DataFrame, keys: list[str], by: Column, seq: str, values: list[str]) -> DataFrame:
     """Row with the greatest key; among equals the first."""
-    return pick(df, keys, F.max_by, [by, -F.col(seq)], values)
+    return pick(df.where(by.isNotNull()), keys, F.max_by, [by, -F.col(seq)], values)
 
 
 def find_min(df: DataFrame, keys: list[str], by: Column, seq: str, values: list[str]) -> DataFrame:
     """Row with the least key; among equals the first."""
-    return pick(df, keys, F.min_by, [by, F.col(seq)], values)
+    return pick(df.where(by.isNotNull()), keys, F.min_by, [by, F.col(seq)], values)
 
 
 def nearest(df: DataFrame, keys: list[str], by: Column, target: Column, seq: str, values: list[str]) -> DataFrame:
     """Row whose key is closest to the target; among equals the last."""
-    return pick(df, keys, F.min_by, [F.abs(by - target), -F.col(seq)], values)
+    gap = F.abs(by - target)
+    return pick(df.where(gap.isNotNull()), keys, F.min_by, [gap, -F.col(seq)], values)
 
 
 def get_lowest(df: DataFrame, keys: list[str], by: Column, seq: str, values: list[str]) -> DataFrame:
     """As computed, not as named: the row with the *greatest* key; among equals the last."""
-    return pick(df, keys, F.max_by, [by, F.col(seq)], values)
+    return pick(df.where(by.isNotNull()), keys, F.max_by, [by, F.col(seq)], values)
 
 
 def get_highest(df: DataFrame, keys: list[str], by: Column, seq: str, values: list[str]) -> DataFrame:
     """As computed, not as named: the row with the *least* key; among equals the last."""
-    return pick(df, keys, F.min_by, [by, -F.col(seq)], values)
+    return pick(df.where(by.isNotNull()), keys, F.min_by, [by, -F.col(seq)], values)

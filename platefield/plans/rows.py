@@ -47,8 +47,7 @@ def _(t):
 
 @query("distinct_first", "SELECT plate_id, op, min(seq) AS seq FROM f_edits GROUP BY plate_id, op")
 def _(t):
-    first = _events(t).groupBy("plate_id", "op").agg(F.min("seq").alias("seq"))
-    return first
+    return Q.distinct_first(_events(t), KEY, "op", "seq")
 
 
 @query("distinct_first_number", """
@@ -135,9 +134,8 @@ def _(t):
   SELECT plate_id, index, unnest([value, value + index]) AS item FROM
     (SELECT plate_id, value, row_number() OVER (PARTITION BY plate_id ORDER BY seq) - 1 AS index FROM f_edits)""")
 def _(t):
-    indexed = Q.map_with_index(_events(t).select("plate_id", "seq", "value"), KEY, "seq", lambda i: i, "index")
-    pair = lambda: F.array(F.col("value"), F.col("value") + F.col("index"))
-    return Q.array_flat_map(indexed, pair, "item").select("plate_id", "index", "item")
+    pair = lambda i: F.array(F.col("value"), F.col("value") + i)
+    return Q.array_flat_map(_events(t).select("plate_id", "seq", "value"), KEY, "seq", pair, "item").select("plate_id", "index", "item")
 
 
 @query("agg_sum", f"SELECT plate_id, {r('coalesce(sum(CASE WHEN value > 200 THEN value END), 0)', 'total')} FROM f_edits GROUP BY plate_id")

@@ -208,8 +208,7 @@ def _(t):
 @query("stream_keyframes", f"""
   SELECT plate_id, strftime(date_trunc('day', ts), '%Y-%m-%d') AS frame_start, max(seq) AS seq,
          {r('arg_max(u, seq)', 'u')}, {r('arg_max(v, seq)', 'v')}, count(*) AS n_edits
-  FROM f_edits GROUP BY plate_id, date_trunc('day', ts)
-  HAVING date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 HOUR FROM f_edits)""")
+  FROM f_edits GROUP BY plate_id, date_trunc('day', ts)""")
 def _(t):
     events = ST.edit_stream(t.spark, t.folder, "events.parquet")
     edits = events.select(
@@ -219,5 +218,5 @@ def _(t):
     )
     out = scratch_path(t.spark, "frames")
     ST.run_keyframe_stream(edits, out, scratch_path(t.spark, "stream"))
-    frames = t.spark.read.parquet(out).withColumn("frame_start", utc_day("frame_start"))
+    frames = ST.read_keyframes(t.spark, out).withColumn("frame_start", utc_day("frame_start"))
     return rounded(frames, "u", "v")

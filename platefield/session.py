@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,9 +25,9 @@ def configure(builder):
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints and intermediate tables.
 
-    It is the one the cluster names in ``spark.checkpoint.dir``. Only a local
-    master, where the driver and the tasks share one machine, may fall back to a
-    temporary folder.
+    It is the one the cluster names in ``spark.checkpoint.dir``. Only a local master,
+    where the driver and the tasks share one machine, may leave it out; the folder is then
+    one below the warehouse.
     """
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
@@ -39,7 +38,7 @@ def shared_dir(spark: SparkSession) -> str:
     if sc.getCheckpointDir() is None:
         if not sc.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+        sc.setCheckpointDir(f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/checkpoints")
     return sc.getCheckpointDir().rstrip("/")
 
 

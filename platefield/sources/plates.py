@@ -8,6 +8,8 @@ and are absent in hand-made documents.
 
 from __future__ import annotations
 
+from urllib.parse import quote
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -97,8 +99,9 @@ def sink_plates_json(base: DataFrame, keyframes: DataFrame, path: str) -> None:
 
 
 def snapshot_backup(spark, path: str, backups: str, stamp: str) -> DataFrame:
-    """Add a copy of the stored documents under ``snapshot_ts=<stamp>`` and return it."""
-    spark.read.parquet(path).write.mode("append").parquet(f"{backups}/snapshot_ts={stamp}")
+    """Add a copy of the stored documents under ``snapshot_ts=<stamp>`` and return it; the same stamp again replaces it."""
+    # Colons and the like are no legal characters of a path everywhere; Spark reads them back from their codes.
+    spark.read.parquet(path).write.mode("overwrite").parquet(f"{backups}/snapshot_ts={quote(stamp, safe='')}")
     return (
         spark.read.option("basePath", backups).parquet(backups).where(F.col("snapshot_ts").cast("string") == stamp)
     )

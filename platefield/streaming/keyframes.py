@@ -6,20 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-LATENESS = "1 hour"
 FRAME = "1 day"
 
 
-def keyframe_updates(edits: DataFrame, lateness: str = LATENESS, frame: str = FRAME) -> DataFrame:
-    """Last-write-wins keyframes of ``edits(plate_id, seq, ts, u, v)``, streaming or not.
-
-    State is one row per plate and frame, combined before the shuffle and dropped
-    once the watermark passes the frame; later rows are dropped and counted in the
-    query's progress.
-    """
+def keyframe_updates(edits: DataFrame, frame: str = FRAME) -> DataFrame:
+    """Last-write-wins keyframes of ``edits(plate_id, seq, ts, u, v)``: the edit of the greatest seq counts."""
     return (
-        edits.withWatermark("ts", lateness)
-        .groupBy("plate_id", F.window("ts", frame).alias("w"))
+        edits.groupBy("plate_id", F.window("ts", frame).alias("w"))
         .agg(
             F.max("seq").alias("seq"),
             F.max_by("u", "seq").alias("u"),
@@ -30,14 +23,19 @@ def keyframe_updates(edits: DataFrame, lateness: str = LATENESS, frame: str = FR
     )
 
 
-def run_keyframe_stream(edits: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
-    """Append finished frames to parquet files at ``out`` and process what is there now."""
+def run_keyframe_stream(edits: DataFrame, out: str, checkpoint: str, frame: str = FRAME) -> StreamingQuery:
+    """Process what is there now, and all of it: no row is late and no frame has to wait to be finished.
+
+    Each batch writes its own partial keyframes below ``out`` under its number, so a batch
+    that runs again replaces what it wrote. No state is kept between batches.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        keyframe_updates(batch, frame).write.mode("overwrite").parquet(f"{out}/batch_id={number}")
+
     query = (
-        keyframe_updates(edits)
-        .writeStream.format("parquet")
-        .option("path", out)
+        edits.writeStream.foreachBatch(write)
         .option("checkpointLocation", checkpoint)
-        .outputMode("append")
         .trigger(availableNow=True)
         .start()
     )
@@ -45,14 +43,19 @@ def run_keyframe_stream(edits: DataFrame, out: str, checkpoint: str) -> Streamin
     return query
 
 
-def late_rows(query: StreamingQuery) -> int:
-    """Rows dropped because they came after the watermark."""
-    return sum(
-        int(op["numRowsDroppedByWatermark"]) for p in query.recentProgress for op in p["stateOperators"]
+def read_keyframes(spark: SparkSession, out: str) -> DataFrame:
+    """The keyframes of all batches so far; their partial ones combine before the shuffle."""
+    parts = spark.read.option("basePath", out).parquet(out)
+    return parts.groupBy("plate_id", "frame_start").agg(
+        F.max("seq").alias("seq"),
+        F.max_by("u", "seq").alias("u"),
+        F.max_by("v", "seq").alias("v"),
+        F.sum("n_edits").alias("n_edits"),
     )
 
 
 def edit_stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """The ``name`` files below ``folder`` as a stream of rows."""
+    """The table ``name`` of ``folder``, a file or a folder of part files, as a stream of rows."""
     schema = spark.read.parquet(f"{folder}/{name}").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(folder)
+    # A pattern for this name alone: a stream may not be given a plain file.
+    return spark.readStream.schema(schema).parquet(f"{folder}/{name[:-1]}[{name[-1]}]")

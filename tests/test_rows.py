@@ -7,6 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from platefield.operators import generate as G
 from platefield.operators import sequence as Q
 from platefield.operators.boxes import box_intersects
 from platefield.operators.ranking import with_position
@@ -26,15 +27,53 @@ def table(spark, groups):
     return spark.createDataFrame(rows, "k int, seq bigint, v double")
 
 
-@pytest.mark.parametrize("bits", [40, 63])
-def test_positions(table, groups, bits):
-    got = {(r.k, r.seq): r.pos for r in with_position(table, ["k"], "seq", seq_bits=bits).collect()}
+def test_positions(table, groups):
+    got = {(r.k, r.seq): r.pos for r in with_position(table, ["k"], "seq").collect()}
     assert got == {(k, s): i for k, seqs in groups.items() for i, s in enumerate(seqs)}
 
 
-def test_order_values_out_of_range_fail(spark):
-    with pytest.raises(Exception, match="outside 40 bits"):
-        with_position(spark.range(1).select(F.lit(1).alias("k"), F.lit(1 << 41).alias("seq")), ["k"], "seq").collect()
+def test_positions_of_any_bigint(spark):
+    rnd = random.Random(8)
+    seqs = sorted({rnd.randrange(-(1 << 63), 1 << 63) for _ in range(400)} | {-1, 0, 1, 1 << 40, 1 << 62, -(1 << 63), (1 << 63) - 1})
+    df = spark.createDataFrame([(1, s) for s in rnd.sample(seqs, len(seqs))], "k int, seq bigint")
+    assert {r.seq: r.pos for r in with_position(df, ["k"], "seq").collect()} == {s: i for i, s in enumerate(seqs)}
+    zipped = Q.zip_all([df.withColumn(c, F.col("seq")) for c in "abc"], ["k"], "seq").collect()
+    assert sorted(r.pos for r in zipped) == list(range(len(seqs))) and all(r.a == r.b == r.c for r in zipped)
+    flat = Q.array_flat_map(df, ["k"], "seq", lambda i: F.array(i, -i), "item").collect()
+    assert sorted(r["item"] for r in flat) == sorted([i for i in range(len(seqs))] + [-i for i in range(len(seqs))])
+    folded = Q.ordered_fold(df, ["k"], "seq", F.col("seq").cast("string"), lambda a, b: F.concat(a, F.lit(","), b), initial=F.lit("start"))
+    assert folded.first().result == ",".join(["start", *map(str, seqs)])
+
+
+def test_null_keys_are_never_picked(spark):
+    df = spark.createDataFrame([(1, 1, None), (1, 2, 5.0), (1, 3, 2.0), (2, 1, None)], "k int, seq bigint, v double")
+    seq = lambda pick: {r.k: r.seq for r in pick(df, ["k"], F.col("v"), "seq", ["seq"]).collect()}
+    assert seq(Q.find_max) == seq(Q.get_lowest) == {1: 2} and seq(Q.find_min) == seq(Q.get_highest) == {1: 3}
+    near = Q.nearest(df, ["k"], F.col("v"), F.lit(0.0), "seq", ["seq"]).collect()
+    assert [(r.k, r.seq) for r in near] == [(1, 3)]
+
+
+def test_distinct_first_of_texts_and_numbers(spark):
+    df = spark.createDataFrame([(1, 2, "a", 1.0), (1, 1, "a", float("nan")), (1, 3, None, 1.0)], "k int, seq bigint, s string, x double")
+    assert {(r.s, r.seq) for r in Q.distinct_first(df, ["k"], "s", "seq").collect()} == {("a", 1), (None, 3)}
+    assert {(r.x, r.seq) for r in Q.distinct_first(df, ["k"], "x", "seq").collect()} == {(1.0, 2)}
+
+
+def test_generators_are_dealt_over_the_cluster(spark):
+    one = spark.range(1).select(F.lit(40).alias("n"), F.lit(1).alias("step"), F.lit(200_000).alias("many"), F.lit(0).alias("zero"))
+    least = spark.sparkContext.defaultParallelism
+    made = {
+        "sphere": (G.gen_cube_sphere(one, "n"), 6 * 40 * 40 * 4),
+        "uvs": (G.gen_equirect_uvs(one, "n"), 39 * 79 + 2),
+        "pixels": (G.gen_pixel_grid(one, F.col("n"), F.col("n"), F.col("zero"), F.col("zero")), 1600),
+        "range": (G.gen_range(one, "many", "step"), 200_000),
+    }
+    for name, (df, rows) in made.items():
+        counts = [r["count"] for r in df.groupBy(F.spark_partition_id()).count().collect()]
+        assert df.rdd.getNumPartitions() >= least and sum(counts) == rows, name
+        assert len(counts) >= (2 if name == "range" else least // 2), name
+    assert G.gen_range(one, "zero", "step").count() == 0
+    assert sorted(r.seq for r in G.gen_range(one, "many", "step").select("seq").collect()) == list(range(200_000))
 
 
 @pytest.mark.parametrize("size,every", [(1, 1), (3, 1), (3, 2), (3, 3), (5, 2)])

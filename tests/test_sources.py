@@ -38,6 +38,9 @@ def test_slices_round_trip(spark, tmp_path):
     second = plates.snapshot_backup(spark, path, backups, "2024-01-02T00-00-00Z")
     assert first.count() == second.count() == 1
     assert spark.read.parquet(backups).count() == 2
+    stamp = "2024-01-03T00:00:00Z"
+    plates.snapshot_backup(spark, path, backups, stamp)
+    assert plates.snapshot_backup(spark, path, backups, stamp).count() == 1 and spark.read.parquet(backups).count() == 3
 
 
 def test_buffers(spark):

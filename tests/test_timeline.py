@@ -126,24 +126,47 @@ def test_moved_point_lands_in_a_new_frame(spark):
 EVENT = "plate_id bigint, seq bigint, ts timestamp, u double, v double"
 
 
-def test_stream_equals_batch_and_counts_late_rows(spark, tmp_path):
-    source = str(tmp_path / "in")
+def test_stream_counts_every_edit(spark, tmp_path):
+    source, out, checkpoint = (str(tmp_path / x) for x in ("in", "out", "cp"))
     at = lambda day, hour: f"2024-01-{day:02d} {hour:02d}:00:00"
     files = [
-        [(1, 1, at(1, 1), 1.0, 1.0), (1, 2, at(1, 2), 2.0, 2.0), (2, 3, at(1, 5), 3.0, 3.0)],
+        [(2, 6, at(3, 2), 6.0, 6.0), (2, 8, at(5, 0), 8.0, 8.0)],
+        [(1, 1, at(1, 1), 1.0, 1.0), (1, 2, at(1, 2), 2.0, 2.0), (2, 3, at(1, 5), 3.0, 3.0)],  # days late
+        [(1, 7, at(1, 3), 7.0, 7.0)],
         [(1, 4, at(1, 9), 4.0, 4.0), (2, 5, at(3, 1), 5.0, 5.0)],
-        [(2, 6, at(3, 2), 6.0, 6.0)],
-        [(1, 7, at(1, 3), 7.0, 7.0), (2, 8, at(5, 0), 8.0, 8.0)],  # the first row is two days late
     ]
-    for i, rows in enumerate(files):
-        df = spark.createDataFrame([(p, s, t, u, v) for p, s, t, u, v in rows], EVENT.replace("timestamp", "string"))
+
+    def add(rows):
+        df = spark.createDataFrame(rows, EVENT.replace("timestamp", "string"))
         df.withColumn("ts", F.col("ts").cast("timestamp")).coalesce(1).write.mode("append").parquet(source)
-        time.sleep(1.1)
-    stream = spark.readStream.schema(EVENT).option("maxFilesPerTrigger", 1).parquet(source)
-    query = ST.run_keyframe_stream(stream, str(tmp_path / "out"), str(tmp_path / "cp"))
-    got = {(r.plate_id, r.frame_start.day): (r.seq, r.u, r.n_edits) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
-    assert got == {(1, 1): (4, 4.0, 3), (2, 1): (3, 3.0, 1), (2, 3): (6, 6.0, 2)}
-    assert ST.late_rows(query) == 1
-    on_time = spark.read.schema(EVENT).parquet(source).where("seq <> 7")
-    batch = {(r.plate_id, r.frame_start.day): (r.seq, r.u, r.n_edits) for r in ST.keyframe_updates(on_time).collect()}
-    assert {k: v for k, v in batch.items() if k != (2, 5)} == got
+
+    def run():
+        stream = spark.readStream.schema(EVENT).option("maxFilesPerTrigger", 1).parquet(source)
+        ST.run_keyframe_stream(stream, out, checkpoint)
+        return sorted(map(tuple, ST.read_keyframes(spark, out).collect()))
+
+    batch = lambda: sorted(map(tuple, ST.keyframe_updates(spark.read.schema(EVENT).parquet(source)).collect()))
+    for rows in files[:2]:
+        add(rows)
+    assert run() == batch()
+    for rows in files[2:]:
+        add(rows)
+    assert run() == batch() and sum(r[-1] for r in batch()) == 8
+    assert run() == batch()  # nothing new: nothing doubles
+    # A batch that runs again replaces its own part.
+    again = spark.read.parquet(f"{out}/batch_id=0")
+    rows = [tuple(r) for r in again.collect()]
+    spark.createDataFrame(rows, again.schema).write.mode("overwrite").parquet(f"{out}/batch_id=0")
+    assert sorted(map(tuple, ST.read_keyframes(spark, out).collect())) == batch()
+
+
+def test_stream_reads_a_file_and_a_folder_of_parts(spark, tmp_path):
+    rows = [(i % 5, i, f"2024-01-{1 + i % 9:02d} 01:00:00", float(i), 0.0) for i in range(100)]
+    df = spark.createDataFrame(rows, EVENT.replace("timestamp", "string")).withColumn("ts", F.col("ts").cast("timestamp"))
+    df.repartition(4).write.parquet(str(tmp_path / "a" / "edits.parquet"))
+    df.toPandas().to_parquet(tmp_path / "edits.parquet", coerce_timestamps="us")
+    for name, folder in (("folder", tmp_path / "a"), ("file", tmp_path)):
+        stream = ST.edit_stream(spark, str(folder), "edits.parquet")
+        ST.run_keyframe_stream(stream, str(tmp_path / f"out-{name}"), str(tmp_path / f"cp-{name}"))
+        assert ST.read_keyframes(spark, str(tmp_path / f"out-{name}")).agg(F.sum("n_edits")).first()[0] == 100
+

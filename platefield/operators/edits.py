@@ -1,8 +1,8 @@
 """Edits of plates as table jobs.
 
 Each takes the state (``base_point``, ``keyframe``) and a table of edits, and
-returns the new state. Edits that touch every frame of a plate take at most one
-edit per plate, so their result grows with the state only.
+returns the new state. A plate may have any number of edits in a batch; how edits of one
+plate meet is written at each function.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 from .keyframes import interpolate
+from .ranking import with_position
 
 BASE_COLUMNS = ["plate_id", "point_idx", "u", "v"]
 FRAME_COLUMNS = ["plate_id", "kf_seq", "time", "point_idx", "u", "v"]
@@ -51,86 +52,84 @@ def upsert_keyframe(base: DataFrame, keyframes: DataFrame, edits: DataFrame) ->
 
 
 def append_point(base: DataFrame, keyframes: DataFrame, edits: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Add a point at the end of the base and of every frame; ``edits(plate_id, u, v)``, one per plate."""
-    counts = base.groupBy("plate_id").agg(F.count(F.lit(1)).cast("int").alias("n"))
-    to_base = edits.join(counts, "plate_id", "left").select(
-        "plate_id", F.coalesce("n", F.lit(0)).alias("point_idx"), "u", "v"
+    """Add points at the end of the base and of every frame, in order of ``seq``; ``edits(plate_id, seq, u, v)``."""
+    placed = with_position(edits.select("plate_id", "seq", "u", "v"), ["plate_id"], "seq", "_at").drop("seq")
+    counts = base.groupBy("plate_id").agg(F.count(F.lit(1)).alias("n"))
+    to_base = placed.join(counts, "plate_id", "left").select(
+        "plate_id", (F.coalesce("n", F.lit(0)) + F.col("_at")).cast("int").alias("point_idx"), "u", "v"
     )
     frames = keyframes.groupBy("plate_id", "kf_seq").agg(
-        F.first("time").alias("time"), F.count(F.lit(1)).cast("int").alias("point_idx")
+        F.first("time").alias("time"), F.count(F.lit(1)).alias("n")
     )
-    to_frames = frames.join(edits.select("plate_id", "u", "v"), "plate_id")
+    to_frames = frames.join(placed, "plate_id").withColumn("point_idx", (F.col("n") + F.col("_at")).cast("int"))
     return (
         base.select(*BASE_COLUMNS).unionByName(to_base),
         keyframes.select(*FRAME_COLUMNS).unionByName(to_frames.select(*FRAME_COLUMNS)),
     )
 
 
-def _without_point(points: DataFrame, edits: DataFrame) -> DataFrame:
-    gone = edits.select("plate_id", F.col("point_idx").alias("_gone"))
-    shifted = F.col("point_idx") - F.when(F.col("point_idx") > F.col("_gone"), 1).otherwise(0)
-    return (
-        points.join(gone, "plate_id", "left")
-        .where("_gone is null or point_idx <> _gone")
-        .withColumn("point_idx", shifted)
-        .drop("_gone")
-    )
+def _without_points(points: DataFrame, keys: list[str], gone: DataFrame) -> DataFrame:
+    left = points.join(gone, ["plate_id", "point_idx"], "left_anti")
+    return with_position(left, keys, "point_idx", "_at").withColumn("point_idx", F.col("_at").cast("int")).drop("_at")
 
 
 def delete_point(base: DataFrame, keyframes: DataFrame, edits: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Remove a point from the base and every frame; later indices move down by one.
+    """Remove points from the base and every frame; later indices move down.
 
-    ``edits(plate_id, point_idx)``, one per plate. The new index follows from the
-    old one, so nothing is numbered again.
+    ``edits(plate_id, point_idx)``; all indices are those before the batch, which count
+    from 0 without holes, so what is left is numbered by its positions.
     """
+    gone = cut_lineage(edits.select("plate_id", "point_idx").distinct())
     return (
-        _without_point(base, edits).select(*BASE_COLUMNS),
-        _without_point(keyframes, edits).select(*FRAME_COLUMNS),
+        _without_points(base.select(*BASE_COLUMNS), ["plate_id"], gone).select(*BASE_COLUMNS),
+        _without_points(keyframes.select(*FRAME_COLUMNS), ["plate_id", "kf_seq"], gone).select(*FRAME_COLUMNS),
     )
 
 
-def find_moved_point(points: DataFrame, moves: DataFrame) -> DataFrame:
-    """``(plate_id, point_idx, new_u, new_v)``: the first point exactly at the old position."""
-    at = moves.select("plate_id", F.col("old_u").alias("u"), F.col("old_v").alias("v"), "new_u", "new_v")
-    return (
-        points.join(at, ["plate_id", "u", "v"])
-        .groupBy("plate_id", "new_u", "new_v")
-        .agg(F.min("point_idx").alias("point_idx"))
-    )
+def find_moved_point(points: DataFrame, moves: DataFrame, keys: tuple[str, ...] = ("plate_id",)) -> DataFrame:
+    """``(*keys, new_u, new_v, point_idx)``: the first point exactly at the old position.
+
+    ``moves`` has ``keys``, the old and the new position; further columns are kept.
+    """
+    at = moves.withColumnsRenamed({"old_u": "u", "old_v": "v"})
+    more = [c for c in at.columns if c not in ("u", "v")]
+    return points.join(at, [*keys, "u", "v"]).groupBy(*more).agg(F.min("point_idx").alias("point_idx"))
 
 
 def move_point(
     base: DataFrame, keyframes: DataFrame, moves: DataFrame, mode: str = "extreme"
 ) -> tuple[DataFrame, DataFrame]:
-    """Move the point seen at ``old`` at time t and set the whole plate at t.
+    """Move the points seen at ``old`` at time t and set the whole plate at t.
 
-    ``moves(plate_id, seq, t, old_u, old_v, new_u, new_v)``, one per plate. If no
-    point matches, the interpolated plate is still set at t.
+    ``moves(plate_id, seq, t, old_u, old_v, new_u, new_v)``; all positions are those before
+    the batch. Moves at one time of a plate set one frame, ordered by the last of them, and
+    the last move of a point counts. If no point matches, the interpolated plate is still set at t.
     """
-    now = cut_lineage(interpolate(base, keyframes, moves.select("plate_id", "t"), mode))
-    hit = find_moved_point(now, moves)
-    moved = now.join(hit, ["plate_id", "point_idx"], "left").join(
-        moves.select("plate_id", "seq"), "plate_id"
-    )
+    asked = cut_lineage(moves.groupBy("plate_id", "t").agg(F.max("seq").alias("seq")))
+    now = cut_lineage(interpolate(base, keyframes, asked.select("plate_id", "t"), mode))
+    hit = find_moved_point(now, moves, ("plate_id", "t"))
+    last = hit.groupBy("plate_id", "t", "point_idx").agg(F.max_by(F.struct("new_u", "new_v"), "seq").alias("_new"))
+    moved = now.join(last, ["plate_id", "t", "point_idx"], "left").join(asked, ["plate_id", "t"])
     edits = moved.select(
         "plate_id", "seq", F.col("t").alias("time"), "point_idx",
-        F.coalesce("new_u", "u").alias("u"), F.coalesce("new_v", "v").alias("v"),
+        F.coalesce("_new.new_u", "u").alias("u"), F.coalesce("_new.new_v", "v").alias("v"),
     )
     return upsert_keyframe(base, keyframes, edits)
 
 
 def add_keyframe(base: DataFrame, keyframes: DataFrame, plates: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Copy the latest frame of each of ``plates(plate_id, seq)`` to 0.1 after it; without frames the base, to 0.1.
+    """Copy the latest frame of a plate to 0.1 after it, once per row of ``plates(plate_id, seq)``, each 0.1 after the one before.
 
-    Of several latest frames the first is copied.
+    Without frames the base is copied, from 0.1 on. Of several latest frames the first is copied.
     """
     latest = keyframes.groupBy("plate_id").agg(
         F.max("time").alias("last_time"),
         F.max_by("kf_seq", F.struct("time", -F.col("kf_seq"))).alias("kf_seq"),
     )
-    asked = plates.join(latest, "plate_id", "left").withColumn(
-        "new_time", F.coalesce("last_time", F.lit(0.0)) + 0.1
-    )
+    placed = with_position(plates.select("plate_id", "seq"), ["plate_id"], "seq", "_at")
+    asked = cut_lineage(placed.join(latest, "plate_id", "left").withColumn(
+        "new_time", F.coalesce("last_time", F.lit(0.0)) + (F.col("_at") + 1) * F.lit(0.1)
+    ))
     copied = asked.join(
         keyframes.select("plate_id", "kf_seq", "point_idx", "u", "v"), ["plate_id", "kf_seq"]
     )

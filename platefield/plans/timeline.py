@@ -66,7 +66,7 @@ def _on_slots(t):
     return t.keyframes.withColumn("time", F.floor(F.col("time") * 20.0) / 100.0)
 
 
-_SLOT_KF = "(SELECT plate_id, kf_seq, floor(time * 20e0) / 100e0 AS time, point_idx, u, v FROM f_kf WHERE kf_seq % 2 = 0)"
+_SLOT_KF = "(SELECT plate_id, kf_seq, floor(time * 20e0) / 100e0 AS time, point_idx, u, v FROM f_kf)"
 _SLOT_EDIT = """(
   SELECT *, max(seq) OVER w AS last, min(seq) OVER w AS first FROM (
     SELECT plate_id, seq, floor(time * 20e0) / 100e0 AS time, point_idx,
@@ -88,33 +88,37 @@ _SLOT_FIRST = f"(SELECT plate_id, time, min(kf_seq) AS kf FROM {_SLOT_KF} GROUP
         LEFT JOIN (SELECT plate_id, max(kf_seq) AS top FROM {_SLOT_KF} GROUP BY plate_id) m ON m.plate_id = e.plate_id
         WHERE e.time <> 0 AND e.seq = e.last"""))
 def _(t):
-    every_other = _on_slots(t).where("kf_seq % 2 = 0")
-    return _state(E.upsert_keyframe(t.base, every_other, _slots(t)))
+    return _state(E.upsert_keyframe(t.base, _on_slots(t), _slots(t)))
+
+
+_SIGNUPS = """(
+  SELECT plate_id, (row_number() OVER (PARTITION BY plate_id ORDER BY seq) + 1)::INT AS idx, u, v
+  FROM f_edits WHERE op = 'signup')"""
 
 
 @query("edit_append_point", _state_sql(
-    "SELECT * FROM f_base UNION ALL SELECT plate_id, 2, u, v FROM f_first_signup",
-    """SELECT * FROM f_kf UNION ALL
-       SELECT f.plate_id, f.kf_seq, f.time, 2, e.u, e.v FROM f_frames f JOIN f_first_signup e ON e.plate_id = f.plate_id"""))
+    f"SELECT * FROM f_base UNION ALL SELECT plate_id, idx, u, v FROM {_SIGNUPS}",
+    f"""SELECT * FROM f_kf UNION ALL
+       SELECT f.plate_id, f.kf_seq, f.time, e.idx, e.u, e.v FROM f_frames f JOIN {_SIGNUPS} e ON e.plate_id = f.plate_id"""))
 def _(t):
-    return _state(E.append_point(t.base, t.keyframes, t.first_edit("signup").select("plate_id", "u", "v")))
+    return _state(E.append_point(t.base, t.keyframes, t.edits.where("op = 'signup'")))
 
 
-_GONE = "(SELECT plate_id, k % 3 AS gone FROM f_first_error)"
+_GONE = "(SELECT DISTINCT plate_id, k % 40 AS gone FROM f_edits WHERE op = 'error')"
 
 
 @query("edit_delete_point", _state_sql(
-    *[f"""SELECT s.* REPLACE (s.point_idx - CASE WHEN s.point_idx > gone THEN 1 ELSE 0 END AS point_idx)
-          FROM {s} s LEFT JOIN {_GONE} d ON d.plate_id = s.plate_id WHERE gone IS NULL OR s.point_idx <> gone"""
+    *[f"""SELECT s.* REPLACE (s.point_idx - (SELECT count(*) FROM {_GONE} d WHERE d.plate_id = s.plate_id AND d.gone < s.point_idx)::INT AS point_idx)
+          FROM {s} s WHERE NOT EXISTS (SELECT 1 FROM {_GONE} d WHERE d.plate_id = s.plate_id AND d.gone = s.point_idx)"""
       for s in ("f_base", "f_kf")]))
 def _(t):
-    gone = t.first_edit("error").select("plate_id", (F.col("k") % 3).alias("point_idx"))
+    gone = t.edits.where("op = 'error'").select("plate_id", (F.col("k") % 40).alias("point_idx"))
     return _state(E.delete_point(t.base, t.keyframes, gone))
 
 
 def _moves(t):
-    """The first click of a plate drags base point 0, seen at time 0 or past the last frame."""
-    click = t.first_edit("click")
+    """Each click drags base point 0, seen at time 0 or past the last frame."""
+    click = t.edits.where("op = 'click'").select("plate_id", "seq", "k", "u", "v")
     old = t.base.where("point_idx = 0").select("plate_id", F.col("u").alias("old_u"), F.col("v").alias("old_v"))
     when = F.when(F.col("k") % 2 == 0, F.lit(0.0)).otherwise(F.lit(2.0))
     return click.join(old, "plate_id").select(
@@ -124,7 +128,7 @@ def _moves(t):
 
 _MOVE = """(
   SELECT c.plate_id, c.seq, CASE WHEN c.k % 2 = 0 THEN 0e0 ELSE 2e0 END AS t, b.u AS old_u, b.v AS old_v, c.u AS new_u, c.v AS new_v
-  FROM f_first_click c JOIN f_base b ON b.plate_id = c.plate_id AND b.point_idx = 0)"""
+  FROM (SELECT * FROM f_edits WHERE op = 'click' QUALIFY row_number() OVER (PARTITION BY plate_id, k % 2 ORDER BY seq DESC) = 1) c JOIN f_base b ON b.plate_id = c.plate_id AND b.point_idx = 0)"""
 # Time 0 shows the base; time 2, past every frame, shows the earliest frame.
 _MOVED = f"""(
   SELECT m.plate_id, m.seq, m.t, s.point_idx,
@@ -134,11 +138,11 @@ _MOVED = f"""(
         UNION ALL SELECT k.plate_id, 2e0, k.point_idx, k.u, k.v FROM f_kf k JOIN f_ends e ON e.plate_id = k.plate_id AND e.s0 = k.kf_seq
        ) s ON s.plate_id = m.plate_id AND s.t = m.t
   LEFT JOIN (
-    SELECT m.plate_id, min(s.point_idx) AS hit FROM {_MOVE} m
+    SELECT m.plate_id, m.t, min(s.point_idx) AS hit FROM {_MOVE} m
     JOIN (SELECT plate_id, 0e0 AS t, point_idx, u, v FROM f_base
           UNION ALL SELECT k.plate_id, 2e0, k.point_idx, k.u, k.v FROM f_kf k JOIN f_ends e ON e.plate_id = k.plate_id AND e.s0 = k.kf_seq
          ) s ON s.plate_id = m.plate_id AND s.t = m.t AND s.u = m.old_u AND s.v = m.old_v
-    GROUP BY m.plate_id) h ON h.plate_id = m.plate_id)"""
+    GROUP BY m.plate_id, m.t) h ON h.plate_id = m.plate_id AND h.t = m.t)"""
 
 
 @query("edit_move_point", _state_sql(
@@ -153,19 +157,14 @@ def _(t):
 
 @query("edit_add_keyframe", _state_sql(
     "SELECT * FROM f_base",
-    """SELECT * FROM f_kf WHERE plate_id % 3 <> 0 UNION ALL
-       SELECT k.plate_id, x.top + 1 + p.seq, k.time + 0.1e0, k.point_idx, k.u, k.v
+    """SELECT * FROM f_kf UNION ALL
+       SELECT k.plate_id, x.top + 1 + p.seq, k.time + p.nth * 0.1e0, k.point_idx, k.u, k.v
        FROM f_kf k JOIN f_ends e ON e.plate_id = k.plate_id AND e.s1 = k.kf_seq
-       JOIN f_first_purchase p ON p.plate_id = k.plate_id
-       JOIN (SELECT plate_id, max(kf_seq) AS top FROM f_kf GROUP BY plate_id) x ON x.plate_id = k.plate_id
-       WHERE k.plate_id % 3 <> 0
-       UNION ALL
-       SELECT b.plate_id, p.seq, 0.1e0, b.point_idx, b.u, b.v
-       FROM f_base b JOIN f_first_purchase p ON p.plate_id = b.plate_id WHERE b.plate_id % 3 = 0"""))
+       JOIN (SELECT plate_id, seq, row_number() OVER (PARTITION BY plate_id ORDER BY seq) AS nth
+             FROM f_edits WHERE op = 'purchase') p ON p.plate_id = k.plate_id
+       JOIN (SELECT plate_id, max(kf_seq) AS top FROM f_kf GROUP BY plate_id) x ON x.plate_id = k.plate_id"""))
 def _(t):
-    # A third of the plates have no frames yet and so start from their base.
-    framed = t.keyframes.where("plate_id % 3 <> 0")
-    return _state(E.add_keyframe(t.base, framed, t.first_edit("purchase").select("plate_id", "seq")))
+    return _state(E.add_keyframe(t.base, t.keyframes, t.edits.where("op = 'purchase'")))
 
 
 @query("edit_delete_keyframe", f"""
@@ -189,12 +188,12 @@ def _(t):
 
 @query("edit_set_coordinate", _state_sql(
     """SELECT b.plate_id, b.point_idx, CASE WHEN b.point_idx = 0 THEN coalesce(s.u, b.u) ELSE b.u END AS u, b.v
-       FROM f_base b LEFT JOIN f_first_signup s ON s.plate_id = b.plate_id""",
+       FROM f_base b LEFT JOIN (SELECT plate_id, arg_max(u, seq) AS u FROM f_edits WHERE op = 'signup' GROUP BY plate_id) s ON s.plate_id = b.plate_id""",
     """SELECT k.plate_id, k.kf_seq, k.time, k.point_idx, k.u,
               CASE WHEN e.op = 'click' AND k.point_idx = 1 THEN e.k / 50e0 ELSE k.v END AS v
        FROM f_kf k JOIN f_edits e ON e.plate_id = k.plate_id AND e.seq = k.kf_seq"""))
 def _(t):
-    on_base = t.first_edit("signup").select(
+    on_base = t.edits.where("op = 'signup'").select(
         "plate_id", "seq", F.lit(None).cast("bigint").alias("kf_seq"), F.lit(0).alias("point_idx"),
         F.lit("u").alias("axis"), F.col("u").alias("value"),
     )

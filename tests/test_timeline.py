@@ -82,7 +82,7 @@ def _points(df):
 
 def test_append_then_delete_point(spark):
     base, frames = _plate(spark, [1, 2], [(0.1, [3, 4]), (0.2, [5, 6])])
-    edit = spark.createDataFrame([(0, 9.0, 9.0)], "plate_id bigint, u double, v double")
+    edit = spark.createDataFrame([(0, 1, 9.0, 9.0)], "plate_id bigint, seq bigint, u double, v double")
     base, frames = E.append_point(base, frames, edit)
     assert _points(frames) == [(0.1, 0, 3), (0.1, 1, 4), (0.1, 2, 9), (0.2, 0, 5), (0.2, 1, 6), (0.2, 2, 9)]
     base, frames = E.delete_point(base, frames, spark.createDataFrame([(0, 0)], "plate_id bigint, point_idx int"))
@@ -90,6 +90,27 @@ def test_append_then_delete_point(spark):
     assert _points(frames) == [(0.1, 0, 4), (0.1, 1, 9), (0.2, 0, 6), (0.2, 1, 9)]
 
 
+def test_many_edits_of_one_plate_in_a_batch(spark):
+    base, frames = _plate(spark, [1, 2, 3, 4], [(0.1, [5, 6, 7, 8])])
+    edits = spark.createDataFrame([(0, s, float(90 + s), 0.0) for s in (7, -3, 12)], "plate_id bigint, seq bigint, u double, v double")
+    base, frames = E.append_point(base, frames, edits)
+    assert sorted((r.point_idx, r.u) for r in base.collect())[4:] == [(4, 87.0), (5, 97.0), (6, 102.0)]
+    gone = spark.createDataFrame([(0, 0), (0, 2), (0, 5), (0, 2), (0, 50)], "plate_id bigint, point_idx int")
+    base, frames = E.delete_point(base, frames, gone)
+    assert sorted((r.point_idx, r.u) for r in base.collect()) == [(0, 2), (1, 4), (2, 87), (3, 102)]
+    assert _points(frames) == [(0.1, 0, 6), (0.1, 1, 8), (0.1, 2, 87), (0.1, 3, 102)]
+    ask = spark.createDataFrame([(0, 9), (0, 4)], "plate_id bigint, seq bigint")
+    _, more = E.add_keyframe(base, frames, ask)
+    assert [round(t, 9) for t, i, _ in _points(more) if i == 0] == [0.1, 0.2, 0.3]
+    moves = spark.createDataFrame(
+        [(0, 1, 0.0, 2.0, 2.0, 20.0, 0.0), (0, 3, 0.0, 2.0, 2.0, 21.0, 0.0), (0, 2, 0.0, 4.0, 4.0, 22.0, 0.0), (0, 4, 0.1, 6.0, 6.0, 23.0, 0.0)],
+        "plate_id bigint, seq bigint, t double, old_u double, old_v double, new_u double, new_v double",
+    )
+    base, frames = E.move_point(base, frames, moves)
+    assert sorted((r.point_idx, r.u) for r in base.collect()) == [(0, 21), (1, 22), (2, 87), (3, 102)]
+    assert _points(frames)[0] == (0.1, 0, 23.0)
+
+
 def test_add_and_delete_frames(spark):
     base, frames = _plate(spark, [1], [(0.3, [3]), (0.1, [4])])
     ask = spark.createDataFrame([(0, 5)], "plate_id bigint, seq bigint")

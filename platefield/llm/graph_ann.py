@@ -110,7 +110,9 @@ def build(vectors: np.ndarray, degree: int = DEGREE, beam: int = BUILD_BEAM, alp
     rng = np.random.default_rng(seed)
     middle = vectors - vectors.mean(0)
     start = int(np.argmin(np.einsum("ij,ij->i", middle, middle)))
-    edges = rng.integers(0, n, (n, degree))
+    # No row of edges holds a point twice, here and below: a search takes each of a row's points as new.
+    edges = np.sort(rng.integers(0, n, (n, degree)), axis=1)
+    edges[:, 1:][edges[:, 1:] == edges[:, :-1]] = -1
     edges[edges == np.arange(n)[:, None]] = -1
     if n == 1:
         return edges, start
@@ -138,7 +140,9 @@ def link_back(vectors: np.ndarray, edges: np.ndarray, points: np.ndarray, chosen
     degree = edges.shape[1]
     for lo in range(0, len(target), TOGETHER):
         t = target[lo : lo + TOGETHER]
-        wide = np.concatenate([edges[t], more[lo : lo + TOGETHER]], axis=1)
+        new = more[lo : lo + TOGETHER]
+        there = (new[:, :, None] == edges[t][:, None, :]).any(2)
+        wide = np.concatenate([edges[t], np.where(there, -1, new)], axis=1)
         room = (wide >= 0).sum(1) <= degree
         packed = np.take_along_axis(wide, np.argsort(wide < 0, axis=1, kind="stable"), 1)[:, :degree]
         edges[t[room]] = packed[room]

@@ -39,9 +39,9 @@ ORDER = 4
 #: Bytes that no UTF-8 text has.
 PAD, END = 0xFE, 0xFF
 SYMBOLS = 257
-BLOCK_BYTES = 60_000_000
+BLOCK_BYTES = 40_000_000
 #: Bytes that are coded at once inside a task.
-PART_BYTES = 4_000_000
+PART_BYTES = 2_000_000
 #: A key is a tag and the bytes of a context: pairs of order j, then n, d and the excluded count of contexts.
 TAG = 44
 PAIR, TOTAL, DISTINCT, EXCLUDED = 0, 5, 10, 15
@@ -52,13 +52,18 @@ def mask(n: int) -> int:
     return (1 << 8 * n) - 1
 
 
-class WordKeys(dict):
+def word_key(word: bytes) -> int:
     """Negative keys of words."""
+    return -1 - (xxhash.xxh3_64_intdigest(word) >> 1)
+
+
+class WordKeys(dict):
+    """Keys of words; those seen lately are looked up."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 1 << 20:
+        if len(self) >= 1 << 18:
             self.clear()
-        self[word] = key = -1 - (xxhash.xxh3_64_intdigest(word) >> 1)
+        self[word] = key = word_key(word)
         return key
 
 
@@ -97,10 +102,10 @@ def add_counts(into: tuple[np.ndarray, np.ndarray], keys: np.ndarray, n: np.ndar
 def count_texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """key, n of the grams and words of a part, in slices of bounded size."""
     none = (np.zeros(0, np.int64), np.zeros(0, np.int64))
-    seen, words, keys = none, Counter(), WordKeys()
+    seen, words = none, Counter()
 
     def word_rows() -> pd.DataFrame:
-        return pd.DataFrame({"key": np.fromiter(map(keys.__getitem__, words), np.int64, len(words)), "n": np.fromiter(words.values(), np.int64, len(words))})
+        return pd.DataFrame({"key": np.fromiter(map(word_key, words), np.int64, len(words)), "n": np.fromiter(words.values(), np.int64, len(words))})
 
     for batch in batches:
         texts = [encoded(t) for t in batch["text"]]
@@ -108,9 +113,9 @@ def count_texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             seen = add_counts(seen, *np.unique(grams(texts[a:b])[0], return_counts=True))
             for t in texts[a:b]:
                 words.update(t.translate(LOWER).split())
-            if len(words) > 500_000:
-                yield word_rows()
-                words.clear()
+                if len(words) > 400_000:
+                    yield word_rows()
+                    words.clear()
             if len(seen[0]) > 4_000_000:
                 yield pd.DataFrame({"key": seen[0], "n": seen[1]})
                 seen = none
@@ -179,12 +184,11 @@ def log_probability(codes: np.ndarray, get) -> np.ndarray:
 
 def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """block, key: what each block needs. Rows of a block come together."""
-    keys = WordKeys()
-    block, codes, words, size = None, [], set(), 0
+    block, codes, words = None, [], set()
 
     def out() -> Iterator[pd.DataFrame]:
         if codes:
-            need = np.r_[asked(np.unique(np.concatenate(codes))), np.fromiter(map(keys.__getitem__, words), np.int64, len(words))]
+            need = np.r_[asked(np.unique(np.concatenate(codes))), np.fromiter(map(word_key, words), np.int64, len(words))]
             yield pd.DataFrame({"block": block, "key": need})
 
     for batch in batches:
@@ -195,7 +199,7 @@ def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             texts = [encoded(t) for t in rows["text"]]
             for lo, hi in in_parts(texts):
                 codes.append(np.unique(grams(texts[lo:hi])[0]))
-                if sum(map(len, codes)) > 4_000_000:
+                if sum(map(len, codes)) > 2_000_000:
                     codes = [np.unique(np.concatenate(codes))]
                 for t in texts[lo:hi]:
                     words.update(t.translate(LOWER).split())
@@ -222,7 +226,7 @@ def score_block(rows: pd.DataFrame, answers: pd.DataFrame, tokens: int, types: i
     """Scores of the texts of one block."""
     known = Answers(answers["key"].to_numpy(np.int64), answers["value"].to_numpy(np.int64))
     texts = [encoded(t) for t in rows["text"]]
-    keys, counts = WordKeys(), {}
+    keys = WordKeys()
     base = lambda c: np.log10((c + 1) / (tokens + types + 1))
     score, base_score = np.zeros(len(texts)), np.zeros(len(texts))
     n_tokens, n_known = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)

@@ -51,12 +51,14 @@ def running_start(
     own = lambda w: F.coalesce(F.sum(value).over(w.orderBy(order, *ties).rowsBetween(*before)), F.lit(0))
     if bits <= CHUNK_BITS:
         return df.withColumn(out, own(Window.partitionBy(*keys)))
-    df = df.withColumn("_chunk", F.shiftright(order, CHUNK_BITS))
-    sums = df.groupBy(*keys, "_chunk").agg(F.sum(value).alias("_sum"))
-    upper = running_start(sums, keys, "_chunk", "_sum", bits - CHUNK_BITS, "_upper").drop("_sum")
-    inside = df.withColumn("_inside", own(Window.partitionBy(*keys, "_chunk")))
-    joined = inside.join(upper, [*keys, "_chunk"])
-    return joined.withColumn(out, F.col("_upper") + F.col("_inside")).drop("_chunk", "_upper", "_inside")
+    # Names of their own per level, as the level above is ordered by its chunk.
+    chunk, upper, inside = f"_chunk{bits}", f"_upper{bits}", f"_inside{bits}"
+    df = df.withColumn(chunk, F.shiftright(order, CHUNK_BITS))
+    sums = df.groupBy(*keys, chunk).agg(F.sum(value).alias("_sum"))
+    above = running_start(sums, keys, chunk, "_sum", bits - CHUNK_BITS, upper).drop("_sum")
+    within = df.withColumn(inside, own(Window.partitionBy(*keys, chunk)))
+    joined = within.join(above, [*keys, chunk])
+    return joined.withColumn(out, F.col(upper) + F.col(inside)).drop(chunk, upper, inside)
 
 
 def nested(docs: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from platefield.llm import mixing, pii, reply_trees, secrets
+from platefield.llm.common import running_start
 
 DOC = "doc_id long, text string, source string, size int, _row string"
 
@@ -61,6 +62,18 @@ def test_mixing_meets_targets_with_nulls_ties_and_repeats(spark):
     assert abs(sum(s == 0 for _, s in half) / len(half) - share) < 0.1
 
 
+def test_running_start_over_several_levels(spark):
+    rng = random.Random(2)
+    orders = sorted({rng.randrange(1 << 50) for _ in range(300)} | set(range(40)))
+    df = spark.createDataFrame([(i % 3, o, i % 5) for i, o in enumerate(orders)], "k int, o long, n long")
+    got = {r.o: r.s for r in running_start(df, ["k"], "o", "n", 50, "s").collect()}
+    want, total = {}, {0: 0, 1: 0, 2: 0}
+    for i, o in enumerate(orders):
+        want[o] = total[i % 3]
+        total[i % 3] += i % 5
+    assert got == want
+
+
 def test_mixing_of_nothing(spark):
     assert mixed(spark, []) == ([], [])
     got, _ = mixed(spark, [(1, None, None, 0, ""), (2, "", "a", 0, "")])

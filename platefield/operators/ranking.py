@@ -25,17 +25,19 @@ def running_total(counts: DataFrame, keys: list[str], order: str, weight: str, b
     if bits <= TOP_BITS:
         w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
         return counts.withColumn("before", F.coalesce(F.sum(weight).over(w), F.lit(0).cast("bigint")))
-    part = counts.withColumn("_up", F.shiftright(order, CHUNK_BITS))
-    w = Window.partitionBy(*keys, "_up").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    # A name of its own per level, as the level above is ordered by it.
+    up = f"_up{bits}"
+    part = counts.withColumn(up, F.shiftright(order, CHUNK_BITS))
+    w = Window.partitionBy(*keys, up).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     inner = part.withColumn("_in", F.coalesce(F.sum(weight).over(w), F.lit(0).cast("bigint")))
-    totals = part.groupBy(*keys, "_up").agg(F.sum(weight).alias("_weight"))
-    outer = running_total(totals, keys, "_up", "_weight", bits - CHUNK_BITS).select(
-        *keys, "_up", F.col("before").alias("_out")
+    totals = part.groupBy(*keys, up).agg(F.sum(weight).alias("_weight"))
+    outer = running_total(totals, keys, up, "_weight", bits - CHUNK_BITS).select(
+        *keys, up, F.col("before").alias("_out")
     )
     return (
-        inner.join(outer, [*keys, "_up"])
+        inner.join(outer, [*keys, up])
         .withColumn("before", F.col("_in") + F.col("_out"))
-        .drop("_in", "_out", "_up")
+        .drop("_in", "_out", up)
     )
 
 

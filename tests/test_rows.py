@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from platefield.operators import generate as G
 from platefield.operators import sequence as Q
 from platefield.operators.boxes import box_intersects
-from platefield.operators.ranking import with_position
+from platefield.operators.ranking import SEQ_BITS, running_total, with_position
 
 
 @pytest.fixture(scope="module")
@@ -45,6 +45,18 @@ def test_positions_of_any_bigint(spark):
     assert folded.first().result == ",".join(["start", *map(str, seqs)])
 
 
+def test_running_total_over_all_levels(spark):
+    rnd = random.Random(9)
+    orders = sorted({rnd.randrange(-(1 << 63), 1 << 63) for _ in range(300)} | set(range(50)))
+    df = spark.createDataFrame([(1, o, i % 7) for i, o in enumerate(orders)], "k int, o bigint, n bigint")
+    got = {r.o: r.before for r in running_total(df, ["k"], "o", "n", SEQ_BITS).collect()}
+    want, total = {}, 0
+    for i, o in enumerate(orders):
+        want[o] = total
+        total += i % 7
+    assert got == want
+
+
 def test_null_keys_are_never_picked(spark):
     df = spark.createDataFrame([(1, 1, None), (1, 2, 5.0), (1, 3, 2.0), (2, 1, None)], "k int, seq bigint, v double")
     seq = lambda pick: {r.k: r.seq for r in pick(df, ["k"], F.col("v"), "seq", ["seq"]).collect()}

@@ -39,9 +39,9 @@ ORDER = 4
 #: Bytes that no UTF-8 text has.
 PAD, END = 0xFE, 0xFF
 SYMBOLS = 257
-BLOCK_BYTES = 40_000_000
+BLOCK_BYTES = 24_000_000
 #: Bytes that are coded at once inside a task.
-PART_BYTES = 2_000_000
+PART_BYTES = 1_000_000
 #: A key is a tag and the bytes of a context: pairs of order j, then n, d and the excluded count of contexts.
 TAG = 44
 PAIR, TOTAL, DISTINCT, EXCLUDED = 0, 5, 10, 15
@@ -61,7 +61,7 @@ class WordKeys(dict):
     """Keys of words; those seen lately are looked up."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 1 << 18:
+        if len(self) >= 1 << 17:
             self.clear()
         self[word] = key = word_key(word)
         return key
@@ -85,10 +85,11 @@ def grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return code[keep], sizes
 
 
-def in_parts(texts: list[bytes]) -> Iterator[tuple[int, int]]:
+def in_parts(texts: pd.Series) -> Iterator[tuple[int, int]]:
+    """Bounds of runs of texts that are coded at once; no more than one run is held in bytes."""
     begin = size = 0
     for i, t in enumerate(texts):
-        size += len(t)
+        size += len(t or "")
         if size > PART_BYTES or i + 1 == len(texts):
             yield begin, i + 1
             begin, size = i + 1, 0
@@ -108,15 +109,15 @@ def count_texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         return pd.DataFrame({"key": np.fromiter(map(word_key, words), np.int64, len(words)), "n": np.fromiter(words.values(), np.int64, len(words))})
 
     for batch in batches:
-        texts = [encoded(t) for t in batch["text"]]
-        for a, b in in_parts(texts):
-            seen = add_counts(seen, *np.unique(grams(texts[a:b])[0], return_counts=True))
-            for t in texts[a:b]:
+        for a, b in in_parts(batch["text"]):
+            texts = [encoded(t) for t in batch["text"].iloc[a:b]]
+            seen = add_counts(seen, *np.unique(grams(texts)[0], return_counts=True))
+            for t in texts:
                 words.update(t.translate(LOWER).split())
-                if len(words) > 400_000:
+                if len(words) > 150_000:
                     yield word_rows()
                     words.clear()
-            if len(seen[0]) > 4_000_000:
+            if len(seen[0]) > 2_000_000:
                 yield pd.DataFrame({"key": seen[0], "n": seen[1]})
                 seen = none
     yield word_rows()
@@ -196,12 +197,12 @@ def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             if b != block:
                 yield from out()
                 block, codes, words = b, [], set()
-            texts = [encoded(t) for t in rows["text"]]
-            for lo, hi in in_parts(texts):
-                codes.append(np.unique(grams(texts[lo:hi])[0]))
-                if sum(map(len, codes)) > 2_000_000:
+            for lo, hi in in_parts(rows["text"]):
+                texts = [encoded(t) for t in rows["text"].iloc[lo:hi]]
+                codes.append(np.unique(grams(texts)[0]))
+                if sum(map(len, codes)) > 1_000_000:
                     codes = [np.unique(np.concatenate(codes))]
-                for t in texts[lo:hi]:
+                for t in texts:
                     words.update(t.translate(LOWER).split())
     yield from out()
 
@@ -225,16 +226,16 @@ class Answers:
 def score_block(rows: pd.DataFrame, answers: pd.DataFrame, tokens: int, types: int, ends: int) -> pd.DataFrame:
     """Scores of the texts of one block."""
     known = Answers(answers["key"].to_numpy(np.int64), answers["value"].to_numpy(np.int64))
-    texts = [encoded(t) for t in rows["text"]]
     keys = WordKeys()
     base = lambda c: np.log10((c + 1) / (tokens + types + 1))
-    score, base_score = np.zeros(len(texts)), np.zeros(len(texts))
-    n_tokens, n_known = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
-    for a, b in in_parts(texts):
-        codes, sizes = grams(texts[a:b])
+    score, base_score = np.zeros(len(rows)), np.zeros(len(rows))
+    n_tokens, n_known = np.zeros(len(rows), np.int64), np.zeros(len(rows), np.int64)
+    for a, b in in_parts(rows["text"]):
+        texts = [encoded(t) for t in rows["text"].iloc[a:b]]
+        codes, sizes = grams(texts)
         distinct, at = np.unique(codes, return_inverse=True)
         score[a:b] = np.add.reduceat(log_probability(distinct, known.get)[at], np.cumsum(sizes) - sizes)
-        split = [t.translate(LOWER).split() for t in texts[a:b]]
+        split = [t.translate(LOWER).split() for t in texts]
         of = np.array([len(s) for s in split], np.int64)
         flat = np.fromiter((keys[w] for s in split for w in s), np.int64, of.sum())
         distinct, at = np.unique(flat, return_inverse=True)

@@ -67,23 +67,27 @@ def pointers(messages: DataFrame) -> tuple[list[DataFrame], DataFrame]:
         "tree", "node", F.when(F.col("_there"), F.col("parent")).alias("up"), "total", F.lit(1).cast("long").alias("depth")
     )
     now = cut_lineage(now)
-    steps, left = [], now.filter("up IS NOT NULL").count()
-    while left:
-        steps.append(now.filter("up IS NOT NULL").select("tree", "node", "up"))
-        ahead = now.select(
+    size = messages.count()
+    steps, rooted, before = [], now.filter("up IS NULL"), None
+    while True:
+        # Only what hasn't reached its root takes part in a round; deep trees are few.
+        active = now.filter("up IS NOT NULL")
+        left = active.count()
+        # What lies on or below a cycle never reaches a root: it is all that is left once the reach is past the number of rows.
+        if not left or left == before and 2 ** len(steps) > size:
+            return steps, rooted.drop("up")
+        before = left
+        steps.append(active.select("tree", "node", "up"))
+        ahead = rooted.unionByName(active).select(
             F.col("tree").alias("_tree"), F.col("node").alias("_node"), F.col("up").alias("_up"), F.col("total").alias("_total"), F.col("depth").alias("_depth")
         )
         now = cut_lineage(
-            _tied(now, ahead, "up", "left").select(
-                "tree", "node", F.col("_up").alias("up"), (F.col("total") + F.coalesce("_total", F.lit(0.0))).alias("total"),
-                (F.col("depth") + F.coalesce("_depth", F.lit(0))).alias("depth"),
+            _tied(active, ahead, "up").select(
+                "tree", "node", F.col("_up").alias("up"), (F.col("total") + F.col("_total")).alias("total"),
+                (F.col("depth") + F.col("_depth")).alias("depth"),
             )
         )
-        # What lies on a cycle never reaches a root: it is all that is left once the reach is past the number of rows.
-        before, left = left, now.filter("up IS NOT NULL").count()
-        if left == before and 2 ** len(steps) > messages.count():
-            break
-    return steps, now.filter("up IS NULL").drop("up")
+        rooted = rooted.unionByName(now.filter("up IS NULL"))
 
 
 def paths(messages: DataFrame, branches: int | None = 1) -> DataFrame:

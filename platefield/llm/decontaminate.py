@@ -1,27 +1,23 @@
-"""Benchmark decontamination by CGK embedding, bit sampling and edit distance over words.
+"""Benchmark decontamination by intact pieces and exact edit distance over words.
 
 A document is contaminated by an item if one of its windows, which are as long as the
 item give or take the allowed edits, is within ``1 - similarity`` times the item's words
 of it in edit distance. Words are compared in lower case and without punctuation.
 
-CGK: a random walk over a window puts out the word it stands on and then moves on or
-stays, by a random bit for the step and the word. Two windows at a small edit distance fall
-into step, so their outputs agree in most places: edit distance becomes Hamming distance.
-A repetition draws a walk of its own and samples some places of the output; windows that
-agree with an item there are its candidates. The number of repetitions is raised until the
-embedding, tried on items with random edits of the largest allowed number, finds the
-target share. Candidates are verified by exact edit distance.
-
-Before that, two screens that lose nothing: an item of n words with k edits allowed, cut
-into k + 1 pieces, has a piece without an edit, so only windows that hold a piece of an
-item word by word are embedded.
+No pair is lost, wherever its edits lie: an item of n words with k edits allowed, cut into
+k + 1 pieces, has a piece without an edit, and the window starts within k words of where
+that piece puts it. So each run of words that is a piece of some item names the item and
+a stretch of n + 2k words, and every such stretch is judged, first by how many of its words
+the item has at all (n - k at least), then by exact edit distance. Earlier versions sampled
+CGK walks between the two; walks agree by chance only, so they are gone.
 
 The benchmark is broadcast in blocks of bounded size; each block is one pass over the
 documents, without a shuffle. Each document is handled whole, by itself.
 
 Defined results: NULL or empty texts and items match nothing; repeated rows are rows of
-their own; items of few words allow no edit and must occur as they are; other columns
-are ignored.
+their own; items of few words allow no edit and must occur as they are; of an item's windows
+in a document that of the fewest edits is given, of these the first, and of these the
+shortest; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -36,12 +32,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SIMILARITY = 0.8
-RECALL = 0.99
-PLACES = 3
-MOST_REPEATS = 96
 #: Words of the items of one block, which is what one broadcast holds.
 BLOCK_WORDS = 500_000
 PIECE = 4
+#: Pairs of a piece and an item that are judged at once, and cells of a table of edits.
+SEEDS, CELLS = 1 << 20, 1 << 22
 #: Characters that a word may have around it and that don't count.
 PUNCTUATION = string.punctuation + "«»‹›„“”‘’‚…–—¡¿·•"
 LOST = 0  # words that no item has
@@ -79,9 +74,9 @@ class Words(dict):
 
 
 class Benchmark:
-    """One block of items, with pieces to screen by and the tables of the embedding."""
+    """One block of items, with the pieces to screen by and the items and places of each."""
 
-    def __init__(self, items: list[tuple[int, str]], similarity: float = SIMILARITY, recall: float = RECALL, seed: int = 11):
+    def __init__(self, items: list[tuple[int, str]], similarity: float = SIMILARITY):
         self.known: dict[str, int] = {}
         self.ids, self.items = [], []
         for item_id, text in items:
@@ -89,23 +84,19 @@ class Benchmark:
             if words:
                 self.ids.append(item_id)
                 self.items.append(np.array([self.known.setdefault(w, len(self.known) + 1) for w in words], np.int64))
-        self.similarity, self.recall = similarity, recall
-        self.rng = np.random.default_rng(seed)
-        self.pieces: dict[int, np.ndarray] = {}
-        found = defaultdict(set)
-        for x in self.items:
+        self.similarity = similarity
+        found = defaultdict(list)
+        for item, x in enumerate(self.items):
             k = edits_allowed(len(x), similarity)
-            q = min(PIECE, len(x) // (k + 1))
             step = len(x) // (k + 1)
-            for i in range(k + 1):
-                found[q].add(int(self.codes(x[i * step : i * step + q], q)[0]))
-        self.pieces = {q: np.array(sorted(c), np.uint64) for q, c in found.items()}
-        self.longest = max(map(len, self.items), default=0)
-        # Classes of items whose lengths share their upper bit share walks and tables.
-        groups = defaultdict(list)
-        for i, x in enumerate(self.items):
-            groups[len(x).bit_length()].append(i)
-        self.classes = [self.length_class(members) for _, members in sorted(groups.items())]
+            q = min(PIECE, step)
+            codes = self.codes(x, q)
+            found[q] += [(int(codes[i * step]), item, i * step) for i in range(k + 1)]
+        # Rows of one code follow each other: code, item and where in the item.
+        self.pieces: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        for q, rows in found.items():
+            codes, items_of, offsets = zip(*sorted(rows))
+            self.pieces[q] = np.array(codes, np.uint64), np.array(items_of, np.int64), np.array(offsets, np.int64)
 
     def codes(self, words: np.ndarray, q: int) -> np.ndarray:
         """A number for each run of q words."""
@@ -115,68 +106,11 @@ class Benchmark:
             code = (code + words[i : i + n].astype(np.uint64)) * MIX
         return scramble(code)
 
-    def walk(self, words: np.ndarray, starts: np.ndarray, stops: np.ndarray, places: np.ndarray, seed: int) -> np.ndarray:
-        """One number per window: the sampled outputs of one walk over each."""
-        at = starts.copy()
-        key = np.zeros(len(starts), np.uint64)
-        wanted = set(places.tolist())
-        for step in range(int(places[-1]) + 1):
-            # A walk past its window puts out a pad.
-            word = np.where(at < stops, words[np.minimum(at, len(words) - 1)], -1).astype(np.uint64)
-            if step in wanted:
-                key = scramble((key + word + np.uint64(1)) * MIX)
-            bit = scramble(word * MIX + np.uint64((seed * 1_000_003 + step * 7919 + 1) & 0xFFFFFFFF)) >> np.uint64(63)
-            at += bit.astype(np.int64)
-        return key
-
-    def length_class(self, members: list[int]) -> tuple[int, int, list[tuple[np.ndarray, int, np.ndarray, np.ndarray]]]:
-        """Shortest and longest item and the repetitions: places, seed, sorted keys and their items."""
-        shortest = min(len(self.items[i]) for i in members)
-        longest = max(len(self.items[i]) for i in members)
-        flat = np.concatenate([self.items[i] for i in members])
-        lengths = np.array([len(self.items[i]) for i in members])
-        stops = np.cumsum(lengths)
-        starts = stops - lengths
-        tries, tried_of = self.edited(members)
-        t_len = np.array([len(x) for x in tries])
-        t_flat, t_stop = np.concatenate(tries), np.cumsum(t_len)
-        t_start = t_stop - t_len
-        missed = np.ones(len(tries), bool)
-        repeats = []
-        while len(repeats) < MOST_REPEATS and (len(repeats) < 4 or missed.mean() > 1 - self.recall):
-            # Places among the first steps: an item's walk gets there whatever the item's length.
-            reach = max(1, min(shortest, 4 + len(repeats) % 12))
-            places = np.sort(self.rng.choice(reach, min(PLACES, reach), replace=False))
-            seed = int(self.rng.integers(1 << 30))
-            keys = self.walk(flat, starts, stops, places, seed)
-            order = np.argsort(keys, kind="stable")
-            repeats.append((places, seed, keys[order], np.array(members)[order]))
-            missed &= self.walk(t_flat, t_start, t_stop, places, seed) != keys[tried_of]
-        return shortest, longest, repeats
-
-    def edited(self, members: list[int], each: int = 16) -> tuple[list[np.ndarray], np.ndarray]:
-        """Items of a class with as many random edits as are allowed, in the middle of other words."""
-        out, of = [], []
-        for row, i in enumerate(members[:256]):
-            for _ in range(each):
-                x = self.items[i].tolist()
-                for _ in range(edits_allowed(len(x), self.similarity)):
-                    p, kind = int(self.rng.integers(len(x))), int(self.rng.integers(3))
-                    if kind == 0:
-                        x[p] = LOST
-                    elif kind == 1 and len(x) > 1:
-                        del x[p]
-                    else:
-                        x.insert(p, LOST)
-                out.append(np.array(x, np.int64))
-                of.append(row)
-        return out, np.array(of)
-
-    def screen(self, words: np.ndarray) -> np.ndarray:
-        """Where a run of words is a piece of an item."""
-        hits = [np.zeros(0, np.int64)]
+    def screen(self, words: np.ndarray) -> list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """Where runs of q words are pieces of items: q, places, and the rows of ``pieces[q]`` from and to."""
+        hits = []
         known = words > LOST
-        for q, codes in self.pieces.items():
+        for q, (codes, _, _) in self.pieces.items():
             n = len(words) - q + 1
             if n <= 0:
                 continue
@@ -190,61 +124,109 @@ class Benchmark:
             for i in range(q):
                 code = (code + words[at + i].astype(np.uint64)) * MIX
             code = scramble(code)
-            spot = np.minimum(np.searchsorted(codes, code), len(codes) - 1)
-            hits.append(at[codes[spot] == code])
-        return np.unique(np.concatenate(hits))
+            low, high = np.searchsorted(codes, code, "left"), np.searchsorted(codes, code, "right")
+            hit = high > low
+            if hit.any():
+                hits.append((q, at[hit], low[hit], high[hit]))
+        return hits
 
-    def candidates(self, words: np.ndarray, first: np.ndarray, last: np.ndarray, hits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(starts, items) of windows that agree with an item in the sampled places of a repetition.
+    def seeds(self, texts: list[np.ndarray], begin: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(items, texts, places where the item would begin without edits before the piece), in parts of bounded size.
 
-        ``first`` and ``last`` bound the document of each hit in ``words``.
+        Text i begins at ``begin[i]``; places are counted over all texts.
         """
-        found = [np.zeros(0, np.int64)]
-        ends_at = np.repeat(last_of := np.unique(last), np.diff(np.r_[0, last_of])) if len(last) else last
-        for shortest, longest, repeats in self.classes:
-            # A window that holds a hit starts at most one window length before it.
-            reach = longest + edits_allowed(longest, self.similarity)
-            near = np.zeros(len(words) + 1, np.int64)
-            np.add.at(near, np.maximum(hits - reach, first), 1)
-            np.add.at(near, hits + 1, -1)
-            starts = np.flatnonzero(np.cumsum(near[:-1]) > 0)
-            stops = np.minimum(starts + shortest, ends_at[starts])
-            for places, seed, keys, items in repeats:
-                key = self.walk(words, starts, stops, places, seed)
-                low, high = np.searchsorted(keys, key, "left"), np.searchsorted(keys, key, "right")
-                at = np.flatnonzero(high > low)
-                n = (high - low)[at]
-                picked = np.repeat(low[at] - np.cumsum(n) + n, n) + np.arange(n.sum())
-                found.append(np.repeat(starts[at], n) * len(self.items) + items[picked])
-            found = [np.unique(np.concatenate(found))]
-        return found[0] // len(self.items), found[0] % len(self.items)
+        for text, words in enumerate(texts):
+            for q, at, low, high in self.screen(words):
+                n = high - low
+                part = (np.cumsum(n) - n) // SEEDS
+                for p in np.unique(part):
+                    own = part == p
+                    count = n[own]
+                    row = np.repeat(low[own] - np.cumsum(count) + count, count) + np.arange(count.sum())
+                    _, items, offsets = self.pieces[q]
+                    yield items[row], np.full(len(row), text), np.repeat(at[own], count) - offsets[row] + begin[text]
 
     def matches(self, texts: list[np.ndarray]) -> list[tuple[int, int, int, int, int]]:
         """(text, item, first word, words, edits) of the best window of each item in each text."""
-        screened = [(i, w, h) for i, w in enumerate(texts) if len(h := self.screen(w))]
-        if not screened:
-            return []
-        sizes = np.array([len(w) for _, w, _ in screened])
-        begin = np.cumsum(sizes) - sizes
-        words = np.concatenate([w for _, w, _ in screened])
-        counts = np.array([len(h) for _, _, h in screened])
-        hits = np.concatenate([h for _, _, h in screened]) + np.repeat(begin, counts)
-        starts, items = self.candidates(words, np.repeat(begin, counts), np.repeat(begin + sizes, counts), hits)
-        of = np.searchsorted(begin, starts, "right") - 1
+        sizes = np.array([len(w) for w in texts], np.int64)
+        end = np.cumsum(sizes)
+        begin = end - sizes
+        words = np.concatenate(texts) if texts else np.zeros(0, np.int64)
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
-        order = np.argsort(items, kind="stable")
-        cuts = np.flatnonzero(np.diff(items[order])) + 1
-        for group in np.split(order, cuts) if len(order) else []:
-            item = int(items[group[0]])
-            k = edits_allowed(len(self.items[item]), self.similarity)
-            edits, size = edit_distance(self.items[item], words, starts[group], (begin + sizes)[of[group]], k)
-            for g, e, n in zip(group, edits, size):
-                if e <= k:
-                    at = (int(e), int(starts[g] - begin[of[g]]), int(n))
-                    key = (screened[of[g]][0], item)
-                    best[key] = min(best.get(key, at), at)
+        parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        for seed in self.seeds(texts, begin):
+            parts.append(seed)
+            if sum(len(items) for items, _, _ in parts) >= SEEDS:
+                self.judge(parts, words, begin, end, best)
+                parts = []
+        self.judge(parts, words, begin, end, best)
         return [(text, item, first, n, e) for (text, item), (e, first, n) in sorted(best.items())]
 
+    def judge(self, parts: list, words: np.ndarray, begin: np.ndarray, end: np.ndarray, best: dict) -> None:
+        """Take the best windows of the seeds in ``parts`` into ``best``."""
+        if not parts:
+            return
+        items, texts, places = (np.concatenate(x) for x in zip(*parts))
+        # Pieces of one stretch name it once.
+        order = np.lexsort((places, texts, items))
+        items, texts, places = items[order], texts[order], places[order]
+        new = np.r_[True, (np.diff(items) != 0) | (np.diff(texts) != 0) | (np.diff(places) != 0)]
+        items, texts, places = items[new], texts[new], places[new]
+        own = np.zeros(len(self.known) + 1, bool)
+        for group in np.split(np.arange(len(items)), np.flatnonzero(np.diff(items)) + 1):
+            item = self.items[items[group[0]]]
+            k = edits_allowed(len(item), self.similarity)
+            own[item] = True
+            rows = max(1, CELLS // (len(item) + 2 * k))
+            for i in range(0, len(group), rows):
+                some = group[i : i + rows]
+                text = texts[some]
+                at, first, last = places[some], begin[text], end[text]
+                enough = shared_words(own, len(item), words, at, first, last, k) >= len(item) - k
+                text, at, first, last = text[enough], at[enough], first[enough], last[enough]
+                start, edits = best_start(item, words, at, first, last, k)
+                text, start, last = text[edits <= k], start[edits <= k], last[edits <= k]
+                for t, s, e, n in zip(text, start, *edit_distance(item, words, start, last, k)):
+                    key, found = (int(t), int(items[some[0]])), (int(e), int(s - begin[t]), int(n))
+                    best[key] = min(best.get(key, found), found)
+            own[item] = False
+
+
+def stretches(n: int, words: np.ndarray, places: np.ndarray, first: np.ndarray, last: np.ndarray, k: int) -> np.ndarray:
+    """From k words before each place to k words behind an item of n words; what is outside ``first`` and ``last`` is -2."""
+    at = places[:, None] + np.arange(-k, n + k)
+    return np.where((at >= first[:, None]) & (at < last[:, None]), words[np.clip(at, 0, len(words) - 1)], -2)
+
+
+def shared_words(own: np.ndarray, n: int, words: np.ndarray, places: np.ndarray, first: np.ndarray, last: np.ndarray, k: int) -> np.ndarray:
+    """How many words of each stretch are among the item's, which ``own`` marks."""
+    stretch = stretches(n, words, places, first, last, k)
+    return (own[np.maximum(stretch, LOST)] & (stretch > LOST)).sum(axis=1)
+
+
+def last_row(item: np.ndarray, windows: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """The last row of the tables of edits between ``item`` and each of ``windows``, from the row for no words."""
+    column = np.arange(windows.shape[1] + 1)
+    for i, word in enumerate(item):
+        new = np.empty_like(row)
+        new[:, 0] = i + 1
+        new[:, 1:] = np.minimum(row[:, 1:] + 1, row[:, :-1] + (windows != word))
+        # Insertions: the least of any cell to the left plus its distance.
+        row = np.minimum.accumulate(new - column, axis=1) + column
+    return row
+
+
+def best_start(item: np.ndarray, words: np.ndarray, places: np.ndarray, first: np.ndarray, last: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where the best window of each stretch starts, the first of equals, and its edits."""
+    n = len(item)
+    # Backwards, so that a column is a start; a window may end anywhere.
+    backwards = stretches(n, words, places, first, last, k)[:, ::-1]
+    row = last_row(item[::-1], backwards, np.zeros((len(places), n + 2 * k + 1), np.int64))[:, ::-1]
+    start = places[:, None] + np.arange(-k, n + k + 1)
+    row = np.where(start >= first[:, None], row, n + k + 1)
+    at = np.argmin(row, axis=1)
+    return places - k + at, row[np.arange(len(places)), at]
+
 
 def edit_distance(item: np.ndarray, words: np.ndarray, starts: np.ndarray, limits: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Least edits of ``item`` against the windows at ``starts`` (lengths n - k to n + k), and that length.
@@ -255,14 +237,7 @@ def edit_distance(item: np.ndarray, words: np.ndarray, starts: np.ndarray, limit
     width = n + k
     at = starts[:, None] + np.arange(width)
     window = np.where(at < limits[:, None], words[np.minimum(at, len(words) - 1)], -2)
-    column = np.arange(width + 1)
-    row = np.broadcast_to(column, (len(starts), width + 1)).copy()
-    for i in range(n):
-        new = np.empty_like(row)
-        new[:, 0] = i + 1
-        new[:, 1:] = np.minimum(row[:, 1:] + 1, row[:, :-1] + (window != item[i]))
-        # Insertions: the least of any cell to the left plus its distance.
-        row = np.minimum.accumulate(new - column, axis=1) + column
+    row = last_row(item, window, np.broadcast_to(np.arange(width + 1), (len(starts), width + 1)).copy())
     size = np.argmin(row[:, n - k :], axis=1) + n - k
     return row[np.arange(len(starts)), size], size
 

@@ -207,6 +207,56 @@ def test_decontamination_equals_exact_search(spark):
     assert decontaminate.contaminated(docs.limit(0), bench).collect() == [] and decontaminate.contaminated(docs, bench.limit(0)).collect() == []
 
 
+@pytest.mark.parametrize("length", [20, 40, 59, 100])
+def test_decontamination_finds_edits_in_one_run_anywhere(length):
+    rng = random.Random(length)
+    items = [(i, " ".join(f"w{i}x{rng.randrange(10**6)}" for _ in range(length))) for i in range(3)]
+    k = decontaminate.edits_allowed(length)
+    rows, want = [], {}
+    for i, text in items:
+        x = text.split()
+        for at in (0, k // 2, (length - k) // 2, length - k):  # head, near it, middle, tail
+            for put in ([], ["zzz"] * k):  # dropped or replaced
+                d = len(rows)
+                before = rng.randrange(40)
+                rows.append((d, " ".join(prose(rng, before).split() + x[:at] + put + x[at + k :] + prose(rng, 30).split())))
+                want[d, i] = k
+        for at in (0, length // 2, length):
+            d = len(rows)
+            rows.append((d, prose(rng, 25) + " " + " ".join(x[:at] + ["zzz"] * k + x[at:])))
+            want[d, i] = k if 0 < at < length else 0  # a run outside the item is no edit
+    found = next(decontaminate.scan(iter([pd.DataFrame(rows, columns=["doc_id", "text"])]), decontaminate.Benchmark(items)))
+    assert {(r.doc_id, r.item_id): r.edits for r in found.itertuples()} == want
+
+
+def test_decontamination_gives_the_best_of_all_windows():
+    rng = random.Random(3)
+    items = [(i, " ".join(rng.choice("abcde") for _ in range(n))) for i, n in enumerate([1, 2, 4, 5, 7, 10, 15, 23])]
+    texts = [" ".join(rng.choice("abcdefgh") for _ in range(rng.randrange(1, 40))) for _ in range(120)]
+    texts += [" ".join(x.split()[2:]) for _, x in items[5:]] + [" ".join(x.split()[:-2]) for _, x in items[5:]]
+    want = []
+    for d, text in enumerate(texts):
+        words = text.split()
+        for i, t in items:
+            x, best = t.split(), None
+            k = decontaminate.edits_allowed(len(x))
+            for first in range(len(words)):
+                row = list(range(len(words) - first + 1))
+                for a, w in enumerate(x, 1):
+                    new = [a]
+                    for j, y in enumerate(words[first:], 1):
+                        new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (w != y)))
+                    row = new
+                for n, e in enumerate(row):
+                    if e <= k and (best is None or (e, first, n) < best):
+                        best = (e, first, n)
+            if best:
+                want.append((d, i, best[1], best[2], best[0]))
+    rows = pd.DataFrame({"doc_id": range(len(texts)), "text": texts})
+    found = next(decontaminate.scan(iter([rows]), decontaminate.Benchmark(items)))
+    assert len(want) > 100 and list(found.itertuples(index=False, name=None)) == want
+
+
 # --- language model
 
 

@@ -6,6 +6,10 @@ a card with a right check digit, a date a date of its century. The permutation d
 on the key, the kind and the value without its separators alone, so equal values get
 equal pseudonyms in all documents. What isn't valid is left as it is.
 
+An account ends where its country says, or else at the last group with which it is valid.
+What a match holds behind its value, and all of one that isn't valid but its first group,
+is scanned again together with the text up to the next match.
+
 A value is a vector of digits with a radix each. A round adds a keyed hash of one half,
 modulo the radices, to the other half; whatever the radices are, that can be undone, so
 no cycle walking is needed. DataFrame functions only.
@@ -43,6 +47,21 @@ ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: What every valid value has. Quick to look for, and most texts have nothing of it.
 SIGN = r"\d[\d ./()-]{5,}\d|@|[A-Z]{2}\d{2}"
 
+#: Letters and digits of an account by country; other countries' may have any length.
+ACCOUNT = {
+    int(n): codes.split()
+    for n, codes in (row.split(":") for row in (
+        "15:NO", "16:BE", "18:DK FI FK FO GL NL SD", "19:MK SI", "20:AT BA EE KZ LT LU MN XK", "21:CH HR LI LV",
+        "22:BG BH CR DE GB GE IE ME RS VA", "23:AE GI IL IQ OM SO TL", "24:AD CZ ES MD PK RO SA SE SK TN VG", "25:LY PT ST",
+        "26:IS TR", "27:BI DJ FR GR IT MC MR SM", "28:AL AZ BY CY DO GT HN HU LB NI PL SV", "29:BR EG PS QA UA", "30:JO KW MU YE",
+        "31:MT SC", "32:LC", "33:RU",
+    ))
+}
+
+#: A match has at most nine groups, and each scan is done with one of them.
+SCANS = 12
+PIECES = "array<struct<text:string,kind:string,open:boolean>>"
+
 #: Days of a century as a product of two radices, by whether its first year is a leap year.
 LEAP_CENTURY, CENTURY = (75, 487), (92, 397)
 INTS = "array<int>"
@@ -239,24 +258,63 @@ def decode(m: Column, kind: Column, v: Column, digits: Column) -> Column:
     )
 
 
-def pseudonym(m: Column, key: str) -> Column:
-    """kind and new text of one match; a match that isn't valid has no kind and stays."""
+def readings(m: Column) -> Column:
+    """What of a match may be a value, best first: an account may end at any of its groups."""
+    size = lambda o: F.length(F.regexp_replace(o, " ", ""))
+    country = F.substring(m, 1, 2)
+    due = F.coalesce(*[F.when(country.isin(codes), F.lit(n)) for n, codes in ACCOUNT.items()])
+    groups = F.split(m, " ")
+    ends = F.transform(F.sequence(F.size(groups), F.lit(1), F.lit(-1)), lambda n: F.array_join(F.slice(groups, F.lit(1), n), " "))
+    account = F.when(due.isNull(), ends).otherwise(F.concat(F.filter(ends, lambda o: size(o) == due), F.array(m)))
+    return F.when(m.rlike(r"^[A-Z]{2}\d{2}.* "), account).otherwise(F.array(m))
+
+
+def scanned(text: Column) -> Column:
+    """The pieces of a text in order: values with their kind, others, and those that are to be scanned again."""
+    gaps = F.split(text, ANY, -1)
+    piece = lambda text, kind, open: F.struct(text.alias("text"), kind.cast("string").alias("kind"), open.alias("open"))
+
+    def cut(m: Column, gap: Column) -> Column:
+        """The value or first group of a match, and what follows up to the next match."""
+        read = F.transform(readings(m), lambda o: F.struct(o.alias("text"), kind_of(o).alias("kind")))
+        value = F.try_element_at(F.filter(read, lambda r: r["kind"].isNotNull()), F.lit(1))
+        first = F.when(m.rlike(r"^[A-Z]{2}\d"), F.substring(m, 1, 2)).otherwise(F.regexp_extract(m, "^[^ .-]*", 0))
+
+        def parts(value: Column) -> Column:
+            taken = F.coalesce(value["text"], first)
+            rest = F.substr(m, F.length(taken) + 1)
+            return F.array(piece(taken, value["kind"], F.lit(False)), piece(F.concat(rest, gap), F.lit(None), rest != ""))
+
+        return let(value, parts)
+
+    def all_pieces(gaps: Column) -> Column:
+        matches = F.regexp_extract_all(text, F.lit(ANY), F.lit(0))
+        cuts = F.flatten(F.transform(matches, lambda m, i: cut(m, F.element_at(gaps, i + 2))))
+        return F.concat(F.array(piece(F.element_at(gaps, 1), F.lit(None), F.lit(False))), cuts)
+
+    return let(gaps, all_pieces).cast(PIECES)
+
+
+def pieces(text: Column) -> Column:
+    """The pieces of a text with nothing left to scan."""
+    again = lambda p: F.when(p["open"], scanned(p["text"])).otherwise(F.array(p).cast(PIECES))
+    one_scan = lambda ps, _: F.when(F.exists(ps, lambda p: p["open"]), F.flatten(F.transform(ps, again))).otherwise(ps)
+    whole = F.array(F.struct(text.alias("text"), F.lit(None).alias("kind"), F.lit(True).alias("open"))).cast(PIECES)
+    return F.aggregate(F.sequence(F.lit(1), F.lit(SCANS)), whole, one_scan)
 
-    def made(kind: Column) -> Column:
-        permuted = lambda v: let(feistel(v["digits"], v["radices"], v["tweak"], key), lambda d: decode(m, kind, v, d))
-        return let(encode(m, kind), permuted)
 
-    return let(kind_of(m), lambda k: F.struct(k.alias("kind"), F.when(k.isNull(), m).otherwise(made(k)).alias("text")))
+def pseudonym(m: Column, kind: Column, key: str) -> Column:
+    """The new text of a value."""
+    permuted = lambda v: let(feistel(v["digits"], v["radices"], v["tweak"], key), lambda d: decode(m, kind, v, d))
+    return let(encode(m, kind), permuted)
 
 
 def pseudonymise(docs: DataFrame, text: str = "text", key: str = "change-me") -> DataFrame:
     """``docs`` with ``text`` rewritten and ``pii_kinds``, the kinds of its values in order."""
     source = F.col("_row").getField(text)
-    found = F.transform(F.regexp_extract_all(source, F.lit(ANY), F.lit(0)), lambda m: pseudonym(m, key))
     hit = source.rlike(SIGN) & source.rlike(ANY)
-    done = nested(docs).withColumn("found", F.when(hit, found))
-    done = done.withColumn("gaps", F.when(F.col("found").isNotNull(), F.split(source, ANY, -1)))
-    texts = F.transform("gaps", lambda g, i: F.concat(g, F.coalesce(F.try_element_at("found", i + 1)["text"], F.lit(""))))
-    kinds = F.filter(F.transform("found", lambda f: f["kind"]), lambda k: k.isNotNull())
+    done = nested(docs).withColumn("found", F.when(hit, pieces(source)))
+    texts = F.transform("found", lambda p: F.when(p["kind"].isNull(), p["text"]).otherwise(pseudonym(p["text"], p["kind"], key)))
+    kinds = F.filter(F.transform("found", lambda p: p["kind"]), lambda k: k.isNotNull())
     rewritten = F.when(F.col("found").isNotNull(), F.array_join(texts, "")).otherwise(source)
     return unnested(done, docs.columns, **{text: rewritten, "pii_kinds": F.coalesce(kinds, F.array().cast("array<string>"))})

@@ -136,6 +136,29 @@ def test_pseudonyms_keep_format_validity_and_links(spark):
     assert pii.pseudonymise(df.limit(0)).collect() == []
 
 
+def test_pseudonyms_of_values_beside_and_inside_invalid_matches(spark):
+    cases = [  # text, what must not stay, what must stay, kinds
+        ("BE68 5390 0754 7034 EUR", "5390 0754 7034", " EUR", ["iban"]),
+        ("AT611904300234573201 BIC", "1904300234573201", " BIC", ["iban"]),
+        ("ES9121000418450200051332 2024", "21000418450200051332", " 2024", ["iban"]),
+        ("ES9121000418450200051332 2024-02-29", "2024-02-29", "", ["iban", "date"]),
+        ("BE68 5390 0754 7034 BE68 5390 0754 7034", "5390 0754 7034", " BE", ["iban", "iban"]),
+        ("ID12 4111 1111 1111 1111", "4111 1111 1111 1111", "ID12 ", ["card"]),
+        ("ID4111111111111111.", "4111111111111111", "ID", ["card"]),
+        ("AB12 DE89 3704 0044 0532 0130 00", "3704 0044 0532 0130 00", "AB12 DE", ["iban"]),
+        ("AB12 3456 7890@example.com", "7890@", "AB12 3456 ", ["email"]),
+        ("1234 4111 1111 1111 1111", "4111 1111 1111 1111", "1234 ", ["card"]),
+        ("QQ12 3456 7890 1234 5678 9012 3456 7890", "\0", "QQ12 3456 7890 1234 5678 9012 3456 7890", []),
+    ]
+    docs = spark.createDataFrame([(i, f"pay {c[0]} now") for i, c in enumerate(cases)], "doc_id long, text string")
+    out = {r.doc_id: r for r in pii.pseudonymise(docs, key="k").collect()}
+    for i, (text, gone, stays, kinds) in enumerate(cases):
+        r = out[i]
+        assert (r.pii_kinds, gone in r.text, stays in r.text, len(r.text)) == (kinds, False, True, len(text) + 8), (text, r)
+    a, b = re.findall(r"BE\d\d \d{4} \d{4} \d{4}", out[4].text)
+    assert a == b and a in out[0].text
+
+
 def scan(spark, rows, **more):
     df = spark.createDataFrame(rows, "path long, text string, blob string, spans int")
     paths, found, ledger = secrets.scan(df, "path", "text", **more)

@@ -257,6 +257,21 @@ def test_decontamination_gives_the_best_of_all_windows():
     assert len(want) > 100 and list(found.itertuples(index=False, name=None)) == want
 
 
+def test_decontamination_tries_every_item_of_a_large_class():
+    rng = random.Random(4)
+    names = [f"n{i}" for i in range(40)]
+    items = [(i, " ".join(["which", "of", "these", "is"] + [rng.choice(names) for _ in range(26)])) for i in range(1500)]
+    k = decontaminate.edits_allowed(30)
+    rows = []
+    for i, text in items[::7]:
+        x = text.split()
+        at = sorted(rng.sample(range(30), k))  # spread, so that few words in a row are intact
+        rows.append((i, "before " + " ".join("zzz" if p in at else w for p, w in enumerate(x)) + " behind"))
+    found = next(decontaminate.scan(iter([pd.DataFrame(rows, columns=["doc_id", "text"])]), decontaminate.Benchmark(items)))
+    own = {(r.doc_id, r.item_id): r.edits for r in found.itertuples()}
+    assert all(own.get((i, i), k + 1) <= k for i, _ in rows)
+
+
 # --- language model
 
 

@@ -7,11 +7,12 @@ frame. ``queries(plate_id, t)`` asks for the plate at a time.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .asof import PART_ROWS, carried, cut_by_counts
+
 BASE = -1  # kf_seq of the base points, read as a frame at time 0
-TIME_CHUNKS = float(1 << 20)
 
 
 def extreme_frames(keyframes: DataFrame, queries: DataFrame) -> DataFrame:
@@ -35,48 +36,25 @@ def extreme_frames(keyframes: DataFrame, queries: DataFrame) -> DataFrame:
     )
 
 
-def bracket_frames(keyframes: DataFrame, queries: DataFrame) -> DataFrame:
+def bracket_frames(keyframes: DataFrame, queries: DataFrame, part_rows: int = PART_ROWS) -> DataFrame:
     """Lower = latest frame <= t, upper = earliest frame >= t: the neighbours in time.
 
-    Frames and queries of a plate are merged in short stretches of time, one
-    window each; what lies before or after a stretch comes from one row per
-    stretch. So neither a plate nor its timeline is sorted in one task.
+    Frames and queries of a plate are merged in parts of about ``part_rows`` rows, whatever
+    unit the times have and however close they lie.
     """
     frames = keyframes.groupBy("plate_id", "time").agg(F.max("kf_seq").alias("seq"))
-    missing = F.lit(None)
+    asked = queries.select("plate_id", "t").distinct()
     rows = frames.select(
-        "plate_id", F.col("time").alias("t"), F.lit(0).alias("kind"),
-        F.struct(F.col("time").alias("time"), F.col("seq").alias("seq")).alias("f"),
-    ).unionByName(
-        queries.select("plate_id", "t").distinct().select(
-            "plate_id", "t", F.lit(1).alias("kind"),
-            missing.cast("struct<time:double,seq:bigint>").alias("f"),
-        )
-    ).withColumn("chunk", F.floor(F.col("t") * TIME_CHUNKS))
-    summary = rows.groupBy("plate_id", "chunk").agg(F.max("f").alias("last"), F.min("f").alias("first"))
-    # Every frame runs from the start of its order: one that runs to the end would be
-    # recomputed per row, so "what follows" is "what comes before" in falling order.
-    sofar = lambda w, to: w.rowsBetween(Window.unboundedPreceding, to)
-    plate = Window.partitionBy("plate_id")
-    carried = summary.select(
-        "plate_id", "chunk",
-        F.last("last", True).over(sofar(plate.orderBy("chunk"), -1)).alias("before"),
-        F.last("first", True).over(sofar(plate.orderBy(F.col("chunk").desc()), -1)).alias("after"),
-    )
-    inside = Window.partitionBy("plate_id", "chunk")
-    back = sofar(inside.orderBy("t", "kind"), 0)
-    ahead = sofar(inside.orderBy(F.col("t").desc(), "kind"), 0)
-    found = (
-        rows.withColumn("lower", F.last("f", True).over(back))
-        .withColumn("upper", F.last("f", True).over(ahead))
-        .where("kind = 1")
-        .join(carried, ["plate_id", "chunk"])
-    )
-    lower, upper = F.coalesce("lower", "before"), F.coalesce("upper", "after")
+        "plate_id", F.col("time").alias("t"), F.struct(F.col("time").alias("time"), F.col("seq").alias("seq")).alias("f")
+    ).unionByName(asked.withColumn("f", F.lit(None).cast("struct<time:double,seq:bigint>")))
+    # A frame and a query of one time are one row.
+    rows = rows.groupBy("plate_id", "t").agg(F.max("f").alias("f"), F.bool_or(F.col("f").isNull()).alias("asked"))
+    cut = cut_by_counts(rows, ["plate_id"], ["t"], part_rows)
+    lower = carried(cut, ["plate_id"], ["t"], {"lo": "f"})
+    answered = carried(lower, ["plate_id"], ["t"], {"up": "f"}, ahead=True).where("asked")
     # A query time may be asked more than once; its answer is the same.
-    answered = found.select("plate_id", "t", lower.alias("lo"), upper.alias("up"))
     return _with_fallbacks(
-        queries.join(answered, ["plate_id", "t"]),
+        queries.join(answered.select("plate_id", "t", "lo", "up"), ["plate_id", "t"]),
         F.col("lo.seq"), F.col("lo.time"), F.col("up.seq"), F.col("up.time"),
     )
 

@@ -4,9 +4,11 @@ from pyspark.sql import functions as F
 
 from ..operators import edits as E
 from ..operators import keyframes as K
+from ..operators import replay as RP
 from ..session import scratch_path
 from ..sources.bindings import utc_day, utc_instant
 from ..streaming import keyframes as ST
+from ..streaming import replay as SR
 from .registry import query, r, rounded, rs
 from .views import interpolated
 
@@ -204,6 +206,87 @@ def _(t):
     return _state(E.set_coordinate(t.base, t.keyframes, on_base.unionByName(on_frames)))
 
 
+def first_state(t):
+    """Two points and one frame of each plate, from its first event."""
+    first = t.edits.groupBy("plate_id").agg(F.min("seq").alias("kf_seq"))
+    return t.base, t.keyframes.join(first, ["plate_id", "kf_seq"])
+
+
+def edit_log(t, events=None):
+    """Every event as an edit of the log; a plate's first event, which made its first state, too.
+
+    Frames named are the first one and the plate's first added one, which may not be there yet, or no more.
+    """
+    added = F.min(F.when(F.col("op") == "purchase", F.col("seq")))
+    first = t.edits.groupBy("plate_id").agg(F.min("seq").alias("first"), added.alias("added"))
+    k, op = F.col("k"), F.col("op")
+    number = lambda when, value: F.when(when, value)
+    error, drop = op == "error", (op == "error") & (k % 5 == 0)
+    kind = F.when(op == "signup", "append").when(drop, "drop").when(error, "delete").when(op == "click", "move")
+    kind = kind.when(op == "purchase", "add").otherwise("retime")
+    made = F.col("first") + 1 + F.col("added")
+    frame = F.when(k % 4 == 1, F.col("first")).when((k % 2 == 1) | (op == "view") | drop, made)
+    return (t.edits if events is None else events).join(first, "plate_id").select(
+        "plate_id", "seq", kind.alias("op"), frame.alias("kf_seq"),
+        number(error | (op == "click"), k % 7).alias("point_idx"),
+        number(op.isin("purchase", "view"), k / 100.0).alias("time"),
+        number(op.isin("signup", "click") & (k % 3 != 1), F.col("u")).alias("u"),
+        number(op.isin("signup", "click") & ((k % 3 != 2) | (op == "signup")), F.col("v")).alias("v"),
+    ).withColumn("u", F.when(F.col("op") == "append", F.coalesce("u", F.lit(0.5))).otherwise(F.col("u")))
+
+
+_LOG_SQL = """(
+  SELECT *, row_number() OVER (PARTITION BY plate_id ORDER BY seq) AS n FROM (
+    SELECT plate_id, seq, time, k,
+           CASE op WHEN 'signup' THEN 'append' WHEN 'error' THEN CASE WHEN k % 5 = 0 THEN 'drop' ELSE 'delete' END
+                   WHEN 'click' THEN 'move' WHEN 'purchase' THEN 'add' ELSE 'retime' END AS kind,
+           CASE WHEN k % 4 = 1 THEN first WHEN k % 2 = 1 OR op = 'view' OR (op = 'error' AND k % 5 = 0) THEN first + 1 + added END AS frame,
+           first + 1 + seq AS fresh, k % 7 AS idx, k / 100e0 AS at,
+           CASE WHEN k % 3 <> 1 THEN u WHEN op = 'signup' THEN 0.5e0 END AS u, CASE WHEN k % 3 <> 2 OR op = 'signup' THEN v END AS v
+    FROM f_edits JOIN (SELECT plate_id, min(seq) AS first, min(seq) FILTER (WHERE op = 'purchase') AS added FROM f_edits GROUP BY plate_id) USING (plate_id)))"""
+# A plain loop: one edit of every plate per step, on whole lists.
+_PUT = "list_transform({0}, lambda p, i: CASE WHEN i = e.idx + 1 THEN {{'u': coalesce(e.u, p.u), 'v': coalesce(e.v, p.v)}} ELSE p END)"
+_CUT = "({0}[1:e.idx] || {0}[e.idx + 2:])"
+_EDIT_REPLAY_SQL = f"""
+  WITH RECURSIVE logged AS {_LOG_SQL},
+  state AS (
+    SELECT b.plate_id, 0::BIGINT AS n, b.pts, [{{'kf': k.kf_seq, 'time': k.time, 'pts': b.pts}}] AS frames
+    FROM (SELECT plate_id, list({{'u': u, 'v': v}} ORDER BY point_idx) AS pts FROM f_base GROUP BY plate_id) b
+    JOIN (SELECT plate_id, min(kf_seq) AS kf_seq, arg_min(time, kf_seq) AS time FROM f_kf GROUP BY plate_id) k USING (plate_id)
+    UNION ALL
+    SELECT s.plate_id, s.n + 1,
+      CASE WHEN e.kind = 'append' THEN list_append(s.pts, {{'u': e.u, 'v': e.v}}) WHEN e.kind = 'delete' THEN {_CUT.format('s.pts')}
+           WHEN e.kind = 'move' AND e.frame IS NULL THEN {_PUT.format('s.pts')} ELSE s.pts END,
+      CASE WHEN e.kind = 'append' THEN list_transform(s.frames, lambda f: {{'kf': f.kf, 'time': f.time, 'pts': list_append(f.pts, {{'u': e.u, 'v': e.v}})}})
+           WHEN e.kind = 'delete' THEN list_transform(s.frames, lambda f: {{'kf': f.kf, 'time': f.time, 'pts': {_CUT.format('f.pts')}}})
+           WHEN e.kind = 'move' THEN list_transform(s.frames, lambda f: CASE WHEN f.kf = e.frame
+             THEN {{'kf': f.kf, 'time': f.time, 'pts': {_PUT.format('f.pts')}}} ELSE f END)
+           WHEN e.kind = 'add' THEN list_append(s.frames, {{'kf': e.fresh, 'time': e.at, 'pts': s.pts}})
+           WHEN e.kind = 'retime' THEN list_transform(s.frames, lambda f: CASE WHEN f.kf = e.frame THEN {{'kf': f.kf, 'time': e.at, 'pts': f.pts}} ELSE f END)
+           WHEN e.kind = 'drop' THEN list_filter(s.frames, lambda f: f.kf IS DISTINCT FROM e.frame) END
+    FROM state s JOIN logged e ON e.plate_id = s.plate_id AND e.n = s.n + 1),
+  done AS (SELECT * FROM state QUALIFY row_number() OVER (PARTITION BY plate_id ORDER BY n DESC) = 1),
+  lists AS (SELECT plate_id, unnest(list_append(frames, {{'kf': -1, 'time': 0e0, 'pts': pts}})) AS f FROM done),
+  rows AS (SELECT plate_id, f.kf AS kf_seq, f.time AS time, unnest(f.pts) AS p, unnest(range(0, len(f.pts))) AS i FROM lists)
+  SELECT plate_id, kf_seq, {r('time', 'time', 9)}, i::INT AS point_idx, {r('p.u', 'u')}, {r('p.v', 'v')} FROM rows"""
+
+
+@query("edit_replay", _EDIT_REPLAY_SQL)
+def _(t):
+    return _state(RP.replay(*first_state(t), edit_log(t)))
+
+
+@query("stream_replay", _EDIT_REPLAY_SQL)
+def _(t):
+    # As they arrive: one file, and batch, per stretch of time, in no order.
+    log = edit_log(t).join(t.edits.select("seq", "ts"), "seq")
+    arrived, out = scratch_path(t.spark, "log"), scratch_path(t.spark, "states")
+    log.repartitionByRange(4, "ts").write.parquet(arrived)
+    stream = t.spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(arrived)
+    SR.run_replay_stream(stream, *first_state(t), out, scratch_path(t.spark, "replay"))
+    return _state(SR.read_state(t.spark, out))
+
+
 @query("stream_keyframes", f"""
   SELECT plate_id, strftime(date_trunc('day', ts), '%Y-%m-%d') AS frame_start, max(seq) AS seq,
          {r('arg_max(u, seq)', 'u')}, {r('arg_max(v, seq)', 'v')}, count(*) AS n_edits

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from platefield.operators import edits as E
 from platefield.operators import keyframes as K
+from platefield.operators.asof import cut_by_counts
 from platefield.streaming import keyframes as ST
 
 BASE = "plate_id bigint, point_idx int, u double, v double"
@@ -191,3 +192,33 @@ def test_stream_reads_a_file_and_a_folder_of_parts(spark, tmp_path):
         ST.run_keyframe_stream(stream, str(tmp_path / f"out-{name}"), str(tmp_path / f"cp-{name}"))
         assert ST.read_keyframes(spark, str(tmp_path / f"out-{name}")).agg(F.sum("n_edits")).first()[0] == 100
 
+
+
+@pytest.mark.parametrize("unit,parts", [(1.0, 50), (3600.0, 50), (1e12, 64), (2.0**-40, 50), (1.0, 1 << 18)])
+def test_bracket_in_any_unit_of_time(spark, unit, parts):
+    rng = random.Random(6)
+    frames = [(p, s, rng.randrange(300) * unit - 20 * unit) for p in (1, 1, 2) for s in range(200)]
+    frames = sorted({(p, s): t for p, s, t in frames}.items())
+    frames = [(p, s, t) for (p, s), t in frames]
+    asked = [(p, rng.randrange(-40, 620) * unit / 2) for p in (1, 2, 3) for _ in range(150)]
+    got = K.bracket_frames(
+        spark.createDataFrame(frames, "plate_id long, kf_seq long, time double"), spark.createDataFrame(asked, "plate_id long, t double"), parts
+    ).collect()
+    assert len(got) == len(asked)
+    for r in got:
+        own = [(t, s) for p, s, t in frames if p == r.plate_id]
+        lower = max((f for f in own if f[0] <= r.t), default=(0.0, -1))
+        after = min((t for t, _ in own if t >= r.t), default=None)
+        upper = lower if after is None else max(f for f in own if f[0] == after)
+        assert (r.lower_time, r.lower_seq, r.upper_time, r.upper_seq) == (*lower, *upper)
+
+
+def test_parts_of_a_hot_plate_are_bounded(spark):
+    """A million frames within a millionth of the time, all of one plate but a few."""
+    crowd = spark.range(1_000_000).select(
+        F.lit(1).cast("long").alias("plate_id"), (F.col("id") / 2.0**41).alias("t"), F.col("id").alias("f")
+    )
+    rows = crowd.unionByName(spark.range(50).select(F.col("id").alias("plate_id"), F.lit(5e9).alias("t"), F.col("id").alias("f")))
+    cut = cut_by_counts(rows, ["plate_id"], ["t"], 50_000)
+    sizes = [r["count"] for r in cut.groupBy("_part").count().collect()]
+    assert sum(sizes) == 1_000_050 and max(sizes) < 3 * 50_000 and len(sizes) > 10

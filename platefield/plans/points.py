@@ -8,6 +8,7 @@ from ..functions import sphere as S
 from ..operators import generate as G
 from ..operators import raster as R
 from ..session import cut_lineage, scratch_path
+from ..sources import images as I
 from ..sources import plates as P
 from ..sources.bindings import RASTER_HEIGHT as H
 from ..sources.bindings import RASTER_WIDTH as W
@@ -243,6 +244,22 @@ def _(t):
     return R.resize_nearest(t.raster, W, H, 120, 150)
 
 
+@query("scan_raster_files", f"""
+  SELECT raster_id, x::INT AS px, y::INT AS py, r, g, b, 255::SMALLINT AS a FROM (
+    SELECT *, {_run('py', H, 150, 'y')} FROM (
+      SELECT *, {_run('px', W, 120, 'x')} FROM (
+        SELECT raster_id, px, py, coalesce(r, 0)::SMALLINT AS r, coalesce(g, 0)::SMALLINT AS g, coalesce(b, 0)::SMALLINT AS b
+        FROM (SELECT * FROM (SELECT DISTINCT raster_id FROM f_raster), (SELECT unnest(range({W})) AS px), (SELECT unnest(range({H})) AS py))
+        LEFT JOIN f_raster USING (raster_id, px, py))))""")
+def _(t):
+    # The raster as an image file that the executors wrote.
+    path = scratch_path(t.spark, "images")
+    I.write_bitmaps(t.raster, path, W, H)
+    found = I.scan_raster(t.spark, path, 120, 150)
+    named = F.regexp_extract("origin", "raster_id=([0-9]+)", 1).cast("int")
+    return found.select(named.alias("raster_id"), "px", "py", "r", "g", "b", "a")
+
+
 _CX = f"greatest(0, least({W - 1}, px))::INT"
 _CY = f"greatest(0, least({H - 1}, py))::INT"
 
@@ -493,6 +510,28 @@ def _(t):
     return _document_rows(cut_lineage(stored))
 
 
+@query("scan_plates_whole", f"""
+  SELECT plate_id, -1 AS kf_seq, 0e0 AS time, CASE WHEN plate_id % 5 = 0 THEN 0 ELSE 2 END::BIGINT AS n FROM (SELECT DISTINCT plate_id FROM f_base)
+  UNION ALL
+  SELECT plate_id, dense_rank() OVER (PARTITION BY plate_id ORDER BY kf_seq) - 1, {r('time', 'time', 9)}, CASE WHEN kf_seq % 4 = 0 THEN 0 ELSE 2 END
+  FROM (SELECT DISTINCT plate_id, kf_seq, time FROM f_kf)
+  UNION ALL SELECT plate_id, -2, 0e0, 2 FROM (SELECT DISTINCT plate_id FROM f_base) WHERE plate_id % 3 = 0""")
+def _(t):
+    # Plates and frames without points, and documents that broke off or hold something else.
+    plates, frames = t.base.select("plate_id").distinct(), t.keyframes.select("plate_id", "kf_seq", "time").distinct()
+    docs = P.plates_to_json(t.base.where("plate_id % 5 <> 0"), t.keyframes.where("kf_seq % 4 <> 0"), plates=plates, frames=frames)
+    broken = plates.where("plate_id % 3 = 0").select("plate_id", F.explode(F.array(F.lit('[{"points": ['), F.lit('[{"points": "none"}]'))).alias("doc"))
+    read = P.scan_documents(cut_lineage(docs.select("plate_id", "doc").unionByName(broken).withColumnRenamed("plate_id", "doc_id")))
+    count = F.count("point_idx").alias("n")
+    base = read.plates.join(read.base, ["doc_id", "plate_id"], "left").groupBy("plate_id").agg(count).select(
+        "plate_id", F.lit(-1).cast("long").alias("kf_seq"), F.lit(0.0).alias("time"), "n")
+    points = read.keyframes.select("doc_id", "plate_id", "kf_seq", "point_idx")
+    on_frames = read.frames.join(points, ["doc_id", "plate_id", "kf_seq"], "left").groupBy("plate_id", "kf_seq", "time").agg(count)
+    bad = read.broken.groupBy(F.col("doc_id").alias("plate_id")).agg(F.count(F.lit(1)).alias("n")).select(
+        "plate_id", F.lit(-2).cast("long").alias("kf_seq"), F.lit(0.0).alias("time"), "n")
+    return rounded(base.unionByName(on_frames).unionByName(bad), "time", digits=9)
+
+
 @query("sink_plates_json", _DOC_ROWS)
 def _(t):
     path = scratch_path(t.spark, "plates")

@@ -43,6 +43,46 @@ def test_slices_round_trip(spark, tmp_path):
     assert plates.snapshot_backup(spark, path, backups, stamp).count() == 1 and spark.read.parquet(backups).count() == 3
 
 
+def test_nothing_of_a_document_is_lost(spark):
+    docs = [
+        (0, json.dumps([{"points": []}, {"plate_id": 9, "points": None, "timeline": [{"time": 0.5, "points": []}, {"time": 0.7, "points": [{"x": 1, "y": 2}]}]}])),
+        (1, ""), (2, None), (3, "[]"), (4, "{}"), (5, '[{"points": 5}]'), (6, '[{"points": [{"x": 1, "y": 2}]'), (7, '[], "x": []'), (8, "[{}]"),
+    ]
+    read = plates.scan_documents(spark.createDataFrame(docs, "doc_id int, doc string"))
+    assert sorted(map(tuple, read.plates.collect())) == [(0, 0), (0, 9), (8, 0)]
+    assert sorted(map(tuple, read.frames.collect())) == [(0, 9, 0, 0.5), (0, 9, 1, 0.7)]
+    assert read.base.collect() == [] and [tuple(r) for r in read.keyframes.collect()] == [(0, 9, 1, 0.7, 0, 1.0, 2.0)]
+    assert sorted(r.doc_id for r in read.broken.collect()) == [1, 4, 5, 6, 7]
+
+
+def test_documents_of_bounded_bytes_with_uneven_frames(spark):
+    """Frames of other lengths than their neighbours, empty ones and empty plates come back from small slices."""
+    rows = [(p, f, f / 7, i, 1 / (i + 3), -1e-200 / 3) for p in (1, 2) for f in range(40) for i in range([0, 1, 30, 7][f % 4] * p)]
+    frames = spark.createDataFrame(rows, "plate_id long, kf_seq long, time double, point_idx int, u double, v double")
+    base = spark.createDataFrame([(1, i, 0.5, 0.25) for i in range(50)], "plate_id long, point_idx int, u double, v double")
+    every = [(p, f, f / 7) for p in (1, 2, 5) for f in range(40)]
+    named = spark.createDataFrame(every, "plate_id long, kf_seq long, time double")
+    docs = plates.plates_to_json(
+        base, frames, slice_points=16, slice_frames=64, slice_size=64, plates=spark.createDataFrame([(1,), (7,)], "plate_id long"), frames=named
+    )
+    assert docs.agg(F.max(F.octet_length("doc"))).first()[0] < 64 * (64 + 2 * 16) + 96 * 64
+    read = plates.scan_documents(docs.select(F.lit(0).alias("doc_id"), "doc"))
+    assert sorted(r.plate_id for r in read.plates.collect()) == [1, 2, 5, 7]
+    assert sorted(tuple(r)[1:] for r in read.frames.collect()) == every
+    assert sorted(tuple(r)[1:] for r in read.keyframes.collect()) == sorted(rows) and read.base.count() == 50
+    assert read.broken.count() == 0
+
+
+def test_bitmaps_written_by_spark(spark, tmp_path):
+    rows = [(k, x, y, (x * 7 + y) % 256, 255 - x, y, 255) for k in (3, 8) for x in range(13) for y in range(5) if (x + y) % 4 or k == 3]
+    raster = spark.createDataFrame(rows, "raster_id int, px int, py int, r int, g int, b int, a int")
+    images.write_bitmaps(raster, str(tmp_path / "images"), 13, 5)
+    found = images.scan_raster(spark, str(tmp_path / "images"), 13, 5).collect()
+    got = {(int(r.origin.split("raster_id=")[1].split("/")[0]), r.px, r.py): (r.r, r.g, r.b, r.a) for r in found}
+    own = {(k, x, y): (r, g, b, a) for k, x, y, r, g, b, a in rows}
+    assert got == {(k, x, y): own.get((k, x, y), (0, 0, 0, 255)) for k in (3, 8) for x in range(13) for y in range(5)}
+
+
 def test_buffers(spark):
     rows = spark.range(10).select(F.lit(1).alias("mesh_id"), F.col("id").alias("seq"), (F.col("id") / 3).alias("u"), (F.col("id") / 7).alias("v"))
     flat = plates.geometry_flatten(rows, ["mesh_id"], "seq", ["u", "v"], part_size=4)

@@ -1,15 +1,22 @@
-"""Benchmark decontamination by intact pieces and exact edit distance over words.
+"""Benchmark decontamination: CGK walks and bit-sampling LSH over words, verified by exact edit distance.
 
 A document is contaminated by an item if one of its windows, which are as long as the
 item give or take the allowed edits, is within ``1 - similarity`` times the item's words
 of it in edit distance. Words are compared in lower case and without punctuation.
 
-No pair is lost, wherever its edits lie: an item of n words with k edits allowed, cut into
-k + 1 pieces, has a piece without an edit, and the window starts within k words of where
-that piece puts it. So each run of words that is a piece of some item names the item and
-a stretch of n + 2k words, and every such stretch is judged, first by how many of its words
-the item has at all (n - k at least), then by exact edit distance. Earlier versions sampled
-CGK walks between the two; walks agree by chance only, so they are gone.
+1. A CGK walk reads a word per step and goes on to the next one if a random bit of word and step says so. Walks
+   of an item and of an edited copy that share their bits fall out of step at an edit and soon into step again, so
+   the edit distance becomes a Hamming distance of the words read.
+2. Bit sampling: a repetition compares ``SAMPLES`` steps spread over the whole walk, forward from a window's start or
+   backward from its end; windows and items that agree there share a bucket. All windows walk that can hold a match:
+   those around a run of words that is a piece of some item (see 5) in a stretch with enough of its words.
+3. Per class of lengths, repetitions are added until copies with the most edits allowed, at the head, in the middle, at
+   the tail or spread, are met with a share of ``RECALL`` (tried on ``TRIED`` items of the class), up to ``MOST_REPEATS``.
+4. Every pair that meets is judged exactly, first by how many of its words the item has at all
+   (n - k at least), then by edit distance.
+5. What sampling misses is found by an exact backstop: an item of n words with k edits allowed, cut into k + 1 pieces,
+   has a piece without an edit, and the window starts within k words of where that piece puts it. Each run of words that is a
+   piece names item and stretch, which are judged alike. So no pair is lost, wherever its edits lie.
 
 The benchmark is broadcast in blocks of bounded size; each block is one pass over the
 documents, without a shuffle. Each document is handled whole, by itself.
@@ -40,6 +47,10 @@ SEEDS, CELLS = 1 << 20, 1 << 22
 #: Characters that a word may have around it and that don't count.
 PUNCTUATION = string.punctuation + "«»‹›„“”‘’‚…–—¡¿·•"
 LOST = 0  # words that no item has
+#: Steps compared by a repetition, the share of edited copies to be met, repetitions at most, and items tried per class.
+SAMPLES, RECALL, MOST_REPEATS, TRIED = 3, 0.95, 64, 64
+#: Items of one class have lengths within this ratio. Windows that walk at once.
+CLASS, WALKERS = 1.25, 1 << 16
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -73,6 +84,82 @@ class Words(dict):
         return found
 
 
+def walk(words: np.ndarray, at: np.ndarray, low: np.ndarray, high: np.ndarray, steps: np.ndarray, seed: int, forward: bool) -> np.ndarray:
+    """A key per walk: the words that walks from ``at`` read at ``steps``; outside ``low`` to ``high`` they read nothing."""
+    at = at.copy()
+    key = np.full(len(at), seed, np.uint64)
+    numbers = scramble(np.arange(1, steps[-1] + 2, dtype=np.uint64) * MIX + np.full(1, seed, np.uint64) * np.uint64(0xD6E8FEB86659FD93)) | np.uint64(1)
+    turn = 1 if forward else -1
+    for step in range(steps[-1] + 1):
+        word = np.where((at >= low) & (at < high), words[np.clip(at, 0, len(words) - 1)], -2).astype(np.uint64)
+        if step in steps:
+            key = (key + word) * MIX
+        # Multiplicative hashing: the bit is shared by all walks that read the word at this step.
+        at += turn * (((word + np.uint64(3)) * MIX * numbers[step]) >> np.uint64(63)).astype(np.int64)
+    return scramble(key)
+
+
+def edited(item: np.ndarray, edits: int, place: str, rng: np.random.Generator) -> np.ndarray:
+    """A copy of ``item`` with as many words replaced, left out or put in; -3 stands for strange words."""
+    n = len(item)
+    start = {"head": 0, "middle": max(0, (n - edits) // 2), "tail": max(0, n - edits)}.get(place)
+    chosen = set((rng.choice(n, edits, replace=False) if start is None else range(start, min(n, start + edits)))) if edits else set()
+    out: list[int] = []
+    for i, word in enumerate(item.tolist()):
+        kind = rng.integers(3) if i in chosen else -1
+        out += [word] if kind < 0 else [-3] if kind == 0 else [] if kind == 1 else [-3, word]
+    return np.array(out, np.int64)
+
+
+class Buckets:
+    """The items of one class of lengths, by the keys of their walks."""
+
+    def __init__(self, bench: Benchmark, numbers: list[int]):
+        self.numbers = np.array(numbers)
+        items = [bench.items[i] for i in numbers]
+        self.sizes = np.array([len(x) for x in items])
+        allowed = [edits_allowed(len(x), bench.similarity) for x in items]
+        self.reach = max(allowed)
+        rng = np.random.default_rng(len(items[0]) * 1_000_003 + len(items))
+        tried = [(j, edited(items[j], allowed[j], p, rng)) for j in range(0, len(items), -(-len(items) // TRIED)) for p in ("head", "middle", "tail", "spread", "spread")]
+        whole, low, high = self._joined(items)
+        copies, begin, end = self._joined([x for _, x in tried])
+        wanted = np.array([j for j, _ in tried])
+        met = np.zeros(len(tried), bool)
+        self.repeats: list[tuple[bool, np.ndarray, int, np.ndarray, np.ndarray]] = []
+        while len(self.repeats) < MOST_REPEATS and (met.mean() < RECALL or not self.repeats):
+            r = len(self.repeats)
+            forward, seed = r % 2 == 0, r + 1
+            # A walk takes two steps a word; all of it may be compared.
+            steps = np.sort(rng.choice(2 * self.sizes.min(), min(SAMPLES, 2 * self.sizes.min()), replace=False))
+            keys = walk(whole, low if forward else high - 1, low, high, steps, seed, forward)
+            order = np.argsort(keys, kind="stable")
+            self.repeats.append((forward, steps, seed, keys[order], order))
+            own = walk(copies, begin if forward else end - 1, begin, end, steps, seed, forward)
+            met |= own == keys[wanted]
+        self.recall = float(met.mean())
+
+    @staticmethod
+    def _joined(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        end = np.cumsum([len(x) for x in texts])
+        return np.concatenate(texts), end - [len(x) for x in texts], end
+
+    def meetings(
+        self, repeat: int, words: np.ndarray, begin: np.ndarray, end: np.ndarray, starts: np.ndarray
+    ) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(items, texts, places where the item would begin) of the windows from, or backward to, ``starts`` that share a bucket with an item."""
+        forward, steps, seed, keys, order = self.repeats[repeat]
+        text = np.searchsorted(end, starts, "right")
+        for i in range(0, len(starts), WALKERS):
+            some, of = starts[i : i + WALKERS], text[i : i + WALKERS]
+            own = walk(words, some, begin[of], end[of], steps, seed, forward)
+            low, high = np.searchsorted(keys, own, "left"), np.searchsorted(keys, own, "right")
+            n = high - low
+            row = order[np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())]
+            place = np.repeat(some, n) if forward else np.repeat(some, n) + 1 - self.sizes[row]
+            yield self.numbers[row], np.repeat(of, n), place
+
+
 class Benchmark:
     """One block of items, with the pieces to screen by and the items and places of each."""
 
@@ -97,6 +184,20 @@ class Benchmark:
         for q, rows in found.items():
             codes, items_of, offsets = zip(*sorted(rows))
             self.pieces[q] = np.array(codes, np.uint64), np.array(items_of, np.int64), np.array(offsets, np.int64)
+        self.classes: list[Buckets] = []
+        same: list[int] = []
+        for item in sorted(range(len(self.items)), key=lambda i: len(self.items[i])):
+            if same and len(self.items[item]) > CLASS * len(self.items[same[0]]):
+                self.classes.append(Buckets(self, same))
+                same = []
+            same.append(item)
+        if same:
+            self.classes.append(Buckets(self, same))
+        self.class_of = np.zeros(len(self.items), np.int64)
+        for number, own in enumerate(self.classes):
+            self.class_of[own.numbers] = number
+        #: Words within which places of an item count as one.
+        self.room = np.array([edits_allowed(len(x), similarity) + 1 for x in self.items], np.int64)
 
     def codes(self, words: np.ndarray, q: int) -> np.ndarray:
         """A number for each run of q words."""
@@ -146,25 +247,80 @@ class Benchmark:
                     _, items, offsets = self.pieces[q]
                     yield items[row], np.full(len(row), text), np.repeat(at[own], count) - offsets[row] + begin[text]
 
-    def matches(self, texts: list[np.ndarray]) -> list[tuple[int, int, int, int, int]]:
-        """(text, item, first word, words, edits) of the best window of each item in each text."""
+    def likely(self, seeds: tuple, words: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The different ones of ``seeds`` in whose stretch the item has enough words."""
+        items, texts, places = (x[np.unique(np.stack(seeds), axis=1, return_index=True)[1]] for x in seeds)
+        kept = np.zeros(len(items), bool)
+        own = np.zeros(len(self.known) + 1, bool)
+        for group in np.split(np.arange(len(items)), np.flatnonzero(np.diff(items)) + 1):
+            if not len(group):
+                continue
+            item = self.items[items[group[0]]]
+            k = edits_allowed(len(item), self.similarity)
+            own[item] = True
+            rows = max(1, CELLS // (len(item) + 2 * k))
+            for i in range(0, len(group), rows):
+                some = group[i : i + rows]
+                text = texts[some]
+                kept[some] = shared_words(own, len(item), words, places[some], begin[text], end[text], k) >= len(item) - k
+            own[item] = False
+        return items[kept], texts[kept], places[kept]
+
+    def met(self, seeds: tuple, words: np.ndarray, begin: np.ndarray, end: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """What walks of the windows around ``seeds`` meet; of places closer than an item's edits, whose stretches overlap, the first."""
+        for number, own in enumerate(self.classes):
+            items, texts, places = (x[self.class_of[seeds[0]] == number] for x in seeds)
+            for repeat, (forward, *_) in enumerate(own.repeats):
+                if not len(items):
+                    break
+                # Forward from where the item may begin, backward from where it may end.
+                at = places if forward else places + np.array([len(self.items[i]) - 1 for i in items])
+                around = at[:, None] + np.arange(-own.reach, own.reach + 1)
+                starts = np.unique(around[(around >= begin[texts, None]) & (around < end[texts, None])])
+                seen = []
+                for met, of, place in own.meetings(repeat, words, begin, end, starts):
+                    if len(met):
+                        _, first = np.unique(np.stack([met, of, place // self.room[met]]), axis=1, return_index=True)
+                        seen.append(met * len(begin) + of)
+                        yield met[first], of[first], place[first]
+                if seen:
+                    # What has met an item need not meet it again.
+                    left = ~np.isin(items * len(begin) + texts, np.concatenate(seen))
+                    items, texts, places = items[left], texts[left], places[left]
+
+    def matches(self, texts: list[np.ndarray], walks: bool = True, backstop: bool = True) -> list[tuple[int, int, int, int, int]]:
+        """(text, item, first word, words, edits) of the best window of each item in each text.
+
+        Without ``backstop`` those that walks meet, without ``walks`` those that pieces name.
+        """
         sizes = np.array([len(w) for w in texts], np.int64)
         end = np.cumsum(sizes)
         begin = end - sizes
         words = np.concatenate(texts) if texts else np.zeros(0, np.int64)
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
+
+        def settle(parts: list) -> None:
+            seeds = self.likely([np.concatenate(x) for x in zip(*parts)], words, begin, end)
+            if walks:
+                self.judge(list(self.met(seeds, words, begin, end)), words, begin, end, best)
+            if backstop:
+                self.judge([seeds], words, begin, end, best)
+
         parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        held = 0
         for seed in self.seeds(texts, begin):
             parts.append(seed)
-            if sum(len(items) for items, _, _ in parts) >= SEEDS:
-                self.judge(parts, words, begin, end, best)
-                parts = []
-        self.judge(parts, words, begin, end, best)
+            held += len(seed[0])
+            if held >= SEEDS:
+                settle(parts)
+                parts, held = [], 0
+        if parts:
+            settle(parts)
         return [(text, item, first, n, e) for (text, item), (e, first, n) in sorted(best.items())]
 
     def judge(self, parts: list, words: np.ndarray, begin: np.ndarray, end: np.ndarray, best: dict) -> None:
         """Take the best windows of the seeds in ``parts`` into ``best``."""
-        if not parts:
+        if not sum(len(x[0]) for x in parts):
             return
         items, texts, places = (np.concatenate(x) for x in zip(*parts))
         # Pieces of one stretch name it once.
@@ -182,8 +338,6 @@ class Benchmark:
                 some = group[i : i + rows]
                 text = texts[some]
                 at, first, last = places[some], begin[text], end[text]
-                enough = shared_words(own, len(item), words, at, first, last, k) >= len(item) - k
-                text, at, first, last = text[enough], at[enough], first[enough], last[enough]
                 start, edits = best_start(item, words, at, first, last, k)
                 text, start, last = text[edits <= k], start[edits <= k], last[edits <= k]
                 for t, s, e, n in zip(text, start, *edit_distance(item, words, start, last, k)):

@@ -41,6 +41,8 @@ SHARD, BAND = 1 << 16, 4096
 TURN_BITS, ID_BITS = 12, 12
 #: Width of a turn's place.
 PLACE_BITS = 36
+#: Copies of a node that many paths meet.
+SALTS = 32
 #: Parentheses of a block of the range min-max tree.
 BLOCK = 256
 
@@ -228,7 +230,10 @@ def _band_sums(walks: DataFrame, nodes: DataFrame, carried: DataFrame | None, lo
     heavy = steps.groupBy("d", "sig").agg(F.sum(F.col("_last") - F.col("d") + 1).alias("_weight")).filter(
         (F.col("_weight") > unit) | (F.col("d") == lo)
     ).select("d", "sig", F.lit(True).alias("_heavy"))
-    met = steps.join(heavy, ["d", "sig"], "left")
+    # A node near the root lies on many paths, so each of these meets one of several copies of it.
+    salt = F.pmod(F.xxhash64("conv_id"), F.lit(SALTS)).cast("int")
+    heavy = heavy.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    met = steps.withColumn("_salt", salt).join(heavy, ["d", "sig", "_salt"], "left")
     # The unit of a conversation is its first light node; if it ends above, its last node.
     units = met.groupBy("conv_id").agg(
         F.coalesce(F.min_by("sig", F.when(F.col("_heavy").isNull(), F.col("d"))), F.max_by("sig", "d")).alias("_unit")

@@ -138,20 +138,25 @@ NAMED = "plate_id long, seq long, chunk long, op string, kf_seq long, u double,
 
 
 def _places(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """What each index means: a place in the list before the chunk, or an appended point."""
-    for fresh, _, rows in _runs(batches):
-        if fresh:
-            first = rows.iloc[0]
-            start, next_id = int(first["n_start"]), int(first["n0"] + first["appended"])
-            gone: list[int] = []
-            appended = 0
+    """What each index means: a place in the list before the chunk, or an appended point.
+
+    One pass over sorted rows; most chunks are a whole short log, so nothing is built per chunk.
+    """
+    key = None
+    start = next_id = appended = 0
+    gone: list[int] = []
+    for rows in batches:
         places, ids = [], []
-        for op, idx in zip(rows["op"], rows["point_idx"]):
+        columns = [rows[c].tolist() for c in ("plate_id", "chunk", "op", "point_idx", "n_start", "n0", "appended")]
+        for plate, chunk, op, idx, n_start, n0, before in zip(*columns):
+            if (plate, chunk) != key:
+                key, gone, appended = (plate, chunk), [], 0
+                start, next_id = int(n_start), int(n0 + before)
             at = -1
             if op == "append":
                 at = start + appended
                 appended += 1
-            elif idx == idx and idx >= 0:  # not NULL
+            elif idx is not None and idx == idx and idx >= 0:  # not NULL
                 k = _above(gone, int(idx))
                 at = int(idx) + k
                 if at >= start + appended:
@@ -160,11 +165,8 @@ def _places(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     gone.insert(k, at)
             places.append(None if at < 0 or at >= start else at)
             ids.append(next_id + at - start if at >= start else None)
-        out = rows[["plate_id", "seq", "chunk", "op", "kf_seq", "u", "v"]].copy()
-        out["kf_seq"] = out["kf_seq"].astype("Int64")
-        out["place"] = pd.array(places, dtype="Int64")
-        out["point_id"] = pd.array(ids, dtype="Int64")
-        yield out
+        out = rows[["plate_id", "seq", "chunk", "op", "kf_seq", "u", "v"]].astype({"kf_seq": "Int64"})
+        yield out.assign(place=pd.array(places, dtype="Int64"), point_id=pd.array(ids, dtype="Int64"))
 
 
 def _chunks(edits: DataFrame, sizes: DataFrame) -> DataFrame:

@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import clamp_int
 
-LOWEST, HIGHEST = -40, 40
+#: Grids by the power of two of their cells. In the one above all others everything is one cell; boxes without end meet there.
+LOWEST, HIGHEST, ENDLESS = -40, 1000, 1001
+#: Bits of a cell number, no more than a double tells apart.
+CELL_BITS = 52
 SIDES = ("x0", "y0", "x1", "y1")
 
 
@@ -22,8 +25,12 @@ def _levels(df: DataFrame) -> DataFrame:
 
     def level(low: str, high: str) -> Column:
         size = F.col(high) - F.col(low)
-        above = F.when(size > 0, F.ceil(F.log2(size)) + 1).otherwise(F.lit(LOWEST))
-        return clamp_int(above, LOWEST, HIGHEST).cast("int")
+        endless = (F.abs(low) == float("inf")) | (F.abs(high) == float("inf")) | (size == float("inf"))
+        far = F.greatest(F.abs(low), F.abs(high))
+        above = F.when(size > 0, F.ceil(F.log2(F.when(~endless, size))) + 1).otherwise(F.lit(LOWEST))
+        # Far from the origin the finest cells are those that numbers can still tell apart.
+        told = F.when((far > 1) & ~endless, F.ceil(F.log2(F.when(far > 1, far))) - CELL_BITS).otherwise(F.lit(LOWEST))
+        return F.when(endless, ENDLESS).otherwise(clamp_int(F.greatest(above, told), LOWEST, HIGHEST)).cast("int")
 
     return df.withColumns({"lx": level("x0", "x1"), "ly": level("y0", "y1")})
 
@@ -43,10 +50,12 @@ def _probes(df: DataFrame, own: list, others: list, name: str, is_left: bool) ->
             for ox, oy in others
         }
     )
-    # Built from the level pairs alone, so its size does not depend on the boxes.
+    # Built from the level pairs alone; Spark chooses by its size how to join it.
     table = df.sparkSession.createDataFrame(grids, "lx int, ly int, gx int, gy int, wx boolean, wy boolean")
-    grids = df.join(F.broadcast(table), ["lx", "ly"])
-    cell = lambda side, grid: F.floor(F.col(side) / F.pow(F.lit(2.0), F.col(grid)))
+    grids = df.join(table, ["lx", "ly"])
+    cell = lambda side, grid: F.when(F.col(grid) == ENDLESS, F.lit(0).cast("bigint")).otherwise(
+        F.floor(F.when(F.col(grid) < ENDLESS, F.col(side)) / F.pow(F.lit(2.0), F.col(grid)))
+    )
     return (
         grids.withColumn("cx", F.explode(F.sequence(cell("x0", "gx"), cell("x1", "gx"))))
         .withColumn("cy", F.explode(F.sequence(cell("y0", "gy"), cell("y1", "gy"))))
@@ -64,13 +73,13 @@ def box_intersects(left: DataFrame, right: DataFrame) -> DataFrame:
     An equi-join on grid cells. Per axis a pair meets in the grid made for the
     larger of the two, where either box touches at most two cells, so the
     candidates of a cell stay in proportion to real overlaps however boxes crowd
-    and whatever their shapes. A pair that meets in several cells counts in the
+    and whatever their shapes. Sides may be infinite. A pair that meets in several cells counts in the
     lowest one common to both.
     """
     sides = []
     for df in (left, right):
-        # NULL sides overlap nothing.
-        known = df.where(" and ".join(f"{c} is not null" for c in SIDES))
+        # NULL and NaN sides overlap nothing.
+        known = df.where(" and ".join(f"{c} is not null and not isnan({c})" for c in SIDES))
         sides.append(_levels(known.select("box_id", *SIDES)))
     # The level pairs in use: small numbers that do not grow with the tables.
     in_use = [[(r.lx, r.ly) for r in s.select("lx", "ly").distinct().collect()] for s in sides]

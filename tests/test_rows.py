@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from platefield.operators import generate as G
 from platefield.operators import sequence as Q
-from platefield.operators.boxes import box_intersects
+from platefield.operators import boxes as boxes_module
+from platefield.operators.boxes import box_from_corners, box_intersects
 from platefield.operators.ranking import SEQ_BITS, running_total, with_position
 
 
@@ -175,3 +176,44 @@ def test_box_pairs(spark, left, right):
         (i, j) for i, p, q, r, s in rows(a) for j, x, y, z, w in rows(b) if p <= z and r >= x and q <= w and s >= y
     )
     assert sorted(tuple(r) for r in box_intersects(a, b).collect()) == want
+
+
+def test_boxes_far_away_wide_and_without_end(spark):
+    rng = random.Random(9)
+    inf, nan = float("inf"), float("nan")
+
+    def boxes(n):
+        out = []
+        for _ in range(n):
+            x, y = (rng.choice([0.0, 1e8, 3e12, -5e15]) + rng.random() * rng.choice([1, 100]) for _ in "xy")
+            w, h = (rng.choice([0.0, 2.0 ** rng.randrange(-20, 60)]) for _ in "xy")
+            out.append([x, y, x + w, y + h])
+        for i in (3, 7, 8):
+            out[i][0], out[i][2] = -inf, rng.choice([inf, out[i][2]])
+        out[5][3], out[9][0] = inf, nan
+        return out
+
+    left, right = boxes(40), boxes(60)
+    schema = "box_id long, x0 double, y0 double, x1 double, y1 double"
+    got = box_intersects(*[spark.createDataFrame([(i, *map(float, b)) for i, b in enumerate(side)], schema) for side in (left, right)])
+    want = sorted(
+        (i, j) for i, a in enumerate(left) for j, b in enumerate(right)
+        if a[0] <= b[2] and a[2] >= b[0] and a[1] <= b[3] and a[3] >= b[1]
+    )
+    assert sorted(map(tuple, got.collect())) == want and len(want) > 40
+
+
+def test_points_far_away_have_cells_of_their_own(spark):
+    points = spark.range(2000).select(
+        F.col("id").alias("box_id"), *[(F.lit(1e8) + F.col("id") * 0.25).alias(c) for c in ("x0", "y0", "x1", "y1")]
+    )
+    sides = boxes_module._levels(points)
+    probes = boxes_module._probes(sides, [(-25, -25)], [(-25, -25)], "left", True)
+    assert probes.select("cx", "cy").distinct().count() == 2000
+    assert box_intersects(points, points).count() == 2000
+
+
+def test_box_from_corners_in_any_order(spark):
+    corners = spark.createDataFrame([(5.0, 9.0, 2.0, 11.0)], "ax double, ay double, bx double, by double")
+    box = corners.select(*[c.alias(n) for n, c in box_from_corners(*map(F.col, ("ax", "ay", "bx", "by")), F.lit(1.0), F.lit(2.0)).items()])
+    assert tuple(box.first()) == (1.0, 7.0, 4.0, 9.0)

@@ -15,6 +15,8 @@ from .keyframes import interpolate
 from .ranking import with_position
 
 BASE_COLUMNS = ["plate_id", "point_idx", "u", "v"]
+#: Frames and points of a plate that meet in one key when points are appended to frames.
+CELL_ROWS = 1024
 FRAME_COLUMNS = ["plate_id", "kf_seq", "time", "point_idx", "u", "v"]
 
 
@@ -51,6 +53,21 @@ def upsert_keyframe(base: DataFrame, keyframes: DataFrame, edits: DataFrame) ->
     )
 
 
+def _crossed(frames: DataFrame, placed: DataFrame, cell_rows: int = CELL_ROWS) -> DataFrame:
+    """Every frame of a plate with every row of ``placed(plate_id, _at, ...)``.
+
+    Both are cut into cells of ``cell_rows`` of a plate, and a pair meets by plate and both
+    cells, so no key has more than the square of that, whatever a plate holds.
+    """
+    numbered = with_position(cut_lineage(frames), ["plate_id"], "kf_seq", "_nth")
+    left = cut_lineage(numbered.withColumn("_frames", F.floor(F.col("_nth") / cell_rows)).drop("_nth"))
+    right = cut_lineage(placed.withColumn("_points", F.floor(F.col("_at") / cell_rows)))
+    cells = left.select("plate_id", "_frames").distinct().join(right.select("plate_id", "_points").distinct(), "plate_id")
+    return left.join(cells, ["plate_id", "_frames"]).join(
+        right.join(cells, ["plate_id", "_points"]), ["plate_id", "_frames", "_points"]
+    )
+
+
 def append_point(base: DataFrame, keyframes: DataFrame, edits: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Add points at the end of the base and of every frame, in order of ``seq``; ``edits(plate_id, seq, u, v)``."""
     placed = with_position(edits.select("plate_id", "seq", "u", "v"), ["plate_id"], "seq", "_at").drop("seq")
@@ -61,7 +78,7 @@ def append_point(base: DataFrame, keyframes: DataFrame, edits: DataFrame) -> tup
     frames = keyframes.groupBy("plate_id", "kf_seq").agg(
         F.first("time").alias("time"), F.count(F.lit(1)).alias("n")
     )
-    to_frames = frames.join(placed, "plate_id").withColumn("point_idx", (F.col("n") + F.col("_at")).cast("int"))
+    to_frames = _crossed(frames, placed).withColumn("point_idx", (F.col("n") + F.col("_at")).cast("int"))
     return (
         base.select(*BASE_COLUMNS).unionByName(to_base),
         keyframes.select(*FRAME_COLUMNS).unionByName(to_frames.select(*FRAME_COLUMNS)),
@@ -86,14 +103,17 @@ def delete_point(base: DataFrame, keyframes: DataFrame, edits: DataFrame) -> tup
     )
 
 
-def find_moved_point(points: DataFrame, moves: DataFrame, keys: tuple[str, ...] = ("plate_id",)) -> DataFrame:
+def find_moved_point(
+    points: DataFrame, moves: DataFrame, keys: tuple[str, ...] = ("plate_id",), within: tuple[str, ...] = ()
+) -> DataFrame:
     """``(*keys, new_u, new_v, point_idx)``: the first point exactly at the old position.
 
-    ``moves`` has ``keys``, the old and the new position; further columns are kept.
+    ``moves`` has ``keys``, the old and the new position; further columns are kept. A move looks
+    into every set of points that the columns ``within`` of ``points`` tell apart.
     """
     at = moves.withColumnsRenamed({"old_u": "u", "old_v": "v"})
     more = [c for c in at.columns if c not in ("u", "v")]
-    return points.join(at, [*keys, "u", "v"]).groupBy(*more).agg(F.min("point_idx").alias("point_idx"))
+    return points.join(at, [*keys, "u", "v"]).groupBy(*within, *more).agg(F.min("point_idx").alias("point_idx"))
 
 
 def move_point(

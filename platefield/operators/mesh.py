@@ -31,13 +31,27 @@ def resolved_nodes(nodes: DataFrame) -> DataFrame:
 
 
 def join_corners(triangles: DataFrame, lookup: DataFrame, values: list[str]) -> DataFrame:
-    """Attach ``values`` of each corner as ``<corner>_<value>``."""
-    for k in CORNERS:
-        side = lookup.select(
-            "plate_id", F.col("node_id").alias(k), *[F.col(v).alias(f"{k}_{v}") for v in values]
+    """``plate_id, tri_id, a, b, c`` with ``values`` of each corner as ``<corner>_<value>``.
+
+    The corners of all triangles meet ``lookup`` in one join and come together again in one
+    aggregate. A triangle with a corner that ``lookup`` lacks is dropped.
+    """
+    corners = triangles.select(
+        "plate_id", "tri_id",
+        F.explode(F.array(*[F.struct(F.lit(k).alias("corner"), F.col(k).alias("node_id")) for k in CORNERS])).alias("_c"),
+    ).select("plate_id", "tri_id", "_c.corner", "_c.node_id")
+    met = corners.join(lookup.select("plate_id", "node_id", *values), ["plate_id", "node_id"])
+    at = lambda k, c: F.max(F.when(F.col("corner") == k, F.col(c)))
+    return (
+        met.groupBy("plate_id", "tri_id")
+        .agg(
+            F.count(F.lit(1)).alias("_met"),
+            *[at(k, "node_id").alias(k) for k in CORNERS],
+            *[at(k, v).alias(f"{k}_{v}") for k in CORNERS for v in values],
         )
-        triangles = triangles.join(side, ["plate_id", k])
-    return triangles
+        .where(f"_met = {len(CORNERS)}")
+        .drop("_met")
+    )
 
 
 def join_triangle_nodes(triangles: DataFrame, nodes: DataFrame) -> DataFrame:

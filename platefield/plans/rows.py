@@ -6,6 +6,7 @@ from ..functions import numeric as N
 from ..operators import edits as E
 from ..operators import sequence as Q
 from ..operators.boxes import box_intersects
+from ..operators.keyframes import BASE
 from .registry import query, r, rounded
 
 KEY = ["plate_id"]
@@ -209,16 +210,19 @@ def _(t):
 
 
 @query("find_moved_point", """
-  SELECT p.plate_id, b.k AS new_k, min(p.point_idx) AS point_idx FROM f_base p
-  JOIN f_first_click c ON c.plate_id = p.plate_id
+  SELECT p.plate_id, p.kf_seq, b.k AS new_k, min(p.point_idx) AS point_idx
+  FROM (SELECT plate_id, -1 AS kf_seq, point_idx, u, v FROM f_base
+        UNION ALL SELECT plate_id, kf_seq, point_idx, u, v FROM f_kf) p
   JOIN (SELECT plate_id, u, v, arg_min(k, seq) AS k FROM f_edits GROUP BY plate_id, u, v) b
     ON b.plate_id = p.plate_id AND b.u = p.u AND b.v = p.v
-  GROUP BY p.plate_id, b.k""")
+  GROUP BY p.plate_id, p.kf_seq, b.k""")
 def _(t):
+    """The positions of all edits, looked up in the base and in every frame of their plate."""
     moves = t.edits.groupBy("plate_id", F.col("u").alias("old_u"), F.col("v").alias("old_v")).agg(
         F.min_by("k", "seq").alias("k")
     )
-    moves = moves.join(t.first_edit("click").select("plate_id"), "plate_id", "left_semi").select(
-        "plate_id", "old_u", "old_v", F.col("k").alias("new_u"), F.col("k").alias("new_v")
-    )
-    return E.find_moved_point(t.base, moves).select("plate_id", F.col("new_u").alias("new_k"), "point_idx")
+    moves = moves.select("plate_id", "old_u", "old_v", F.col("k").alias("new_u"), F.col("k").alias("new_v"))
+    points = t.base.withColumn("kf_seq", F.lit(BASE).cast("bigint")).select("plate_id", "kf_seq", "point_idx", "u", "v")
+    points = points.unionByName(t.keyframes.select("plate_id", "kf_seq", "point_idx", "u", "v"))
+    found = E.find_moved_point(points, moves, within=("kf_seq",))
+    return found.select("plate_id", "kf_seq", F.col("new_u").alias("new_k"), "point_idx")

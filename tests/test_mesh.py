@@ -95,3 +95,19 @@ def test_index_buffer_parts(mesh):
     parts = M.mesh_index_buffer(triangles, part_size=10).orderBy("part").collect()
     flat = [i for p in parts for i in p.indices]
     assert flat == [i for t in sorted(tris) for i in reversed(tris[t])]
+
+
+def test_corners_meet_in_one_join(spark):
+    triangles = spark.createDataFrame([(0, 0, 1, 2, 3), (0, 1, 3, 2, 9), (1, 0, 2, 2, 1)], "plate_id bigint, tri_id bigint, a bigint, b bigint, c bigint")
+    lookup = spark.createDataFrame([(p, n, n * 1.5, None if n == 2 else p + 0.5) for p in (0, 1) for n in (1, 2, 3)], "plate_id bigint, node_id bigint, u double, age double")
+    got = sorted(tuple(r) for r in M.join_corners(triangles, lookup, ["u", "age"]).collect())
+    # The triangle with a corner nobody knows is gone; a NULL value stays NULL.
+    assert got == [(0, 0, 1, 2, 3, 1.5, 0.5, 3.0, None, 4.5, 0.5), (1, 0, 2, 2, 1, 3.0, None, 3.0, None, 1.5, 1.5)]
+
+
+def test_measures_need_few_exchanges(spark):
+    nodes = spark.createDataFrame([(0, 0, None, 0.1, 0.1)], "plate_id bigint, node_id bigint, mirror_id bigint, u double, v double")
+    triangles = spark.createDataFrame([(0, 0, 0, 0, 0)], "plate_id bigint, tri_id bigint, a bigint, b bigint, c bigint")
+    areas = M.triangle_measures(triangles, nodes).select("plate_id", "tri_id", "area")
+    plan = areas._jdf.queryExecution().executedPlan().toString()
+    assert 0 < plan.count("Exchange hashpartitioning") <= 5

@@ -222,3 +222,17 @@ def test_parts_of_a_hot_plate_are_bounded(spark):
     cut = cut_by_counts(rows, ["plate_id"], ["t"], 50_000)
     sizes = [r["count"] for r in cut.groupBy("_part").count().collect()]
     assert sum(sizes) == 1_000_050 and max(sizes) < 3 * 50_000 and len(sizes) > 10
+
+
+def test_frames_meet_appended_points_by_cells(spark):
+    frames = spark.createDataFrame([(p, s, s / 10, 2) for p in (0, 1) for s in range(7)], "plate_id bigint, kf_seq bigint, time double, n bigint")
+    placed = spark.createDataFrame([(0, at, float(at), 0.0) for at in range(11)] + [(2, 0, 0.0, 0.0)], "plate_id bigint, _at bigint, u double, v double")
+    got = sorted((r.plate_id, r.kf_seq, r._at, r.u, r.n) for r in E._crossed(frames, placed, cell_rows=3).collect())
+    assert got == [(0, s, at, float(at), 2) for s in range(7) for at in range(11)]
+
+
+def test_a_move_looks_into_every_frame(spark):
+    points = spark.createDataFrame([(0, -1, 3, 1.0, 1.0), (0, -1, 2, 1.0, 1.0), (0, 5, 4, 1.0, 1.0), (0, 6, 0, 1.0, 2.0), (1, 5, 0, 1.0, 1.0)], "plate_id bigint, kf_seq bigint, point_idx int, u double, v double")
+    moves = spark.createDataFrame([(0, 1.0, 1.0, 7.0, 8.0), (0, None, 1.0, 7.0, 9.0)], "plate_id bigint, old_u double, old_v double, new_u double, new_v double")
+    got = sorted(tuple(r) for r in E.find_moved_point(points, moves, within=("kf_seq",)).select("plate_id", "kf_seq", "new_v", "point_idx").collect())
+    assert got == [(0, -1, 8.0, 2), (0, 5, 8.0, 4)]

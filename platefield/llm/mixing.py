@@ -9,13 +9,16 @@ the slots of its source names the block of words it takes. The words of a source
 keyed random order of its documents, are cut into blocks of ``block`` words, which are
 taken again from the start when they run out. The last slot of a source is cut so that
 the source gives its target to the word; slots the sequence leaves short follow at the end.
+:func:`mix` says what each slot takes, :func:`mixed_text` joins the blocks of text to the slots.
 
 DataFrame functions only. No window runs over a source: ranks and word offsets are sums
 over chunks (``running_start``). Only the table of sources, which is the list of weights,
 is ranked in one window.
 
 Defined results: a NULL text has no words; a NULL source is a source of its own and comes
-last; repeated rows are rows of their own; documents without words take nothing; an empty
+last; repeated rows are rows of their own, counted first and laid one behind the other by
+arithmetic; of rows with one id and size the order is that of a digest of the text; a long text
+is cut into blocks like any other; documents without words take nothing; an empty
 table gives an empty mix; further columns are ignored.
 """
 
@@ -26,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..session import cut_lineage
-from .common import running_start, shuffle_key, word_count
+from .common import WORD, running_start, shuffle_key, word_count
 
 #: 2^31 points; the multiplier is 2^31 / golden ratio, made odd.
 POINT_BITS = 31
@@ -34,6 +37,8 @@ GOLDEN = 1327217885
 #: The unit interval is cut into 2^CELL_BITS cells, on which points meet sources.
 CELL_BITS = 12
 WEIGHTS = (5, 2, 1)
+#: Copies of a row that one task lays out.
+COPIES = 256
 
 
 def cyclic_weight(rank: Column, weights=WEIGHTS) -> Column:
@@ -108,29 +113,64 @@ def schedule(sources: DataFrame, block: int) -> DataFrame:
     return used.select("slot", "source_rank", epoch.alias("epoch"), at.alias("block"), words.alias("words"))
 
 
+def _digest(*parts: Column) -> Column:
+    """One key for rows that are equal in all parts; NULL is a value of its own."""
+    held = [F.coalesce(F.concat(F.length(p.cast("string")), F.lit(":"), p.cast("string")), F.lit("-")) for p in parts]
+    return F.md5(F.concat_ws("|", *held))
+
+
+def _each_copy(placed: DataFrame) -> DataFrame:
+    """A row per copy with ``copy`` and its own start; rows with many copies are dealt out."""
+    at = lambda first, end: F.explode(F.sequence(first, end - 1)).alias("copy")
+    few = placed.filter(F.col("copies") <= COPIES).select("*", at(F.lit(0).cast("long"), F.col("copies")))
+    steps = placed.filter(F.col("copies") > COPIES).select(
+        "*", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("copies") - 1) / COPIES))).alias("_step")
+    )
+    begin = F.col("_step") * COPIES
+    many = steps.repartition("digest", "_step").select("*", at(begin, F.least(F.col("copies"), begin + COPIES))).drop("_step")
+    return few.unionByName(many).withColumn("start", F.col("start") + F.col("copy") * F.col("size"))
+
+
+def _keyed(docs: DataFrame, doc: str, text: str, source: str) -> DataFrame:
+    columns = {"doc": F.col(doc), "source": F.col(source), "text": F.col(text)}
+    return docs.select(*[c.alias(n) for n, c in columns.items()], _digest(*columns.values()).alias("digest"))
+
+
+def _place(docs: DataFrame, doc: str, text: str, source: str, weight, epochs: int, seed: str) -> tuple[DataFrame, DataFrame]:
+    """(rows, sources): each different row of ``docs`` once, with its copies and the start of the first."""
+    sizes = cut_lineage(
+        _keyed(docs, doc, text, source)
+        .select("doc", "source", "digest", word_count(F.col("text")).alias("size"))
+        .groupBy("digest", "doc", "source", "size")
+        .agg(F.count(F.lit(1)).alias("copies"))
+        .withColumn("_words", F.col("size") * F.col("copies"))
+    )
+    sources = cut_lineage(source_targets(sizes.select("source", F.col("_words").alias("size")), weight, epochs))
+    placed = sizes.join(
+        sources.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source"))
+    ).drop("_source")
+    placed = placed.withColumn("_key", shuffle_key(F.col("doc"), F.col("size"), seed=seed))
+    # The key's upper bits are the order; enough of them that a chunk has some thousand rows.
+    rows = sizes.count()
+    bits = max(1, (rows // 256).bit_length())
+    placed = placed.withColumn("_order", F.shiftright("_key", 60 - bits - 8))
+    placed = running_start(placed, ["source_rank"], "_order", "_words", bits + 8, "start", ties=["_key", "doc", "size", "digest"])
+    return cut_lineage(placed.select("doc", "size", "source", "source_rank", "source_size", "target", "start", "copies", "digest")), sources
+
+
 def mix(
     docs: DataFrame, doc: str = "doc_id", text: str = "text", source: str = "source",
     weight=cyclic_weight, epochs: int = 3, block: int = 1024, seed: str = "mix",
 ) -> tuple[DataFrame, DataFrame]:
     """(documents, mix).
 
-    ``documents``: a row per row of ``docs`` with doc, size, source_rank, source_size, target and
+    ``documents``: a row per row of ``docs`` with doc, size, source, source_rank, source_size, target and
     start, its first word in the shuffled words of its source. ``mix``: slot, epoch,
     source_rank, block, doc, start, size, first (word of the document) and words, the training
     stream in order of slot and (epoch, block, start) inside it.
     """
-    sizes = cut_lineage(docs.select(F.col(doc).alias("doc"), F.col(source).alias("source"), word_count(F.col(text)).alias("size")))
-    sources = cut_lineage(source_targets(sizes, weight, epochs))
-    placed = sizes.join(
-        sources.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source"))
-    ).drop("_source")
-    placed = placed.withColumn("_key", shuffle_key(F.col("doc"), F.col("size"), seed=seed))
-    # The key's upper bits are the order; enough of them that a chunk has some thousand rows.
-    rows = sizes.count()
-    bits = max(1, (rows // 256).bit_length())
-    placed = placed.withColumn("_order", F.shiftright("_key", 60 - bits - 8))
-    placed = running_start(placed, ["source_rank"], "_order", "size", bits + 8, "start", ties=["_key", "doc", "size"])
-    placed = cut_lineage(placed.select("doc", "size", "source", "source_rank", "source_size", "target", "start"))
+    rows, sources = _place(docs, doc, text, source, weight, epochs, seed)
+    placed = _each_copy(rows).drop("copies", "copy", "digest")
     slots = schedule(sources, block)
     last = F.col("start") + F.col("size") - 1
     pieces = placed.filter("size > 0").select(
@@ -146,6 +186,51 @@ def mix(
     return placed, stream
 
 
+def text_blocks(docs: DataFrame, rows: DataFrame, doc: str, text: str, source: str, block: int) -> DataFrame:
+    """source_rank, block, text: the shuffled words of each source in blocks, one space between words.
+
+    A text meets its row of ``rows`` once, is split once for each copy and cut where a block ends.
+    """
+    texts = _keyed(docs, doc, text, source).select("digest", "text").dropDuplicates(["digest"])
+    held = _each_copy(rows.filter("size > 0").join(texts, "digest"))
+    start, size = F.col("start"), F.col("size")
+    numbers = F.sequence(F.floor(start / block), F.floor((start + size - 1) / block))
+
+    def cut(words: Column) -> Column:
+        def piece(b: Column) -> Column:
+            first = F.greatest(start, b * block)
+            n = F.least(start + size, (b + 1) * block) - first
+            part = F.slice(words, (first - start + 1).cast("int"), n.cast("int"))
+            return F.struct(b.alias("block"), F.array_join(part, " ").alias("text"))
+
+        return F.transform(numbers, piece)
+
+    words = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
+    pieces = held.select("source_rank", "start", F.explode(F.flatten(F.transform(F.array(words), cut))).alias("_p"))
+    return (
+        pieces.select("source_rank", "start", "_p.block", "_p.text")
+        .groupBy("source_rank", "block")
+        .agg(F.array_sort(F.collect_list(F.struct("start", "text"))).alias("_parts"))
+        .select("source_rank", "block", F.array_join(F.col("_parts.text"), " ").alias("text"))
+    )
+
+
+def mixed_text(
+    docs: DataFrame, doc: str = "doc_id", text: str = "text", source: str = "source",
+    weight=cyclic_weight, epochs: int = 3, block: int = 1024, seed: str = "mix",
+) -> DataFrame:
+    """The mix as text: slot, epoch, source_rank, source, block, words, text.
+
+    The training stream is the rows in order of (slot, source_rank, epoch, block); slots past the
+    drawn ones share one number. A block is read again in every epoch, and cut where its source's target ends.
+    """
+    rows, sources = _place(docs, doc, text, source, weight, epochs, seed)
+    slots = schedule(sources, block).join(sources.select("source_rank", "source"), "source_rank")
+    met = slots.join(text_blocks(docs, rows, doc, text, source, block), ["source_rank", "block"])
+    taken = F.array_join(F.slice(F.split("text", " "), F.lit(1), F.col("words").cast("int")), " ")
+    return met.select("slot", "epoch", "source_rank", "source", "block", "words", taken.alias("text"))
+
+
 def words_taken(placed: DataFrame, stream: DataFrame) -> DataFrame:
     """``placed`` with ``taken``, the words the mix takes of each document, repeats counted."""
     # A document with words is known by its source and start.

@@ -74,8 +74,42 @@ def test_running_start_over_several_levels(spark):
     assert got == want
 
 
+def test_mixed_text_holds_the_words_that_the_mix_takes(spark):
+    rng = random.Random(4)
+    rows = [(i, " ".join(f"d{i}w{j}" for j in range(rng.randrange(25))), rng.choice(["a", "b", "b", "c", None]), 1, "x") for i in range(120)]
+    rows += [(900, "\t".join(f"long{j}" for j in range(700)), "b", 1, "x"), (None, "no id\n", "a", 1, "x"), (None, "no name", "a", 1, "x"), (5, None, "e", 1, "x")]
+    # More copies than one task lays out.
+    rows += [(7, "one two  three", "z", 1, "x")] * (mixing.COPIES + 9)
+    docs = spark.createDataFrame(rows, DOC)
+    got = mixing.mixed_text(docs, block=8).collect()
+    taken, stream = mixed(spark, rows)
+    words, by_source = {}, {}
+    for r in got:
+        parts = r.text.split(" ")
+        assert len(parts) == r.words <= 8
+        for w in parts:
+            words[r.source, w] = words.get((r.source, w), 0) + 1
+        by_source[r.source] = by_source.get(r.source, 0) + r.words
+    want = {}
+    for r in taken:
+        want[r.source] = want.get(r.source, 0) + r.taken
+    assert {s: n for s, n in want.items() if n} == by_source
+    # Each word of a document comes as often as the stream takes its place in the document.
+    text = {(i, len((t or "").split())): (s, (t or "").split()) for i, t, s, *_ in rows if i is not None}
+    plain = {}
+    for r in stream:
+        if r.doc is not None:
+            s, ws = text[r.doc, r.size]
+            for w in ws[r.first : r.first + r.words]:
+                plain[s, w] = plain.get((s, w), 0) + 1
+    assert plain == {k: n for k, n in words.items() if k[1] not in ("no", "id", "name")}
+    # The blocks of a slot follow the schedule.
+    assert sorted({(r.slot, r.source_rank, r.epoch, r.block) for r in got}) == sorted({(r.slot, r.source_rank, r.epoch, r.block) for r in stream})
+
+
 def test_mixing_of_nothing(spark):
     assert mixed(spark, []) == ([], [])
+    assert mixing.mixed_text(spark.createDataFrame([], DOC)).collect() == []
     got, _ = mixed(spark, [(1, None, None, 0, ""), (2, "", "a", 0, "")])
     assert [r.taken for r in got] == [0, 0]
 

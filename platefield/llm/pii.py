@@ -6,9 +6,9 @@ a card with a right check digit, a date a date of its century. The permutation d
 on the key, the kind and the value without its separators alone, so equal values get
 equal pseudonyms in all documents. What isn't valid is left as it is.
 
-An account ends where its country says, or else at the last group with which it is valid.
-What a match holds behind its value, and all of one that isn't valid but its first group,
-is scanned again together with the text up to the next match.
+Every place where a pattern matches is tried, also inside a match that isn't valid and over its
+end, from left to right; the first valid value is taken and the next is sought behind it. An account
+ends where its country says; numbers of unregistered countries are no accounts.
 
 A value is a vector of digits with a radix each. A round adds a keyed hash of one half,
 modulo the radices, to the other half; whatever the radices are, that can be undone, so
@@ -47,7 +47,7 @@ ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: What every valid value has. Quick to look for, and most texts have nothing of it.
 SIGN = r"\d[\d ./()-]{5,}\d|@|[A-Z]{2}\d{2}"
 
-#: Letters and digits of an account by country; other countries' may have any length.
+#: Letters and digits of an account by country.
 ACCOUNT = {
     int(n): codes.split()
     for n, codes in (row.split(":") for row in (
@@ -58,9 +58,10 @@ ACCOUNT = {
     ))
 }
 
-#: A match has at most nine groups, and each scan is done with one of them.
-SCANS = 12
-PIECES = "array<struct<text:string,kind:string,open:boolean>>"
+PIECES = "array<struct<text:string,kind:string>>"
+#: The pieces found so far, in runs of RUN so that adding one doesn't copy all, and how much of the last value lies ahead.
+FOUND = f"struct<ahead:int,runs:array<{PIECES}>,last:{PIECES}>"
+RUN = 256
 
 #: Days of a century as a product of two radices, by whether its first year is a leap year.
 LEAP_CENTURY, CENTURY = (75, 487), (92, 397)
@@ -258,49 +259,59 @@ def decode(m: Column, kind: Column, v: Column, digits: Column) -> Column:
     )
 
 
-def readings(m: Column) -> Column:
-    """What of a match may be a value, best first: an account may end at any of its groups."""
-    size = lambda o: F.length(F.regexp_replace(o, " ", ""))
-    country = F.substring(m, 1, 2)
-    due = F.coalesce(*[F.when(country.isin(codes), F.lit(n)) for n, codes in ACCOUNT.items()])
+def reading(m: Column) -> Column:
+    """The value of a match with its kind, or NULL: an account is the groups that have its country's length."""
     groups = F.split(m, " ")
-    ends = F.transform(F.sequence(F.size(groups), F.lit(1), F.lit(-1)), lambda n: F.array_join(F.slice(groups, F.lit(1), n), " "))
-    account = F.when(due.isNull(), ends).otherwise(F.concat(F.filter(ends, lambda o: size(o) == due), F.array(m)))
-    return F.when(m.rlike(r"^[A-Z]{2}\d{2}.* "), account).otherwise(F.array(m))
-
-
-def scanned(text: Column) -> Column:
-    """The pieces of a text in order: values with their kind, others, and those that are to be scanned again."""
-    gaps = F.split(text, ANY, -1)
-    piece = lambda text, kind, open: F.struct(text.alias("text"), kind.cast("string").alias("kind"), open.alias("open"))
-
-    def cut(m: Column, gap: Column) -> Column:
-        """The value or first group of a match, and what follows up to the next match."""
-        read = F.transform(readings(m), lambda o: F.struct(o.alias("text"), kind_of(o).alias("kind")))
-        value = F.try_element_at(F.filter(read, lambda r: r["kind"].isNotNull()), F.lit(1))
-        first = F.when(m.rlike(r"^[A-Z]{2}\d"), F.substring(m, 1, 2)).otherwise(F.regexp_extract(m, "^[^ .-]*", 0))
-
-        def parts(value: Column) -> Column:
-            taken = F.coalesce(value["text"], first)
-            rest = F.substr(m, F.length(taken) + 1)
-            return F.array(piece(taken, value["kind"], F.lit(False)), piece(F.concat(rest, gap), F.lit(None), rest != ""))
-
-        return let(value, parts)
-
-    def all_pieces(gaps: Column) -> Column:
-        matches = F.regexp_extract_all(text, F.lit(ANY), F.lit(0))
-        cuts = F.flatten(F.transform(matches, lambda m, i: cut(m, F.element_at(gaps, i + 2))))
-        return F.concat(F.array(piece(F.element_at(gaps, 1), F.lit(None), F.lit(False))), cuts)
-
-    return let(gaps, all_pieces).cast(PIECES)
+    due = F.coalesce(*[F.when(F.substring(m, 1, 2).isin(codes), F.lit(n)) for n, codes in ACCOUNT.items()])
+    ends = F.transform(F.sequence(F.lit(1), F.size(groups)), lambda n: F.array_join(F.slice(groups, F.lit(1), n), " "))
+    account = F.try_element_at(F.filter(ends, lambda o: F.length(F.regexp_replace(o, " ", "")) == due), F.lit(1))
+    value = F.when(m.rlike(r"^[A-Z]{2}\d{2}[A-Z0-9 ]*$"), account).otherwise(m)
+    return let(let(value, lambda o: F.struct(o.alias("text"), kind_of(o).alias("kind"))), lambda r: F.when(r["kind"].isNotNull(), r))
 
 
 def pieces(text: Column) -> Column:
-    """The pieces of a text with nothing left to scan."""
-    again = lambda p: F.when(p["open"], scanned(p["text"])).otherwise(F.array(p).cast(PIECES))
-    one_scan = lambda ps, _: F.when(F.exists(ps, lambda p: p["open"]), F.flatten(F.transform(ps, again))).otherwise(ps)
-    whole = F.array(F.struct(text.alias("text"), F.lit(None).alias("kind"), F.lit(True).alias("open"))).cast(PIECES)
-    return F.aggregate(F.sequence(F.lit(1), F.lit(SCANS)), whole, one_scan)
+    """The pieces of a text in order, values with their kind.
+
+    The text is cut at every place where a pattern matches, so a piece begins with the only
+    place in it that can hold a value; a value may reach over the pieces behind it.
+    """
+    matches = F.regexp_extract_all(text, F.lit(f"(?=({ANY}))"), F.lit(1))
+    piece = lambda text, kind: F.struct(text.alias("text"), F.lit(kind).cast("string").alias("kind") if kind is None else kind.alias("kind"))
+    none = F.array().cast(PIECES)
+
+    def step(found: Column, x: Column) -> Column:
+        own, ahead = F.length(x["text"]), found["ahead"]
+
+        def grown(value: Column) -> Column:
+            new = F.when(ahead >= own, none).when(ahead > 0, F.array(piece(F.substr(x["text"], ahead + 1), None)))
+            taken = F.length(value["text"])
+            new = (
+                new.when(value.isNull(), F.array(piece(x["text"], None)))
+                .when(taken >= own, F.array(value))
+                .otherwise(F.array(value, piece(F.substr(x["text"], taken + 1), None)))
+            )
+            left = F.when(ahead > 0, ahead - own).otherwise(F.coalesce(taken, F.lit(0)) - own)
+            full = F.size(found["last"]) >= RUN
+            return F.struct(
+                F.greatest(left, F.lit(0)).alias("ahead"),
+                F.when(full, F.array_append(found["runs"], found["last"])).otherwise(found["runs"]).alias("runs"),
+                F.concat(F.when(full, none).otherwise(found["last"]), new.cast(PIECES)).alias("last"),
+            ).cast(FOUND)
+
+        return let(F.when(ahead == 0, reading(x["match"])), grown)
+
+    def cut(parts: Column) -> Column:
+        """``parts``: the text cut, and what matches at each cut. No part stands before a match at the very start."""
+        gaps, matches = parts["gaps"], parts["matches"]
+        before = F.size(gaps) - F.size(matches)
+        tried = F.zip_with(F.slice(gaps, before + 1, F.size(matches)), matches, lambda g, m: F.struct(g.alias("text"), m.alias("match")))
+        start = F.struct(
+            F.lit(0).alias("ahead"), F.array().alias("runs"),
+            F.when(before > 0, F.array(piece(F.element_at(gaps, 1), None))).otherwise(none).alias("last"),
+        ).cast(FOUND)
+        return F.aggregate(tried, start, step, lambda f: F.concat(F.flatten(f["runs"]), f["last"]))
+
+    return let(F.struct(F.split(text, f"(?={ANY})", -1).alias("gaps"), matches.alias("matches")), cut)
 
 
 def pseudonym(m: Column, kind: Column, key: str) -> Column:

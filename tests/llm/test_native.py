@@ -1,10 +1,12 @@
 """Mixing, pseudonyms, secret scans and reply trees on hard cases."""
 
+import datetime
 import hashlib
 import random
 import re
 
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from platefield.llm import mixing, pii, reply_trees, secrets
@@ -193,6 +195,73 @@ def test_pseudonyms_of_values_beside_and_inside_invalid_matches(spark):
     assert a == b and a in out[0].text
 
 
+def plain_values(text):
+    """(start, kind, value) of every valid value, from left to right, one character at a time."""
+    kinds = {k: regex.compile(p) for k, p in pii.PATTERNS.items()}
+    length = {c: n for n, codes in pii.ACCOUNT.items() for c in codes}
+
+    def valid(kind, v):
+        d = re.sub(r"\D", "", v)
+        if kind == "iban":
+            own = v.replace(" ", "")
+            return int("".join(str(int(c, 36)) for c in own[4:] + own[:4])) % 97 == 1
+        if kind == "date":
+            a, b, c = map(int, re.split("[./-]", v))
+            y, m, day = (a, b, c) if "-" in v else (c, b, a) if "." in v or a > 12 else (c, a, b)
+            try:
+                return bool(datetime.date(y, m, day))
+            except ValueError:
+                return False
+        if kind == "ip":
+            return all(int(o) < 256 for o in v.split("."))
+        if kind == "ssn":
+            x, y, z = map(int, v.split("-"))
+            return 0 < x < 900 and x != 666 and y > 0 and z > 0
+        if kind == "card":
+            return luhn(d) and int(d) > 0
+        return kind == "email" or 8 <= len(d) <= 15
+
+    out, at = [], 0
+    while at < len(text):
+        kind, m = next(((k, m.group()) for k, p in kinds.items() if (m := p.match(text, at))), (None, None))
+        if kind == "iban":
+            groups = m.split(" ")
+            ends = [" ".join(groups[:n]) for n in range(1, len(groups) + 1)]
+            m = next((e for e in ends if len(e.replace(" ", "")) == length.get(m[:2])), None)
+        if m and valid(kind, m):
+            out.append((at, kind, m))
+            at += len(m)
+        else:
+            at += 1
+    return out
+
+
+VALID = ["DE89 3704 0044 0532 0130 00", "BE68539007547034", "4111 1111 1111 1111", "4111111111111111", "3782 822463 10005", "2024-02-29", "29.02.2024", "1.2.3.4", "123-45-6789", "+49 30 1234567", "555-123-4567", "a.b@example.com"]
+BROKEN = ["AB12 AB12 AB12", "DE88 3704 0044 0532 0130 00", "QQ12 3456 7890 1234", "1234 5678", "1234 5678 9012 3456", "1234567890123", "2023-02-30", "999.1.2.3", "000-12-3456", "ID12", "ID", "12", "AB12"]
+
+
+def test_no_valid_value_stays_wherever_it_begins(spark):
+    rng = random.Random(9)
+    texts = [f"{'AB12 ' * 10}DE89 3704 0044 0532 0130 00", "4111 1111 1111 1111" * 3, ""]
+    texts += [f"{a}{gap}{b}{tail}" for a in BROKEN for b in VALID for gap in (" ", "", ", ") for tail in ("", " 2024")]
+    texts += [f"{b}{gap}{a}{gap}{c}" for a in BROKEN for b in VALID for c in rng.sample(VALID, 3) for gap in (" ", "-")]
+    # More pieces than one run of the fold holds.
+    texts += [" ".join(rng.choice(BROKEN + VALID) for _ in range(n)) for n in (40, 400, 2000)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(8)
+    found = docs.withColumn("p", pii.pieces(F.col("text")))
+    for r in found.filter(F.col("text").rlike(pii.ANY)).collect():
+        assert "".join(p.text for p in r.p) == r.text
+        at, got = 0, []
+        for p in r.p:
+            got += [(at, p.kind, p.text)] if p.kind else []
+            at += len(p.text)
+        assert got == plain_values(r.text), r.text
+    for r in pii.pseudonymise(docs, key="k").collect():
+        assert r.pii_kinds == [k for _, k, _ in plain_values(texts[r.doc_id])]
+    probed = next(r for r in pii.pseudonymise(docs.filter("doc_id = 0"), key="k").collect())
+    assert probed.pii_kinds == ["iban"] and probed.text.startswith("AB12 " * 10) and "0532 0130" not in probed.text
+
+
 def scan(spark, rows, **more):
     df = spark.createDataFrame(rows, "path long, text string, blob string, spans int")
     paths, found, ledger = secrets.scan(df, "path", "text", **more)

@@ -91,7 +91,11 @@ def age_band_mask(
     ``grid(raster_id, px, py)`` is the output image; it may be larger than the
     ``width`` x ``height`` raster, whose edge then repeats.
     """
-    sampled = raster_sample(grid, raster, width, height)
+    return band_frames(raster_sample(grid, raster, width, height), ages)
+
+
+def band_frames(sampled: DataFrame, ages: list[float]) -> DataFrame:
+    """The mask of each age over ``sampled(raster_id, px, py, r)``."""
     frames = sampled.withColumn("age", F.explode(F.array(*[F.lit(float(t)) for t in ages])))
     age = F.col("age")
     hue = age_hue(age)

@@ -7,12 +7,13 @@ from ..functions import numeric as N
 from ..functions import sphere as S
 from ..operators import generate as G
 from ..operators import raster as R
+from ..operators import tiles as TI
 from ..session import cut_lineage, scratch_path
 from ..sources import images as I
 from ..sources import plates as P
 from ..sources.bindings import RASTER_HEIGHT as H
 from ..sources.bindings import RASTER_WIDTH as W
-from .registry import query, r, rounded, rs
+from .registry import ORACLE, query, r, rounded, rs
 from .views import angle, xyz
 
 
@@ -317,6 +318,26 @@ def _(t):
     return R.age_band_mask(grid, t.raster, _AGES, W, H)
 
 
+@query("raster_sample_tiles", ORACLE["raster_sample"])
+def _(t):
+    px, py = S.uv_to_pixel(F.col("u"), F.col("v"), H)
+    points = t.keyframes.select(
+        "plate_id", "kf_seq", "point_idx", F.lit(0).alias("raster_id"), px.alias("px"), py.alias("py")
+    )
+    out = TI.sample_tiles(points, TI.raster_tiles(t.raster, W, H), W, H).drop("raster_id", "px", "py")
+    return rounded(out.withColumn("age", F.col("r") / 256.0), "age")
+
+
+@query("age_band_mask_tiles", ORACLE["age_band_mask"])
+def _(t):
+    # The raster as an image file that the executors wrote.
+    path = scratch_path(t.spark, "images")
+    I.write_bitmaps(t.raster, path, W, H)
+    named = F.regexp_extract("origin", "raster_id=([0-9]+)", 1).cast("int")
+    tiles = TI.scan_tiles(t.spark, path).withColumn("raster_id", named)
+    return TI.age_band_mask_tiles(tiles, _AGES, W, H, W + 8, H + 4)
+
+
 _ZEROS, _ENTRIES = 77, 77 + 179  # the table for time 0.3
 
 

@@ -49,3 +49,17 @@ def carried(cut: DataFrame, keys: list[str], order: list[str], values: dict[str,
     outer = ends.select(*keys, "_part", *[F.last(h, True).over(before).alias(f"_out{h}") for h in held])
     joined = rows.drop(*held).join(outer, [*keys, "_part"])
     return joined.withColumns({n: F.coalesce(n, f"_out{h}") for n, h in zip(values, held)}).drop(*[f"_out{h}" for h in held])
+
+
+def positioned(rows: DataFrame, keys: list[str], order: list[str], name: str = "pos", part_rows: int = PART_ROWS) -> DataFrame:
+    """The 0-based position of each row in its group by ``order``, which is unique there and of any type.
+
+    A part is numbered by itself; the rows of the parts before it are summed over one row per group and part.
+    """
+    cut = cut_by_counts(rows, keys, order, part_rows)
+    inside = Window.partitionBy(*keys, "_part").orderBy(*order)
+    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = cut.groupBy(*keys, "_part").agg(F.count(F.lit(1)).alias("_n"))
+    starts = sizes.select(*keys, "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    numbered = cut.withColumn("_at", F.row_number().over(inside) - 1).join(starts, [*keys, "_part"])
+    return numbered.withColumn(name, F.col("_before") + F.col("_at")).drop("_before", "_at", "_part")

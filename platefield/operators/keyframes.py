@@ -10,7 +10,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from .asof import PART_ROWS, carried, cut_by_counts
+from .spread import SHARE, copied, spread
 
 BASE = -1  # kf_seq of the base points, read as a frame at time 0
 
@@ -71,12 +73,13 @@ def _with_fallbacks(df: DataFrame, lo_seq: Column, lo_time: Column, up_seq: Colu
 
 
 def interpolate(
-    base: DataFrame, keyframes: DataFrame, queries: DataFrame, mode: str = "extreme"
+    base: DataFrame, keyframes: DataFrame, queries: DataFrame, mode: str = "extreme", share: int = SHARE
 ) -> DataFrame:
     """``(plate_id, t, point_idx, u, v)`` of each plate at each different time asked.
 
     ``mode="extreme"`` blends the two ends of the timeline, ``mode="bracket"`` the
-    neighbours of t. A point the upper frame lacks stays where the lower one has it.
+    neighbours of t. A point the upper frame lacks stays where the lower one has it. All times of a plate may
+    want the same two frames: no key of the join holds much more than 1/``share`` of what is wanted.
     """
     if mode not in ("extreme", "bracket"):
         raise ValueError(f"unknown mode {mode!r}")
@@ -97,8 +100,10 @@ def interpolate(
     points = keyframes.select("plate_id", "kf_seq", "point_idx", "u", "v").unionByName(
         base.select("plate_id", F.lit(BASE).cast("bigint").alias("kf_seq"), "point_idx", "u", "v")
     )
+    frame = ["plate_id", "kf_seq"]
+    dealt, heavy = spread(cut_lineage(wanted), frame, share)
     found = (
-        wanted.join(points, ["plate_id", "kf_seq"])
+        dealt.join(copied(points, frame, heavy), [*frame, "_part"])
         .groupBy("plate_id", "t", "point_idx")
         .agg(
             F.max("alpha").alias("alpha"),

@@ -9,10 +9,12 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import sphere as S
+from ..session import cut_lineage
+from .asof import PART_ROWS, positioned
 
 CORNERS = ("a", "b", "c")
 
@@ -217,12 +219,16 @@ def mesh_adjacent_triangles(triangles: DataFrame) -> DataFrame:
     )
 
 
-def mesh_edges_around_point(triangles: DataFrame, nodes: DataFrame, starts: DataFrame) -> DataFrame:
+def mesh_edges_around_point(
+    triangles: DataFrame, nodes: DataFrame, starts: DataFrame, part_rows: int = PART_ROWS
+) -> DataFrame:
     """The walk over incoming half-edges around the end point of each starting half-edge.
 
     ``starts(plate_id, start_edge)``. Going from an incoming half-edge to the next
     one turns clockwise, so the walk is the incoming half-edges in clockwise order,
-    up to the one whose successor is on the hull.
+    up to the one whose successor is on the hull. All edges around a node are ranked
+    once, in parts of about ``part_rows`` edges, so a hub is no single task; a walk is then arithmetic on ranks. A start
+    that is named twice is one.
     """
     edges = half_edges(triangles)
     place = nodes.select("plate_id", "node_id", "u", "v")
@@ -239,23 +245,23 @@ def mesh_edges_around_point(triangles: DataFrame, nodes: DataFrame, starts: Data
         .select("plate_id", "next_id", F.lit(True).alias("at_hull"))
     )
     incoming = incoming.join(open_sides, ["plate_id", "next_id"], "left")
-    first = starts.join(
-        incoming.select("plate_id", F.col("edge_id").alias("start_edge"), "node_id", F.col("bearing").alias("b0")),
-        ["plate_id", "start_edge"],
+    around = incoming.select("plate_id", "node_id", "edge_id", (-F.col("bearing")).alias("turned"), "at_hull")
+    ranked = cut_lineage(positioned(around, ["plate_id", "node_id"], ["turned", "edge_id"], "k", part_rows))
+    sizes = ranked.groupBy("plate_id", "node_id").agg(F.count(F.lit(1)).alias("n"))
+    ends = ranked.where("at_hull").select("plate_id", "node_id", F.col("k").alias("kh"))
+    first = (
+        starts.select("plate_id", "start_edge").distinct()
+        .join(ranked.select("plate_id", "node_id", F.col("edge_id").alias("start_edge"), F.col("k").alias("k0")), ["plate_id", "start_edge"])
+        .join(sizes, ["plate_id", "node_id"])
+        .join(ends, ["plate_id", "node_id"], "left")
+        .groupBy("plate_id", "node_id", "start_edge", "k0", "n")
+        .agg(F.min(F.pmod(F.col("kh") - F.col("k0"), F.col("n"))).alias("last"))
     )
-    turned = F.when(F.col("edge_id") == F.col("start_edge"), F.lit(0.0)).otherwise(
-        F.pmod(F.col("b0") - F.col("bearing"), F.lit(2 * math.pi))
-    )
-    around = first.join(incoming, ["plate_id", "node_id"]).withColumn("turned", turned)
-    w = Window.partitionBy("plate_id", "start_edge")
-    last = F.min(F.when(F.col("at_hull"), F.col("turned"))).over(w)
+    step = F.pmod(F.col("k") - F.col("k0"), F.col("n"))
     return (
-        around.withColumn("last", last)
-        .where("last is null or turned <= last")
-        .select(
-            "plate_id", "start_edge", "node_id",
-            (F.row_number().over(w.orderBy("turned")) - 1).alias("step"), "edge_id",
-        )
+        first.join(ranked, ["plate_id", "node_id"])
+        .where(F.col("last").isNull() | (step <= F.col("last")))
+        .select("plate_id", "start_edge", "node_id", step.cast("int").alias("step"), "edge_id")
     )
 
 

@@ -14,14 +14,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.numeric import clamp_int
-from ..session import cut_lineage
 from .generate import counted
 from .raster import CHANNELS, band_frames, clamp_pixel
+from .spread import SHARE, copied, spread
 
 #: Pixels along the side of a tile.
 SIDE = 32
-#: No key of a sampling join holds more than this part of all points.
-SHARE = 1024
 
 
 def _extent(tile: Column, side: int, length: int | Column) -> Column:
@@ -97,22 +95,6 @@ def scan_tiles(spark: SparkSession, path: str, side: int = SIDE) -> DataFrame:
     )
 
 
-def spread(points: DataFrame, share: int = SHARE) -> tuple[DataFrame, DataFrame]:
-    """``points(raster_id, _tx, _ty, ...)`` with ``_part``, and the heavy tiles with their number of parts.
-
-    A tile with more than 1/``share`` of all points is heavy and cut into parts of at most about that
-    many. There are fewer than ``share`` of them, whatever the points are, so their list can be broadcast.
-    """
-    key = ["raster_id", "_tx", "_ty"]
-    counts = cut_lineage(points.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")))
-    most = max(1, -(-(counts.agg(F.sum("_n")).first()[0] or 0) // share))
-    heavy = counts.where(F.col("_n") > most).select(*key, F.ceil(F.col("_n") / most).cast("int").alias("_parts"))
-    dealt = points.join(F.broadcast(heavy), key, "left").withColumn(
-        "_part", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.coalesce("_parts", F.lit(1))).cast("int")
-    )
-    return dealt.drop("_parts"), heavy
-
-
 def sample_tiles(
     points: DataFrame, tiles: DataFrame, width: int, height: int, wrap: bool = False, side: int = SIDE, share: int = SHARE
 ) -> DataFrame:
@@ -126,12 +108,10 @@ def sample_tiles(
     placed = points.withColumns({"_x": x, "_y": y}).withColumns(
         {"_tx": F.floor(F.col("_x") / side).cast("int"), "_ty": F.floor(F.col("_y") / side).cast("int")}
     )
-    dealt, heavy = spread(placed, share)
-    found = tiles.select("raster_id", F.col("tx").alias("_tx"), F.col("ty").alias("_ty"), F.col("channels").alias("_channels"), F.col("pixels").alias("_pixels"))
     key = ["raster_id", "_tx", "_ty"]
-    copies = found.join(F.broadcast(heavy), key, "left").withColumn(
-        "_part", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))
-    ).drop("_parts")
+    dealt, heavy = spread(placed, key, share)
+    found = tiles.select("raster_id", F.col("tx").alias("_tx"), F.col("ty").alias("_ty"), F.col("channels").alias("_channels"), F.col("pixels").alias("_pixels"))
+    copies = copied(found, key, heavy)
     at = _offset(F.col("_x"), F.col("_y"), side, width) * F.col("_channels") + 1
     pixel = F.substring("_pixels", at.cast("int"), F.col("_channels"))
     joined = dealt.join(copies, [*key, "_part"], "left").withColumn("_pixel", pixel)

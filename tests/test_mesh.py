@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from platefield.operators import delaunay as D
 from platefield.operators import mesh as M
 from platefield.operators import relax as X
+from platefield.operators.asof import cut_by_counts, positioned
 
 
 @pytest.fixture(scope="module")
@@ -111,3 +112,32 @@ def test_measures_need_few_exchanges(spark):
     areas = M.triangle_measures(triangles, nodes).select("plate_id", "tri_id", "area")
     plan = areas._jdf.queryExecution().executedPlan().toString()
     assert 0 < plan.count("Exchange hashpartitioning") <= 5
+
+
+@pytest.mark.parametrize("spokes,closed,part_rows", [(3000, True, 400), (3000, False, 400), (12, True, 1 << 18), (12, False, 1 << 18)])
+def test_walks_around_a_hub(spark, spokes, closed, part_rows):
+    """A wheel, whole or with a gap: the walk around its hub is in bounded parts and goes clockwise."""
+    turn = 2 * math.pi * np.arange(spokes) / spokes
+    nodes = [(0, 0, 0.0, 0.0)] + [(0, i + 1, math.cos(a), math.sin(a)) for i, a in enumerate(turn)]
+    rims = [(i + 1, (i + 1) % spokes + 1) for i in range(spokes if closed else spokes - 1)]
+    triangles = spark.createDataFrame([(0, t, 0, p, q) for t, (p, q) in enumerate(rims)], "plate_id int, tri_id long, a long, b long, c long")
+    nodes = spark.createDataFrame(nodes, "plate_id int, node_id long, u double, v double")
+    # Edge 3t + 2 comes from the second rim node of triangle t; one rim node (edge 1 ends at it) and a repeated start too.
+    starts = spark.createDataFrame([(0, 3 * 5 + 2), (0, 3 * 5 + 2), (0, 1), (0, 10**9)], "plate_id int, start_edge long")
+    got = {}
+    for r in M.mesh_edges_around_point(triangles, nodes, starts, part_rows).collect():
+        got.setdefault((r.start_edge, r.node_id), []).append((r.step, r.edge_id))
+    got = {k: [e for _, e in sorted(v)] for k, v in got.items()}
+    hub = [3 * t + 2 for t in range(5, -1, -1)] + ([3 * t + 2 for t in range(spokes - 1, 5, -1)] if closed else [])
+    assert got[17, 0] == hub and len(got) == 2
+    # Around rim node 2: from node 1 on the rim, then from the hub, where the outside begins.
+    assert got[1, 2][0] == 1 and len(got[1, 2]) <= 2
+
+
+def test_parts_of_a_hub_are_bounded(spark):
+    rows = spark.range(20_000).select(F.lit(0).alias("node"), (-F.col("id") / 7.0).alias("x"), F.col("id"))
+    rows = rows.unionByName(spark.range(3).select(F.lit(1).alias("node"), F.lit(0.0).alias("x"), "id"))
+    got = positioned(rows, ["node"], ["x", "id"], "k", 1000)
+    assert got.where("node = 0 and k <> 19999 - id or node = 1 and k <> id").count() == 0 and got.count() == 20_003
+    sizes = [r["count"] for r in cut_by_counts(rows, ["node"], ["x", "id"], 1000).groupBy("_part").count().collect()]
+    assert max(sizes) < 3000

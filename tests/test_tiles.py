@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from platefield.operators import raster as R
 from platefield.operators import tiles as T
+from platefield.operators.spread import spread
 from platefield.sources import images as I
 
 PIXELS = "raster_id int, px int, py int, r smallint, g smallint, b smallint, a smallint"
@@ -84,7 +85,7 @@ def test_no_key_holds_more_than_its_share(spark):
     points = spark.range(20_000).select(
         F.lit(0).alias("raster_id"), F.when(F.col("id") % 3 == 0, F.lit(0)).otherwise((F.col("id") % 50).cast("int")).alias("_tx"), F.lit(0).alias("_ty")
     )
-    dealt, heavy = T.spread(points, 100)
+    dealt, heavy = spread(points, ["raster_id", "_tx", "_ty"], 100)
     assert 0 < heavy.count() < 100
     most = dealt.groupBy("_tx", "_ty", "_part").count().agg(F.max("count")).first()[0]
     assert most <= 2 * 20_000 / 100 and dealt.count() == 20_000

@@ -236,3 +236,14 @@ def test_a_move_looks_into_every_frame(spark):
     moves = spark.createDataFrame([(0, 1.0, 1.0, 7.0, 8.0), (0, None, 1.0, 7.0, 9.0)], "plate_id bigint, old_u double, old_v double, new_u double, new_v double")
     got = sorted(tuple(r) for r in E.find_moved_point(points, moves, within=("kf_seq",)).select("plate_id", "kf_seq", "new_v", "point_idx").collect())
     assert got == [(0, -1, 8.0, 2), (0, 5, 8.0, 4)]
+
+
+@pytest.mark.parametrize("mode", ["extreme", "bracket"])
+def test_times_of_a_hot_plate_are_split(spark, mode):
+    """Half of all times ask for the same two frames of one plate."""
+    base, frames = _plate(spark, [1, 2], [(0.2, [3, 4, 5]), (0.9, [6, 7, 8])])
+    asked = _ask(spark, [0.3 + i / 2000 for i in range(1000)]).unionByName(_ask(spark, [0.5, None], 3)).unionByName(_ask(spark, [0.3]))
+    whole = sorted(tuple(r) for r in K.interpolate(base, frames, asked, mode, share=1).collect())
+    parted = sorted(tuple(r) for r in K.interpolate(base, frames, asked, mode, share=50).collect())
+    assert whole == parted and len(whole) == 3000
+    assert all(abs(u - (3 + i + 3 * (t - 0.2) / 0.7)) < 1e-9 for _, t, i, u, _ in whole)

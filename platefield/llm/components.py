@@ -1,4 +1,8 @@
-"""Connected components of an edge table by alternating stars."""
+"""Connected components of an edge table by alternating stars.
+
+Defined results: an edge of a node to itself, a repeated edge and one with a NULL end add nothing, so a node
+without another edge isn't listed; an empty table gives an empty result; other columns are ignored.
+"""
 
 from __future__ import annotations
 

@@ -24,7 +24,7 @@ documents, without a shuffle. Each document is handled whole, by itself.
 Defined results: NULL or empty texts and items match nothing; repeated rows are rows of
 their own; items of few words allow no edit and must occur as they are; of an item's windows
 in a document that of the fewest edits is given, of these the first, and of these the
-shortest; other columns are ignored.
+shortest; without documents or items nothing is contaminated; other columns are ignored.
 """
 
 from __future__ import annotations

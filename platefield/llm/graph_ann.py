@@ -12,7 +12,8 @@ Hits are ranked by exact Euclidean distance in double precision over the given c
 
 Defined results: vectors that are NULL, empty, zero or hold NULL or non-finite components take
 no part; vectors of different lengths never meet; ties go to the smaller id; rows with the
-same vector and id count once; a NULL id takes no part; other columns are ignored.
+same vector and id count once; a NULL id takes no part; no vectors or no queries give no rows; other
+columns are ignored.
 """
 
 from __future__ import annotations

@@ -16,7 +16,7 @@ grouped with partial sums on the map side, so a hot host is a few rows per task.
 Defined results: NULL or empty pages have no text evidence and are placed by the rest; a NULL or
 odd address has no host and takes the overall prior; repeated rows are placed each; without
 labelled documents there is no language and every page gets NULL; ties go to the first language by
-code point; other columns are ignored. Pages are read whole.
+code point; no pages give no rows; other columns are ignored. Pages are read whole.
 """
 
 from __future__ import annotations

@@ -23,7 +23,7 @@ spanning forest of the verified links, not the links. Classes are the connected
 
 Defined results: texts of fewer than five words are one shingle; texts without words, NULL
 among them, are classes of equal texts; repeated rows and documents of one id are rows
-of their own; other columns are ignored. Texts are read whole.
+of their own; an empty table gives an empty result; other columns are ignored. Texts are read whole.
 """
 
 from __future__ import annotations

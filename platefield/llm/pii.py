@@ -15,7 +15,8 @@ modulo the radices, to the other half; whatever the radices are, that can be und
 no cycle walking is needed. DataFrame functions only.
 
 Defined results: a NULL text stays NULL with no values; empty texts stay empty; repeated
-rows are rows of their own; other columns are kept as they are, but pii_kinds is replaced. Texts are read whole.
+rows are rows of their own; an empty table stays empty; other columns are kept as they are, but pii_kinds is
+replaced. Texts are read whole.
 The key is part of the query plan: keep plans and event logs as private as the key.
 """
 

@@ -17,8 +17,8 @@ The word model beside it: log10((c + 1) / (N + V + 1)) per token, words in lower
 (A to Z) and one end token per text. Words are told apart by a hash of 63 bits.
 
 Defined results: a NULL or empty text is its end sign; repeated rows are scored each (and learned from
-each); without training rows the trie is empty and every byte costs log10(257); other
-columns are ignored. Texts are read whole.
+each); without training rows the trie is empty and every byte costs log10(257); an empty
+table gives an empty result; other columns are ignored. Texts are read whole.
 """
 
 from __future__ import annotations

@@ -20,7 +20,8 @@ shuffle.
 Defined results: a NULL or empty text has no words and gets the score of no evidence;
 without labels of both kinds every score is 0; repeated rows are scored each; a document
 with several labels is toxic if one says so; NULL ids or labels aren't learned from; other
-columns are kept, but those of the names the score adds are replaced.
+columns are kept, but ``score`` replaces those of the names it adds (``drop_toxic`` adds none); an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -318,11 +319,12 @@ def toxic_spans(text: str, p: np.ndarray) -> list[tuple[int, int, float]]:
 SPANS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("probability", T.DoubleType())]))
 
 
-def score(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
-    """``docs`` with toxic_score, toxic_predicted and toxic_spans."""
+def _scored(docs: DataFrame, model: Model | None, text: str) -> DataFrame:
+    """The columns of ``docs`` as one, and ``toxic`` with score and spans."""
+    rows = nested(docs)
     if model is None:
         none = F.array().cast("array<struct<start:int,end:int,probability:double>>")
-        return unnested(nested(docs), docs.columns, toxic_score=F.lit(0.0), toxic_predicted=F.lit(0), toxic_spans=none)
+        return rows.withColumn("toxic", F.struct(F.lit(0.0).alias("score"), none.alias("spans")))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf(T.StructType([T.StructField("score", T.DoubleType()), T.StructField("spans", SPANS)]))
@@ -330,12 +332,23 @@ def score(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame
         scorer = Scorer(shared.value)
         for batch in batches:
             got, spans = scorer.score([t or "" for t in batch])
-            rows = [[{"start": a, "end": b, "probability": q} for a, b, q in s] for s in spans]
-            yield pd.DataFrame({"score": got, "spans": rows})
+            out = [[{"start": a, "end": b, "probability": q} for a, b, q in s] for s in spans]
+            yield pd.DataFrame({"score": got, "spans": out})
+
+    return rows.withColumn("toxic", scored(F.col("_row").getField(text)))
 
-    done = nested(docs).withColumn("toxic", scored(F.col("_row").getField(text)))
+
+def score(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
+    """``docs`` with toxic_score, toxic_predicted and toxic_spans."""
     got = F.col("toxic.score")
-    return unnested(done, docs.columns, toxic_score=got, toxic_predicted=(got >= 0.5).cast("int"), toxic_spans=F.col("toxic.spans"))
+    return unnested(
+        _scored(docs, model, text), docs.columns, toxic_score=got, toxic_predicted=(got >= 0.5).cast("int"), toxic_spans=F.col("toxic.spans")
+    )
+
+
+def drop_toxic(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that aren't predicted to be toxic, with all their columns as they are."""
+    return unnested(_scored(docs, model, text).filter("toxic.score < 0.5"), docs.columns)
 
 
 def held_out(doc_id: Column) -> Column:

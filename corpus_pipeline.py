@@ -1,9 +1,13 @@
 """The corpus pipeline: from all documents to a mix of clean ones.
 
 Each stage works on what its predecessor kept and takes (spark, docs, sf_dir). ``run``
-writes each result as Parquet below the shared folder and reads it again. A NULL text is kept
-or dropped as the operators say: it has no words, no secrets and no toxic score to speak
-of, and equals other texts without words.
+writes each result as Parquet below the shared folder and reads it again.
+
+Defined results: a NULL text has no words, no secrets and no toxic score to speak of, and equals other texts
+without words, of which one document stays; repeated rows are one class of near-duplicates, of which one row
+stays; of a class's documents the one of the least id stays (NULL comes first), of one id the text of the least address;
+empty documents, labels or benchmarks give an empty or an unfiltered result; further columns go through all stages but the last
+as they are, whatever their names; texts are read whole.
 """
 
 from __future__ import annotations
@@ -19,7 +23,7 @@ from platefield.session import scratch_path
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the field learned from the labels doesn't predict to be toxic."""
     model = toxicity.learn(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model).filter("toxic_predicted = 0").select(*docs.columns)
+    return toxicity.drop_toxic(docs, model)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -168,3 +168,21 @@ def test_stream_equals_plain_loop_after_each_restart(spark, tmp_path, shuffled):
     counts = SR.late_counts(spark, out).collect()
     assert sum(r.n_edits for r in counts) == len(log) and sum(r.n_late for r in counts) == len(late)
     assert sorted(late) == (sorted((r[0], r[1]) for r in files[-1]) if shuffled else [])
+
+
+def test_neighbours_share_a_key_of_the_stream(spark, tmp_path):
+    """Python is called for 64 plates at once, and whole numbers stay whole on their way."""
+    far = 2**53 + 1
+    plates = [*range(-5, 0), *range(190), 10**15]
+    base = [(p, i, p + 0.1, float(i)) for p in plates for i in range(2)]
+    frames = [(p, far + p, 0.5, i, 0.1 * i, p + 0.2) for p in plates for i in range(2)]
+    log = [(p, 3, "move", far + p, 1, None, float("inf"), None) for p in plates]
+    log += [(p, 7, "append", None, None, None, 1e-7, p + 0.3) for p in plates[::2]] + [(500, 1, "add", None, None, 0.5, None, None)]
+    folder, out, checkpoint = (str(tmp_path / n) for n in ("log", "out", "checkpoint"))
+    rows = spark.createDataFrame([*log, (3, 9, "move", None, 0, None, float("nan"), 0.25)], LOG)
+    rows.selectExpr("*", "timestamp'2024-01-01' AS ts").coalesce(1).write.parquet(folder)
+    states = (spark.createDataFrame(base, BASE), spark.createDataFrame(frames, FRAMES))
+    query = SR.run_replay_stream(stream_log(spark, folder), *states, out, checkpoint)
+    assert query.lastProgress["stateOperators"][0]["numRowsTotal"] == 6
+    log.append((3, 9, "move", None, 0, None, None, 0.25))
+    assert tuple(sorted(map(tuple, df.collect())) for df in SR.read_state(spark, out)) == plain(base, frames, log)

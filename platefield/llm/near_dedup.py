@@ -242,8 +242,10 @@ def similar(codes: list[np.ndarray], weights: list[np.ndarray], least: float) ->
     shared = np.bincount(column)[column] > 1
     column, weight, text = np.cumsum(new[shared]) - 1, weight[shared], text[shared]
     both = np.zeros((m, m))
-    width = max(256, 4_000_000 // m)
-    for lo in range(0, int(column[-1]) + 1 if len(column) else 0, width):
+    columns = int(column[-1]) + 1 if len(column) else 0
+    # No wider than the columns there are: most groups are a few texts.
+    width = min(max(256, 4_000_000 // m), columns)
+    for lo in range(0, columns, max(width, 1)):
         a, b = np.searchsorted(column, [lo, lo + width])
         part = np.zeros((m, width))
         part[text[a:b], column[a:b] - lo] = np.sqrt(weight[a:b])

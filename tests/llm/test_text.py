@@ -4,6 +4,7 @@ import collections
 import itertools
 import math
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -131,6 +132,22 @@ def test_near_duplicates_equal_a_plain_loop(spark, monkeypatch):
     assert near_dedup.near_duplicates(docs.limit(0)).collect() == [] and near_dedup.keep_one(docs.limit(0)).collect() == []
 
 
+def test_comparing_two_texts_takes_memory_by_their_features():
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 1 << 63, 300, dtype=np.uint64)
+    near, far = base.copy(), base.copy()
+    near[:20], far[:150] = (rng.integers(0, 1 << 63, n, dtype=np.uint64) for n in (20, 150))
+    weights = [np.full(300, 1.5, np.float32)] * 3
+    near_dedup.similar([base, near, far], weights, 0.8)
+    tracemalloc.start()
+    found = near_dedup.similar([base, near, far], weights, 0.8).tolist()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found == [0, 0, 2] and peak < 1_000_000
+    # Nothing is shared.
+    assert near_dedup.similar([base[:5], far[:5]], [w[:5] for w in weights[:2]], 0.8).tolist() == [0, 1]
+
+
 def test_samples_agree_as_often_as_weights_do():
     rng = np.random.default_rng(6)
     sampler = near_dedup.Sampler(5, 120)

@@ -21,13 +21,13 @@ def box_from_corners(ax: Column, ay: Column, bx: Column, by: Column, left: Colum
 
 
 def _levels(df: DataFrame) -> DataFrame:
-    """``lx, ly``: per axis the grid whose cells (2**level) are just larger than the box."""
+    """``lx, ly``: per axis the grid made for the box. Cells are 2**level, every fourth size, and between half and twice the box."""
 
     def level(low: str, high: str) -> Column:
         size = F.col(high) - F.col(low)
         endless = (F.abs(low) == float("inf")) | (F.abs(high) == float("inf")) | (size == float("inf"))
         far = F.greatest(F.abs(low), F.abs(high))
-        above = F.when(size > 0, F.ceil(F.log2(F.when(~endless, size))) + 1).otherwise(F.lit(LOWEST))
+        above = F.when(size > 0, 2 * F.ceil((F.log2(F.when(~endless, size)) - 1) / 2)).otherwise(F.lit(LOWEST))
         # Far from the origin the finest cells are those that numbers can still tell apart.
         told = F.when((far > 1) & ~endless, F.ceil(F.log2(F.when(far > 1, far))) - CELL_BITS).otherwise(F.lit(LOWEST))
         return F.when(endless, ENDLESS).otherwise(clamp_int(F.greatest(above, told), LOWEST, HIGHEST)).cast("int")
@@ -38,30 +38,30 @@ def _levels(df: DataFrame) -> DataFrame:
 def _probes(df: DataFrame, own: list, others: list, name: str, is_left: bool) -> DataFrame:
     """Each box in every cell where it can meet a box of one of the ``others`` level pairs.
 
-    The two meet in the grid of the coarser level per axis. ``wx`` and ``wy`` say
-    whether the left box set it; as part of the key they keep apart boxes that are
-    in the grid only because of somebody else.
+    The two meet in the grid of the coarser level per axis. The number ``grid`` names both levels, and
+    per axis whether the left box set it; that keeps apart boxes that are
+    in the grid only because of somebody else. ``first`` has a bit per axis on which the cell is the box's lowest.
     """
     wins = lambda mine, other: mine >= other if is_left else other >= mine
     grids = sorted(
         {
-            (x, y, max(x, ox), max(y, oy), wins(x, ox), wins(y, oy))
+            (x, y, gx := max(x, ox), gy := max(y, oy), (gx - LOWEST << 12 | gy - LOWEST) << 2 | wins(x, ox) << 1 | wins(y, oy))
             for x, y in own
             for ox, oy in others
         }
     )
     # Built from the level pairs alone; Spark chooses by its size how to join it.
-    table = df.sparkSession.createDataFrame(grids, "lx int, ly int, gx int, gy int, wx boolean, wy boolean")
+    table = df.sparkSession.createDataFrame(grids, "lx int, ly int, gx int, gy int, grid int")
     grids = df.join(table, ["lx", "ly"])
     cell = lambda side, grid: F.when(F.col(grid) == ENDLESS, F.lit(0).cast("bigint")).otherwise(
         F.floor(F.when(F.col(grid) < ENDLESS, F.col(side)) / F.pow(F.lit(2.0), F.col(grid)))
     )
+    first = F.when(F.col("cx") == cell("x0", "gx"), 1).otherwise(0) + F.when(F.col("cy") == cell("y0", "gy"), 2).otherwise(0)
     return (
         grids.withColumn("cx", F.explode(F.sequence(cell("x0", "gx"), cell("x1", "gx"))))
         .withColumn("cy", F.explode(F.sequence(cell("y0", "gy"), cell("y1", "gy"))))
         .select(
-            F.col("box_id").alias(f"{name}_id"), "gx", "gy", "wx", "wy", "cx", "cy",
-            cell("x0", "gx").alias(f"{name}_mx"), cell("y0", "gy").alias(f"{name}_my"),
+            F.col("box_id").alias(f"{name}_id"), "grid", "cx", "cy", first.cast("byte").alias(f"{name}_first"),
             *[F.col(c).alias(f"{name}_{c}") for c in SIDES],
         )
     )
@@ -71,10 +71,10 @@ def box_intersects(left: DataFrame, right: DataFrame) -> DataFrame:
     """``(left_id, right_id)`` of every pair that overlaps or touches.
 
     An equi-join on grid cells. Per axis a pair meets in the grid made for the
-    larger of the two, where either box touches at most two cells, so the
+    larger of the two, where either box touches at most three cells, so the
     candidates of a cell stay in proportion to real overlaps however boxes crowd
     and whatever their shapes. Sides may be infinite. A pair that meets in several cells counts in the
-    lowest one common to both.
+    lowest one common to both: per axis it is the lowest of one of them.
     """
     sides = []
     for df in (left, right):
@@ -82,17 +82,21 @@ def box_intersects(left: DataFrame, right: DataFrame) -> DataFrame:
         known = df.where(" and ".join(f"{c} is not null and not isnan({c})" for c in SIDES))
         sides.append(_levels(known.select("box_id", *SIDES)))
     # The level pairs in use: small numbers that do not grow with the tables.
-    in_use = [[(r.lx, r.ly) for r in s.select("lx", "ly").distinct().collect()] for s in sides]
+    counts = [s.groupBy("lx", "ly").count().collect() for s in sides]
+    in_use = [[(r.lx, r.ly) for r in some] for some in counts]
+    rows = [sum(r["count"] for r in some) for some in counts]
     if not all(in_use):
         in_use = [[(LOWEST, LOWEST)], [(LOWEST, LOWEST)]]
     a = _probes(sides[0], in_use[0], in_use[1], "left", True)
     b = _probes(sides[1], in_use[1], in_use[0], "right", False)
     col = F.col
+    # The larger table streams through a cell while the task holds the smaller one's rows. It also comes out in runs,
+    # so that a written pair takes the bits of a row of the smaller one.
+    some, others = (a, b) if rows[0] > rows[1] else (b, a)
     return (
-        a.join(b, ["gx", "gy", "wx", "wy", "cx", "cy"])
+        some.join(others, ["grid", "cx", "cy"])
         .where(
-            (col("cx") == F.greatest("left_mx", "right_mx"))
-            & (col("cy") == F.greatest("left_my", "right_my"))
+            (col("left_first").bitwiseOR(col("right_first")) == 3)
             & (col("left_x0") <= col("right_x1"))
             & (col("left_x1") >= col("right_x0"))
             & (col("left_y0") <= col("right_y1"))

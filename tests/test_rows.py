@@ -213,6 +213,23 @@ def test_points_far_away_have_cells_of_their_own(spark):
     assert box_intersects(points, points).count() == 2000
 
 
+def test_a_small_box_is_in_a_grid_per_fourth_size_of_the_others(spark):
+    sides = lambda w, h: [F.col("x0"), F.col("y0"), (F.col("x0") + w).alias("x1"), (F.col("y0") + h).alias("y1")]
+    at = spark.range(1440).select(F.col("id").alias("box_id"), (F.col("id") * 37 % 101 / 101.0).alias("x0"), (F.col("id") * 41 % 103 / 103.0).alias("y0"))
+    power = lambda step: F.pow(F.lit(2.0), -1.0 - F.col("box_id") % step)
+    large = at.select("box_id", *sides(power(12), power(10)))
+    small = at.where("box_id < 300").select("box_id", *sides(F.lit(0.0), F.lit(0.0)))
+    levels = [boxes_module._levels(df) for df in (large, small)]
+    pairs = [[(r.lx, r.ly) for r in df.select("lx", "ly").distinct().collect()] for df in levels]
+    # Sides of 12 and of 10 sizes make 7 and 6 grids at most, as one may round up; a point is in one cell of each.
+    assert boxes_module._probes(levels[1], pairs[1], pairs[0], "right", False).count() <= 300 * 42
+    rows = [[tuple(r) for r in df.collect()] for df in (large, small)]
+    want = sorted((i, j) for i, p, q, r, s in rows[0] for j, x, y, z, w in rows[1] if p <= z and r >= x and q <= w and s >= y)
+    # Either table may be the larger one.
+    assert sorted(map(tuple, box_intersects(large, small).collect())) == want
+    assert sorted((r.right_id, r.left_id) for r in box_intersects(small, large).collect()) == want
+
+
 def test_box_from_corners_in_any_order(spark):
     corners = spark.createDataFrame([(5.0, 9.0, 2.0, 11.0)], "ax double, ay double, bx double, by double")
     box = corners.select(*[c.alias(n) for n, c in box_from_corners(*map(F.col, ("ax", "ay", "bx", "by")), F.lit(1.0), F.lit(2.0)).items()])
